@@ -6,14 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversations, tokenize
+from . import conversations, credentials, functions_docs, personal, tokenize
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "p2_found": functions_docs.p2_found,
+        "p2_pairs": functions_docs.p2_pairs,
         "p3_found": conversations.p3_found,
+        "p5_found": personal.p5_found,
+        "p5_redacted": personal.p5_redacted,
+        "p6_found": credentials.p6_found,
+        "p6_redacted": credentials.p6_redacted,
         "p7_ids": tokenize.p7_ids,
     }
 
