@@ -98,7 +98,7 @@ CUES = {
     "phone": (r"call|phone|tel|fax|mobile|whatsapp|text|number is|ring|erreichbar|unter|on-call|contact|escalation|emergency|anruf|appel|llam|\(\s*$|;\s*$|,\s*$|\|\s*$|\n\s*$", r"(?:rows?|lines?|ticket|issue|build|version|release|error|code|port|epoch|commit|id|batch|limit|checksum|address)\s*#?$"),
     "id_number": (_ID_CUE, r"(?:ticket|issue|build|version|release|error|code|epoch|rows?|commit|checksum)\s*#?$"),
     "address": (r"lives? at|home at|live in|vivo en|wohn|habite|address|deliver|ship|send|meet|goes to|place|invoice|says|\n\s*$|,\s*$", r"(?:step|run at|chapter|section|figure)\s*$"),
-    "name": (r"(?:author|by|from|owner|signed-off-by|regards,?|sincerely,?|cheers,?|maintainer|reviewer was|my name is|name ist|je m'appelle|me llamo|soy|ich bin|i am|ask|contact[\w ]*|says|to|belongs to|according to|while|with|and|user|values \(|parse\(|responsable|verantwortlich|stakeholder|interview notes|on-call this week|draft by|approved by|account belongs to|filled in by|sent by|deliver to)\s*[:,('\"]*\s*$|\n\s*$|^\s*$|[|>;,\"'(-]\s*$", r"(?:the|a|an|in|use|see|and in|step|of|for)\s+$"),
+    "name": (r"(?:author|by|from|owner|signed-off-by|regards,?|sincerely,?|cheers,?|maintainer|reviewer was|my name is|name ist|je m'appelle|me llamo|soy|ich bin|i am|ask|contact[\w ]*|says|to|belongs to|according to|while|with|user|values \(|parse\(|responsable|verantwortlich|stakeholder|interview notes|on-call this week|draft by|approved by|account belongs to|filled in by|sent by|deliver to)\s*[:,('\"]*\s*$|[|>;]\s*$", r"(?:the|a|an|in|use|see|and in|step|of|for)\s+$"),
 }
 _CUES = {k: (re.compile(a, re.I), re.compile(b, re.I)) for k, (a, b) in CUES.items()}
 
@@ -122,7 +122,7 @@ def _vote_context(kind: str, text: str, b: int) -> int:
     before = text[max(0, b - 60) : b]
     good, bad = _CUES[kind]
     near = before.rsplit("\n\n", 1)[-1]
-    return -1 if bad.search(near) else 1 if good.search(near[-45:]) or not near.strip() else 0
+    return -1 if bad.search(near) else 1 if good.search(near[-45:]) else 0
 
 
 def candidates(text: str | None) -> list[Span]:
@@ -186,7 +186,7 @@ def candidates(text: str | None) -> list[Span]:
             continue
         if not titled and (t := _TITLE_BEFORE.search(text[max(0, b - 12) : b])):
             b, titled = b - len(t.group()), True
-        add("name", b, e, 1 if direct or titled or known == 1 else 0, known)
+        add("name", b, e, 1 if titled or not direct or "." in text[b:e] else 0, known)
     return out
 
 
@@ -216,8 +216,9 @@ def reliabilities(patterns: list[tuple[str, int, int, int, int]], rounds: int =
         rows = [p for p in patterns if p[0] == kind]
         v = np.array([p[1:4] for p in rows]) + 1
         n = np.array([p[4] for p in rows], float)
-        start = np.array([[0.6, 0.25, 0.15], [0.05, 0.25, 0.7]])  # vote tables of the two classes
-        table = np.stack([start] * 3)
+        # vote tables of the two classes: form, gazetteer (which names the thing itself), context
+        start = np.array([[[0.5, 0.3, 0.2], [0.05, 0.35, 0.6]], [[0.8, 0.15, 0.05], [0.02, 0.18, 0.8]], [[0.4, 0.35, 0.25], [0.1, 0.3, 0.6]]])
+        table = start.copy()
         prior = 0.5
         for _ in range(rounds):
             like = np.stack([np.prod([table[j][c][v[:, j]] for j in range(3)], axis=0) for c in (0, 1)])
@@ -228,7 +229,7 @@ def reliabilities(patterns: list[tuple[str, int, int, int, int]], rounds: int =
                 for c, w in ((0, n * (1 - p)), (1, n * p)):
                     counts = np.bincount(v[:, j], weights=w, minlength=3)
                     strength = 0.1 * n.sum() + 1
-                    table[j][c] = (counts + strength * start[c]) / (counts.sum() + strength)
+                    table[j][c] = (counts + strength * start[j][c]) / (counts.sum() + strength)
         out.update({(kind, *p_[1:4]): float(x) for p_, x in zip(rows, p)})
     return out
 
