@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversations, credentials, functions_docs, personal, tokenize
+from . import conversations, credentials, functions_docs, pairs, personal, tokenize
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "p1_found": pairs.p1_found,
         "p2_found": functions_docs.p2_found,
         "p2_pairs": functions_docs.p2_pairs,
         "p3_found": conversations.p3_found,
