@@ -27,7 +27,9 @@ WINDOW, STRIDE, STRETCH = 12, 4, 3
 #: Random walks, samples taken from each, and positions per sample.
 WALKS, SAMPLES, POSITIONS = 3, 8, 6
 #: Least share of an item's words that a passage holds, and of equal words (and of their weight) in it.
-SHARE, IDENTITY, WEIGHT = 1 / 3, 0.68, 0.6
+SHARE, IDENTITY, WEIGHT = 1 / 3, 0.68, 0.7
+#: Least share of an item window's weight that a window with a common key has equal, to be aligned at all.
+WINDOW_WEIGHT = 0.6
 #: Items are broadcast in blocks of at most so many words.
 BLOCK_WORDS = 200_000
 BAND = 10
@@ -152,7 +154,7 @@ class ItemIndex:
             for shift in (1, 2):
                 common = np.maximum(common, (w[:, shift:] * (a[:, :-shift] == b[:, shift:])).sum(1))
                 common = np.maximum(common, (w[:, :-shift] * (a[:, shift:] == b[:, :-shift])).sum(1))
-            keep[at : at + 200_000] = common >= 0.45 * w.sum(1)
+            keep[at : at + 200_000] = common >= WINDOW_WEIGHT * w.sum(1)
         return left[keep], right[keep]
 
 
