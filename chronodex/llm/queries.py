@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversations, credentials, functions_docs, pairs, personal, tokenize
+from . import conversations, credentials, functions_docs, leaks, pairs, personal, residue, tokenize
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,8 @@ def queries() -> dict[str, Query]:
         "p6_found": credentials.p6_found,
         "p6_redacted": credentials.p6_redacted,
         "p7_ids": tokenize.p7_ids,
+        "p8_found": leaks.p8_found,
+        "p9_found": residue.p9_found,
     }
 
 
