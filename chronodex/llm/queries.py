@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversations, credentials, functions_docs, leaks, pairs, personal, residue, tokenize
+from . import conversations, credentials, functions_docs, leaks, neighbors, pairs, personal, residue, tokenize
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,7 @@ def queries() -> dict[str, Query]:
         "p1_found": pairs.p1_found,
         "p2_found": functions_docs.p2_found,
         "p2_pairs": functions_docs.p2_pairs,
+        "p4_found": neighbors.p4_found,
         "p3_found": conversations.p3_found,
         "p5_found": personal.p5_found,
         "p5_redacted": personal.p5_redacted,
@@ -28,4 +29,5 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": conversations.P3_SQL}
+    return {"p4_found": neighbors.p4_found,
+        "p3_found": conversations.P3_SQL}
