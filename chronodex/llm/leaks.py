@@ -144,7 +144,8 @@ class ItemIndex:
             return row, row
         left = np.repeat(row, n)
         right = self.which[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
-        pair = np.unique(left * len(self.windows) + right)
+        pair = np.sort(left * len(self.windows) + right)
+        pair = pair[np.append(True, pair[1:] != pair[:-1])]
         left, right = pair // len(self.windows), pair % len(self.windows)
         keep = np.zeros(len(left), bool)
         for at in range(0, len(left), 200_000):
@@ -197,6 +198,24 @@ def passage(doc: list[int], item: list[int], weights: list[float], diagonal: int
     return span, equal / span, sum(w for w, x in zip(weights[a : b + 1], item[a : b + 1]) if x in near) / total
 
 
+def worth_aligning(doc: np.ndarray, item: np.ndarray, weights: np.ndarray, diagonal: int) -> bool:
+    """Whether an alignment near the diagonal can pass: an upper bound on the weight it can have equal.
+
+    An item word counts if the document has it within ``BAND`` of its place on the diagonal. Some run of
+    a third of the item (as long as the shortest passage that counts) must reach ``WEIGHT`` in such words.
+    """
+    m = len(item)
+    near = np.zeros(m, bool)
+    for shift in range(-BAND, BAND + 1):
+        lo = diagonal + shift
+        a, b = max(0, -lo), min(m, len(doc) - lo)
+        if a < b:
+            near[a:b] |= doc[lo + a : lo + b] == item[a:b]
+    run = max(1, math.ceil(SHARE * m))
+    have, total = np.concatenate([[0.0], np.cumsum(weights * near)]), np.concatenate([[0.0], np.cumsum(weights)])
+    return bool(((have[run:] - have[:-run]) >= WEIGHT * (total[run:] - total[:-run])).any())
+
+
 def found_in(docs: list[np.ndarray], index: ItemIndex) -> list[tuple[int, int]]:
     """(document, item) pairs of a batch for which the document holds a passage of the item."""
     mats, owner, start = [], [], []
@@ -223,6 +242,8 @@ def found_in(docs: list[np.ndarray], index: ItemIndex) -> list[tuple[int, int]]:
             if any(abs(diagonal - t) <= BAND // 2 for t in tried):
                 continue
             tried.append(diagonal)
+            if not worth_aligning(docs[d], index.hashed[i], index.weights[i], diagonal):
+                continue
             span, equal, weight = passage(doc, item, weights, diagonal)
             if span >= SHARE * len(item) and equal >= IDENTITY and weight >= WEIGHT:
                 out.append((d, index.ids[i]))
