@@ -9,10 +9,11 @@ corpus taking part, and its passage scores are put together into one decision pe
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,55 +94,94 @@ def passages(text: str) -> list[tuple[str, int]]:
 _CODE_LINE = re.compile(r"[;{}]\s*$|^\s*(?:def|class|fn|pub|let|const|var|import|from|return|if|for|while|async|export|use|impl|static|function|total|items)\b.*[(={:;]|^\s*(?://|/\*|\*|#!|@\w+|\"\"\"|''')|^\s*[\w.]+\s*(?:\+?=|\()|=>")
 _HEADING = re.compile(r"^(?:#{1,6}\s|={3,}|-{3,}|\|[-| :]+\|$)|^\W*$")
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|\d+")
+_CODE_NAME = re.compile(r"\w[/_]\w|\w\(")
+
+
+_word_hash: dict[str, int] = {}
+
+
+def _hash(word: str) -> int:
+    h = _word_hash.get(word)
+    if h is None:
+        if len(_word_hash) > 500_000:
+            _word_hash.clear()
+        h = _word_hash[word] = xxhash.xxh32_intdigest(word)
+    return h
 
 
 def features_of(passage: str, placeholders: int) -> list[int]:
     """Hashed words, neighbours, opening and form of a passage, each once."""
-    words = [w if not w.isdigit() else "0" * min(len(w), 4) for w in _WORD.findall(passage.lower())]
-    words = [c for w in words for c in (w if re.match(r"[一-鿿]", w) else [w])]
-    raw = {"w " + w for w in words} | {f"n {a} {b}" for a, b in zip(words, words[1:])}
-    raw |= {"open " + " ".join(words[:2]), f"len {min(len(words), 40).bit_length()}", f"ph {min(placeholders, 3)}"}
+    words: list[str] = []
+    for w in _WORD.findall(passage.lower()):
+        c = w[0]
+        if "0" <= c <= "9":
+            words.append("0000"[: len(w)])
+        elif "一" <= c <= "鿿":
+            words += w
+        else:
+            words.append(w)
+    h = [_hash(w) for w in words]
+    raw = set(h)
+    raw.update([(a * 31 + 7 * b + 1) & 0xFFFFFFFF for a, b in zip(h, h[1:])])
+    raw.add(sum(h[:2]) + 3)
+    raw.add(_hash(f"len {min(len(words), 40).bit_length()}"))
+    raw.add(_hash(f"ph {min(placeholders, 3)}"))
     if "`" in passage or '"' in passage or "quoted" in words:
-        raw.add("has quotes")
-    if re.search(r"\w[/_]\w|\w\(", passage):
-        raw.add("has code names")
-    return sorted({xxhash.xxh32_intdigest(f) % N_FEATURES for f in raw})
+        raw.add(_hash("has quotes"))
+    if _CODE_NAME.search(passage):
+        raw.add(_hash("has code names"))
+    return list({f * 2654435761 % 4294967296 >> 17 for f in raw})
 
 
-RECORD = "features array<array<int>>, size array<int>, trusted array<boolean>, placeholders array<int>"
+RECORD = "features array<int>, length array<int>, size array<int>, trusted array<boolean>, placeholders array<int>"
 
 
-def _record(text: str) -> tuple[list, list, list, list]:
-    features, size, trusted, placeholders = [], [], [], []
+def _record(text: str) -> Iterator[tuple[list[int], int, bool, int]]:
+    """Features, size, trust and placeholders of each passage that says something."""
     for p, n in passages(text):
         if _HEADING.match(p) and not n or p == "```":
             continue  # a heading or rule alone says nothing either way
-        code = bool(_CODE_LINE.search(p)) and n < 2
-        features.append([] if code else features_of(p, n))
-        size.append(len(p))
-        trusted.append(not code and (bool(_TRUSTED.match(p)) or n >= 2 or n == 1 and bool(re.fullmatch(r"\W*(?:[\w ]{1,24}:)?\W*placeholder\W*", p))))
-        placeholders.append(0 if code else n)
-    return features, size, trusted, placeholders
+        if n < 2 and _CODE_LINE.search(p):
+            yield [], len(p), False, 0
+        else:
+            trusted = n >= 2 or bool(_TRUSTED.match(p)) or n == 1 and bool(re.fullmatch(r"\W*(?:[\w ]{1,24}:)?\W*placeholder\W*", p))
+            yield features_of(p, n), len(p), trusted, n
 
 
 def records(docs: DataFrame) -> DataFrame:
-    """Each document's passages as hashed features: doc_id and the columns of ``RECORD``."""
-    kind = dict(docs.dtypes)["doc_id"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(i, *_record(t)) for i, t in zip(pdf.doc_id, pdf.text)]
-            yield pd.DataFrame(rows, columns=["doc_id", "features", "size", "trusted", "placeholders"])
-
-    return docs.select("doc_id", "text").filter("text is not null and text rlike '\\\\S'").mapInPandas(run, f"doc_id {kind}, {RECORD}")
+    """Each document's passages as hashed features: doc_id and the columns of ``RECORD``.
 
+    ``features`` holds those of all passages one after the other, ``length`` how many each has.
+    """
+    kind = dict(docs.dtypes)["doc_id"]
 
-def _flat(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Passage of each feature, feature, and whether each passage is trusted; code passages have no features."""
-    lists = [np.asarray(f, np.int64) for doc in pdf.features for f in doc]
-    lengths = np.array([len(x) for x in lists], np.int64)
-    col = np.concatenate(lists) if lists else np.zeros(0, np.int64)
-    return np.repeat(np.arange(len(lists)), lengths), col, np.concatenate([np.asarray(t, bool) for t in pdf.trusted]) if len(pdf) else np.zeros(0, bool)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            features, starts = array("i"), array("i", [0])
+            length, size, trusted, placeholders, passages_to = array("i"), array("i"), bytearray(), array("i"), array("i", [0])
+            for text in batch.column("text").to_pylist():
+                for f, s, t, n in _record(text):
+                    features.extend(f)
+                    length.append(len(f))
+                    size.append(s)
+                    trusted.append(t)
+                    placeholders.append(n)
+                starts.append(len(features))
+                passages_to.append(len(length))
+            per_passage = pa.array(np.frombuffer(passages_to, "i4"))
+            lists = [pa.ListArray.from_arrays(pa.array(np.frombuffer(starts, "i4")), pa.array(np.frombuffer(features, "i4")))]
+            lists += [pa.ListArray.from_arrays(per_passage, pa.array(x)) for x in (np.frombuffer(length, "i4"), np.frombuffer(size, "i4"), np.frombuffer(trusted, "u1").astype(bool), np.frombuffer(placeholders, "i4"))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *lists], ["doc_id", "features", "length", "size", "trusted", "placeholders"])
+
+    return docs.select("doc_id", "text").filter("text is not null and text rlike '\\\\S'").mapInArrow(run, f"doc_id {kind}, {RECORD}")
+
+
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Passage of each feature, feature, whether each passage is trusted, and its record."""
+    trusted = batch.column("trusted").flatten().to_numpy(zero_copy_only=False).astype(bool)
+    length = batch.column("length").flatten().to_numpy(zero_copy_only=False)
+    record = np.repeat(np.arange(batch.num_rows), batch.column("trusted").value_lengths().to_numpy(zero_copy_only=False))
+    return np.repeat(np.arange(len(length)), length), batch.column("features").flatten().to_numpy(zero_copy_only=False), trusted, record
 
 
 def _evidence(row: np.ndarray, col: np.ndarray, n: int, odds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -151,23 +191,21 @@ def _evidence(row: np.ndarray, col: np.ndarray, n: int, odds: np.ndarray) -> tup
     return np.bincount(row, weights=odds[col], minlength=n) * np.minimum(1.0, 24 / np.maximum(k, 1)), k > 0
 
 
-def _posterior(pdf: pd.DataFrame, model: tuple[np.ndarray, float] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _posterior(batch: pa.RecordBatch, model: tuple[np.ndarray, float] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Features' passages, features, and each passage's probability and whether it has features.
 
     Trusted passages have probability 1. Another passage's prior is the corpus' one, or half of what
     the surest other passage of its record has, if that is more. Without a model, passages beside a
     trusted one have one half and all others none.
     """
-    row, col, trusted = _flat(pdf)
-    n = len(trusted)
-    lengths = pdf.trusted.map(len).to_numpy() if len(pdf) else np.zeros(0, int)
-    record = np.repeat(np.arange(len(pdf)), lengths)
+    row, col, trusted, record = _flat(batch)
+    n, records = len(trusted), batch.num_rows
 
     def surest_other(p: np.ndarray) -> np.ndarray:
-        best, second = np.zeros(len(pdf)), np.zeros(len(pdf))
+        best, second = np.zeros(records), np.zeros(records)
         np.maximum.at(best, record, p)
         is_best = p == best[record]
-        several = np.bincount(record, weights=is_best, minlength=len(pdf)) > 1
+        several = np.bincount(record, weights=is_best, minlength=records) > 1
         np.maximum.at(second, record[~is_best], p[~is_best])
         return np.where(is_best & ~several[record], second[record], best[record])
 
@@ -193,10 +231,10 @@ def fit(data: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
     for _ in range(rounds + 1):
         shared = spark.sparkContext.broadcast(model)
 
-        def count(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             pos, neg = np.zeros(N_FEATURES + 1), np.zeros(N_FEATURES + 1)
-            for pdf in batches:
-                row, col, p, seen = _posterior(pdf, shared.value)
+            for batch in batches:
+                row, col, p, seen = _posterior(batch, shared.value)
                 if not len(p):
                     continue
                 pos[:-1] += np.bincount(col, weights=p[row], minlength=N_FEATURES)
@@ -205,9 +243,9 @@ def fit(data: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
                 neg[-1] += (1 - p)[seen].sum()
             at = np.nonzero(pos + neg)[0]
             if len(at):
-                yield pd.DataFrame({"feature": at.astype("i4"), "pos": pos[at], "neg": neg[at]})
+                yield pa.RecordBatch.from_arrays([pa.array(at.astype("i4")), pa.array(pos[at]), pa.array(neg[at])], ["feature", "pos", "neg"])
 
-        sums = data.select("features", "trusted").mapInPandas(count, "feature int, pos double, neg double").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).collect()
+        sums = data.select("features", "length", "trusted").mapInArrow(count, "feature int, pos double, neg double").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).collect()
         pos, neg = np.zeros(N_FEATURES), np.zeros(N_FEATURES)
         n_pos = n_neg = 0.0
         for r in sums:
@@ -246,16 +284,15 @@ def find_residue(docs: DataFrame) -> DataFrame:
     data = materialize(records(docs), "residue-passages")
     shared = docs.sparkSession.sparkContext.broadcast(fit(data))
 
-    @F.pandas_udf("boolean")
-    def residue(features: pd.Series, size: pd.Series, trusted: pd.Series, placeholders: pd.Series) -> pd.Series:
-        p = _posterior(pd.DataFrame({"features": features, "trusted": trusted}), shared.value)[2]
-        out, at = [], 0
-        for s, h in zip(size, placeholders):
-            out.append(decide(p[at : at + len(s)], np.asarray(s), np.asarray(h)))
-            at += len(s)
-        return pd.Series(out, dtype=bool)
+    def residue(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = _posterior(batch, shared.value)[2]
+            size, placeholders = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("size", "placeholders"))
+            ends = np.cumsum(batch.column("size").value_lengths().to_numpy(zero_copy_only=False))
+            keep = [decide(p[a:b], size[a:b], placeholders[a:b]) for a, b in zip([0, *ends[:-1]], ends)] if len(ends) else []
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").filter(pa.array(keep, pa.bool_()))], ["doc_id"])
 
-    return data.filter(residue("features", "size", "trusted", "placeholders")).select("doc_id")
+    return data.mapInArrow(residue, f"doc_id {dict(docs.dtypes)['doc_id']}")
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
