@@ -12,7 +12,7 @@ LEVEL_WEIGHT = {"Highest": 1.2, "High": 1.0, "Medium": 0.85, "Low": 0.6, "Lowest
 
 def epoch(ts: Column) -> Column:
     """Whole seconds since 1970, rounded down."""
-    return F.unix_seconds(ts)
+    return F.unix_seconds(ts.cast("timestamp"))
 
 
 def age_days(ts: Column, now: Column) -> Column:

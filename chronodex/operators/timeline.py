@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..functions.scoring import epoch
 
 COLUMNS = ("event_id", "ts", "event_type", "content")
 
@@ -31,7 +32,7 @@ def by_topic(timeline: DataFrame) -> DataFrame:
 
 def by_period(timeline: DataFrame, now: Column, days: int) -> DataFrame:
     """Number of events by how many periods of ``days`` days ago they were; the future counts as now."""
-    ago = F.greatest(F.floor((F.unix_seconds(now) - F.unix_seconds("ts")) / 86400), F.lit(0))
+    ago = F.greatest(F.floor((epoch(now) - epoch(F.col("ts"))) / 86400), F.lit(0))
     bucket = F.floor(ago / days)
     label = F.when(bucket == 0, f"Last {days} days").otherwise(F.concat((bucket * days).cast("string"), F.lit("-"), ((bucket + 1) * days).cast("string"), F.lit(" days ago")))
     return timeline.groupBy(label.alias("period")).agg(F.count(F.lit(1)).alias("n_events"))
