@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import materialize, scratch_path
+from ..session import materialize
+from ..streaming.replay import replay
 from ..tables import latest, role_of
 
 #: Width of the state's time buckets.
@@ -54,28 +55,10 @@ def buffered_segments(stream: DataFrame, bucket: str = BUCKET, lateness: str = L
     )
 
 
-def replay(spark: SparkSession, path: str, bucket: str = BUCKET, lateness: str = LATENESS) -> DataFrame:
-    """Runs a stored message table through the stream until it is used up; gives its segments.
-
-    A second source of the stream holds one row far in the future: after all messages it moves the
-    watermark past every bucket, so each is closed and emitted. All of the table comes in one
-    micro-batch, before the watermark moves, so no row is late.
-    """
-    end, out, state = (scratch_path(spark, f"conversations-{x}") for x in ("end", "segments", "state"))
-    spark.createDataFrame([(None, None, None, None, END_OF_INPUT, END_OF_INPUT)], MESSAGE).coalesce(1).write.parquet(end)
-    fields = [f.name for f in MESSAGE]
-    read = spark.readStream.schema(MESSAGE)
-    # as a glob, the path may name a folder or a single file
-    stream = read.parquet(f"{path[:-1]}[{path[-1]}]").select(*fields).unionByName(read.parquet(end).select(*fields))
-    query = (
-        buffered_segments(stream, bucket, lateness)
-        .writeStream.format("parquet").outputMode("append")
-        .option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    if query.exception():
-        raise query.exception()
-    return spark.read.parquet(out)
+def stored_segments(spark: SparkSession, path: str, bucket: str = BUCKET, lateness: str = LATENESS) -> DataFrame:
+    """Segments of a stored message table, run through the stream until it is used up."""
+    end = {"timestamp": END_OF_INPUT, "ingested_at": END_OF_INPUT}
+    return replay(spark, path, MESSAGE, lambda stream: buffered_segments(stream, bucket, lateness), end, "conversations")
 
 
 def conversations(segments: DataFrame, sessions: DataFrame, bucket: str = BUCKET) -> DataFrame:
@@ -125,7 +108,7 @@ def conversations(segments: DataFrame, sessions: DataFrame, bucket: str = BUCKET
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each user and assistant message of a kept conversation."""
-    segments = replay(spark, f"{sf_dir}/messages.parquet")
+    segments = stored_segments(spark, f"{sf_dir}/messages.parquet")
     return conversations(segments, spark.read.parquet(f"{sf_dir}/chat_sessions.parquet").select("id"))
 
 
