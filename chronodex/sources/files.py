@@ -48,7 +48,8 @@ def read_files(spark: SparkSession, root: str, patterns: list[str] | None = None
     """One row per file below ``root`` with the columns of the files table, plus ``content``.
 
     Skips the usual build folders, ignored paths and files of more than ``MAX_BYTES``. The content is
-    text; the hash is that of the bytes.
+    text; the hash is that of the bytes. Files whose name begins with a dot or underline are left out, as in
+    all of Spark's file sources.
     """
     base = root.rstrip("/") + "/"
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
@@ -59,5 +60,5 @@ def read_files(spark: SparkSession, root: str, patterns: list[str] | None = None
     return rows.select(
         F.concat(F.lit("file:"), F.sha2(F.concat_ws("/", where, "file_path"), 256)).alias("id"), where.alias("project_path"), "file_path",
         text.language(F.col("file_path")).alias("language"), text.file_kind(F.col("file_path")).alias("kind"), F.col("modificationTime").alias("modified_at"),
-        F.col("length").alias("size"), F.sha2("content", 256).alias("content_hash"), F.decode("content", F.lit("UTF-8")).alias("content"),
+        F.col("length").alias("size"), F.sha2("content", 256).alias("content_hash"), F.col("content").cast("string").alias("content"),
     )
