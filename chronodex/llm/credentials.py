@@ -239,9 +239,9 @@ def find_credentials(df: DataFrame, text: str = "content", redacted: bool = True
 
     ``found`` is array<struct<kind, line_no, begin, end>>; the text column holds the redacted text
     (with ``redacted`` false it is left out, so texts don't travel on). Rows are independent, and texts
-    are read whole: no shuffle. Null and empty texts have no credentials; repeated rows are found each.
+    are read whole: no shuffle. An existing column ``found`` is replaced. Null and empty texts have no credentials; repeated rows are found each.
     """
-    rest = [c for c in df.columns if c != text]
+    rest = [c for c in df.columns if c not in (text, "found")]
     fields = {f.name: f.dataType.simpleString() for f in df.schema}
     schema = ", ".join([f"`{c}` {fields[c]}" for c in rest] + [f"`{text}` string"] * redacted + ["found array<struct<kind: string, line_no: int, begin: int, end: int>>"])
 
