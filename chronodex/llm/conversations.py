@@ -19,8 +19,8 @@ from ..session import materialize
 from ..streaming.replay import replay
 from ..tables import latest, role_of
 
-#: Width of the state's time buckets.
-BUCKET = "1 hour"
+#: Width of the time buckets, in seconds.
+BUCKET = 3600
 #: How long after its timestamp a message may still arrive on a live stream.
 LATENESS = "45 days"
 #: Event time of the row that tells a replayed stream that nothing more will come.
@@ -34,7 +34,7 @@ def has_text(content: Column) -> Column:
     return F.coalesce(content.rlike(r"[\p{L}\p{N}]"), F.lit(False))
 
 
-def buffered_segments(stream: DataFrame, bucket: str = BUCKET, lateness: str = LATENESS) -> DataFrame:
+def buffered_segments(stream: DataFrame, bucket: int = BUCKET, lateness: str = LATENESS) -> DataFrame:
     """Streaming: the rows of each (session, time bucket), emitted when the watermark closes it.
 
     Event time is the message's ``timestamp``, or ``ingested_at`` where that is null (the row still
@@ -49,19 +49,19 @@ def buffered_segments(stream: DataFrame, bucket: str = BUCKET, lateness: str = L
             role_of(F.col("role")).alias("role"), has_text(F.col("content")).alias("has_text"), when.alias("event_time"),
         )
         .withWatermark("event_time", lateness)
-        .groupBy("session_id", F.window("event_time", bucket))
+        .groupBy("session_id", F.window("event_time", f"{bucket} seconds"))
         .agg(F.collect_list(F.struct("id", "timestamp", "ingested_at", "role", "has_text")).alias("rows"))
         .select("session_id", "rows")
     )
 
 
-def stored_segments(spark: SparkSession, path: str, bucket: str = BUCKET, lateness: str = LATENESS) -> DataFrame:
+def stored_segments(spark: SparkSession, path: str, bucket: int = BUCKET, lateness: str = LATENESS) -> DataFrame:
     """Segments of a stored message table, run through the stream until it is used up."""
     end = {"timestamp": END_OF_INPUT, "ingested_at": END_OF_INPUT}
     return replay(spark, path, MESSAGE, lambda stream: buffered_segments(stream, bucket, lateness), end, "conversations")
 
 
-def conversations(segments: DataFrame, sessions: DataFrame, bucket: str = BUCKET) -> DataFrame:
+def conversations(segments: DataFrame, sessions: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """``session_id``, ``turn``, ``id`` of each kept conversation, from segments and known session ids.
 
     Kept is a conversation whose session is in ``sessions`` (column ``id``; repeated rows do not
@@ -74,7 +74,7 @@ def conversations(segments: DataFrame, sessions: DataFrame, bucket: str = BUCKET
     """
     rows = latest(segments.select("session_id", F.explode("rows").alias("r")).select("session_id", "r.*"), ["id"], "ingested_at")
     # a row's time bucket; null timestamps form a bucket of their own, which breaks the session anyway
-    rows = rows.withColumn("bucket", F.window("timestamp", bucket)["start"])
+    rows = rows.withColumn("bucket", F.floor(F.unix_seconds(F.col("timestamp").cast("timestamp")) / bucket))
     spoken = F.col("role") != "system"
     turn = F.struct("timestamp", "id", F.col("role").alias("role"))
     parts = rows.groupBy("session_id", "bucket").agg(

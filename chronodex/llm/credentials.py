@@ -69,7 +69,7 @@ _END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 
 #: Sample words and blanks to be filled in.
 _SAMPLE = re.compile(
-    r"(?i)^[<\[{(]|[>\]}]$|your[-_ ]?|change[-_]?(?:me|it|this)|replace[-_]?(?:me|this|with)|example|sample|dummy|place-?holder|redacted|insert[-_]|fill[-_]?in|to[-_]?do\b|^(?:x+|\*+|\.+|-+|_+|0+|#+|\?+|abc\d*|test\d*|foo|bar|none|null|nil|true|false|undefined|empty|secret|password|passwd|token|hunter2|letmein|admin|root|1234\d*|qwerty\w*)$|(.)\1{7,}|set[-_ ]in|my[-_](?:secret|password|token|key|api)"
+    r"(?i)^[<\[{(]|[>\]}]$|your[-_ ]?|change[-_]?(?:me|it|this)|replace[-_]?(?:me|this|with)|example|sample|dummy|place-?holder|redacted|insert[-_]|fill[-_]?in|to[-_]?do\b|^[xX0\W_]+$|^(?:x+|\*+|\.+|-+|_+|0+|#+|\?+|abc\d*|test\d*|foo|bar|none|null|nil|true|false|undefined|empty|secret|password|passwd|token|hunter2|letmein|admin|root|1234\d*|qwerty\w*)$|(.)\1{7,}|set[-_ ]in|my[-_](?:secret|password|token|key|api)"
 )
 _REFERENCE = re.compile(r"(?i)^[$%@!&]?[{(]|^\$\w|^%\w+%$|^(?:process|os|env|std|self|this|config|settings|args|import|secrets?|vault|ssm|keyring|params|ctx|req|request)\b[.:\[]|getenv|environ|^(?:env|var|vault|ref|file|arn|secret|keyvault):|\)$|\($|::")
 _PATH = re.compile(r"^\.{0,2}(?:/[a-z0-9_.\-]+){2,}$|^[a-z_\-]+(?:/[a-z_.\-]+)+$|^~/")
@@ -251,8 +251,8 @@ def find_credentials(df: DataFrame, text: str = "content", redacted: bool = True
             keep = [i for i, x in enumerate(spans) if x]
             out = pdf.iloc[keep][rest].reset_index(drop=True)
             if redacted:
-                out[text] = [redact(pdf[text].iat[i], spans[i]) for i in keep]
-            out["found"] = [[dict(zip(("kind", "line_no", "begin", "end"), x)) for x in spans[i]] for i in keep]
+                out[text] = pd.Series([redact(pdf[text].iat[i], spans[i]) for i in keep], dtype=object)
+            out["found"] = pd.Series([[dict(zip(("kind", "line_no", "begin", "end"), x)) for x in spans[i]] for i in keep], dtype=object)
             yield out
 
     return df.select(*rest, text).mapInPandas(run, schema)
