@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,3 +58,27 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per application.
+
+    Functions that run in Python workers are pickled by reference, so the workers must be able to
+    import the package. A zip of it goes into the shared scratch folder and is added to the session.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root, buffer = Path(__file__).parent, io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, f"{root.name}/{p.relative_to(root)}")
+    target = spark._jvm.org.apache.hadoop.fs.Path(scratch_path(spark, "code") + f"/{root.name}.zip")
+    stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    stream.write(bytearray(buffer.getvalue()))
+    stream.close()
+    context.addPyFile(str(target.toString()))
+    _shipped.add(context.applicationId)
