@@ -202,3 +202,117 @@ def chunk_markdown(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def chunk_symbol(code: pd.Series, start_line: pd.Series) -> pd.Series:
     names = ("block", "start_line", "end_line", "content")
     return pd.Series([[dict(zip(names, c)) for c in symbol_blocks(t, None if pd.isna(n) else int(n))] for t, n in zip(code, start_line)], dtype=object)
+
+
+# ---- other document formats
+
+
+def plain_paragraphs(text: Column) -> Column:
+    """Paragraphs between blank lines, each as one line; null and blank texts give an empty array."""
+    parts = F.split(F.regexp_replace(text, r"\r\n?", "\n"), r"\n[ \t\f\n]*\n")
+    joined = F.transform(parts, lambda p: F.regexp_replace(F.regexp_replace(p, r"[ \t\f]*\n[ \t\f]*", " "), r"^[ \t\f]+|[ \t\f]+$", ""))
+    return F.coalesce(F.filter(joined, lambda p: p != ""), F.array().cast("array<string>"))
+
+
+def rst_chunks(text: str | None) -> list[tuple[str, str, int | None, list[str], int, int]]:
+    """Titles (underlined at least as long as they are, by ``= - ~ *``) and paragraphs, as :func:`markdown_chunks` gives them.
+
+    The first kind of underline is level 1, the next new one level 2, and so on.
+    """
+    rows = (text or "").replace("\r\n", "\n").replace("\r", "\n").split("\n")
+    out, path, levels, buffer, first, i = [], [], [], [], 0, 0
+
+    def flush(last: int) -> None:
+        if buffer:
+            out.append(("Paragraph", " ".join(buffer), None, [h for _, h in path], first, last))
+            buffer.clear()
+
+    while i < len(rows):
+        line = rows[i].strip()
+        under = rows[i + 1].strip() if i + 1 < len(rows) else ""
+        if line and len(under) >= max(3, len(line)) and re.fullmatch(r"=+|-+|~+|\*+", under):
+            flush(i)
+            if under[0] not in levels:
+                levels.append(under[0])
+            level = levels.index(under[0]) + 1
+            path[:] = [p for p in path if p[0] < level] + [(level, line)]
+            out.append(("Header", line, level, [h for _, h in path], i + 1, i + 2))
+            i += 1
+        elif not line:
+            flush(i)
+        else:
+            first = first if buffer else i + 1
+            buffer.append(line)
+        i += 1
+    flush(len(rows))
+    return out
+
+
+def asciidoc_chunks(text: str | None) -> list[tuple[str, str, int | None, list[str], int, int]]:
+    """Titles (one to six ``=``), ``----`` blocks and paragraphs, as :func:`markdown_chunks` gives them."""
+    rows = (text or "").replace("\r\n", "\n").replace("\r", "\n").split("\n")
+    out, path, buffer, first, i = [], [], [], 0, 0
+
+    def flush(last: int) -> None:
+        if buffer:
+            out.append(("Paragraph", " ".join(buffer), None, [h for _, h in path], first, last))
+            buffer.clear()
+
+    while i < len(rows):
+        line = rows[i].strip()
+        title = re.fullmatch(r"(={1,6})\s+(.+)", line)
+        if re.fullmatch(r"-{4,}", line):
+            flush(i)
+            end = next((k for k in range(i + 1, len(rows)) if rows[k].strip() == line), len(rows))
+            out.append(("CodeBlock", "\n".join(rows[i + 1 : end]), None, [h for _, h in path], i + 1, min(end + 1, len(rows))))
+            i = end
+        elif title:
+            flush(i)
+            path[:] = [p for p in path if p[0] < len(title[1])] + [(len(title[1]), title[2])]
+            out.append(("Header", title[2], len(title[1]), [h for _, h in path], i + 1, i + 1))
+        elif not line:
+            flush(i)
+        else:
+            first = first if buffer else i + 1
+            buffer.append(line)
+        i += 1
+    flush(len(rows))
+    return out
+
+
+_INLINE = [(re.compile(r"!\[([^\]]*)\]\([^)]*\)"), r"\1"), (re.compile(r"\[([^\]]*)\]\([^)]*\)"), r"\1"), (re.compile(r"`([^`]+)`"), r"\1"), (re.compile(r"(\*\*|__)(?=\S)(.+?)(?<=\S)\1"), r"\2"), (re.compile(r"(?<!\w)([*_])(?=\S)(.+?)(?<=\S)\1(?!\w)"), r"\2")]
+
+
+def clean_inline(text: str | None) -> str:
+    """Markdown marks of images, links, code, bold and italic taken away; escaped and unclosed marks stay."""
+    kept: list[str] = []
+
+    def hide(m: re.Match) -> str:
+        kept.append(m.group(1))
+        return f"\x00{len(kept) - 1}\x01"
+
+    s = re.sub(r"\\([\\`*_{}\[\]()#+\-.!>])", hide, text or "")
+    for pattern, by in _INLINE:
+        s = pattern.sub(by, s)
+    return re.sub(r"\x00(\d+)\x01", lambda m: kept[int(m[1])], s).strip()
+
+
+def clean_markdown(text: str | None) -> str:
+    """A markdown text as one line: no blank lines, list and quote marks or inline marks."""
+    rows = [clean_inline(re.sub(r"^(?:[-*]\s+|>\s?)+", "", line.strip())) for line in (text or "").splitlines()]
+    return " ".join(r for r in rows if r)
+
+
+FORMATS = {"md": markdown_chunks, "markdown": markdown_chunks, "rst": rst_chunks, "adoc": asciidoc_chunks, "asciidoc": asciidoc_chunks}
+
+
+@F.pandas_udf(_rows(kind=_S, content=_S, header_level=_I, header_path=T.ArrayType(_S), start_line=_I, end_line=_I))
+def chunk_document(text: pd.Series, extension: pd.Series) -> pd.Series:
+    """Chunks by file extension; an unknown one gives none."""
+    names = ("kind", "content", "header_level", "header_path", "start_line", "end_line")
+    return pd.Series([[dict(zip(names, c)) for c in FORMATS[e](t)] if e in FORMATS else [] for t, e in zip(text, extension)], dtype=object)
+
+
+@F.pandas_udf(T.StringType())
+def cleaned_markdown(text: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else clean_markdown(t) for t in text], dtype=object)

@@ -59,6 +59,18 @@ def chunk_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("plan_id", "chunk_no", "c.kind", "c.content", "c.header_level", F.array_join("c.header_path", " > ").alias("header_path"), "c.start_line", "c.end_line")
 
 
+def chunk_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.posexplode(chunking.plain_paragraphs(F.col("text"))).alias("chunk_no", "chunk"))
+    return rows.select("doc_id", "chunk_no", F.length("chunk").alias("n_chars"), F.sha2("chunk", 256).alias("chunk_hash"))
+
+
+def chunk_doc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documentation files by their format."""
+    f = files(spark, sf_dir).select(F.col("id").alias("file_id"), text.extension(F.col("file_path")).alias("ext")).filter(F.col("ext").isin(list(chunking.FORMATS)))
+    rows = texts(spark, sf_dir).join(f, "file_id").select("file_id", F.posexplode(chunking.chunk_document("content", "ext")).alias("chunk_no", "c"))
+    return rows.select("file_id", "chunk_no", "c.kind", chunking.cleaned_markdown("c.content").alias("content"), "c.header_level", F.array_join("c.header_path", " > ").alias("header_path"), "c.start_line", "c.end_line")
+
+
 def chunk_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "symbols", "id", "branch_name", "code", "start_line").distinct()
     rows = rows.select("id", "branch_name", F.explode(chunking.chunk_symbol("code", "start_line")).alias("c"))
@@ -201,7 +213,7 @@ def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        file_incremental, deleted_files, content_hash_ids, classify_files, chunk_lines, chunk_paragraphs, chunk_messages, chunk_plans, chunk_symbols, symbol_truncated, doc_truncated, imports_exports, code_keywords, symbol_file_status,
+        file_incremental, deleted_files, content_hash_ids, classify_files, chunk_lines, chunk_paragraphs, chunk_messages, chunk_plans, chunk_plain, chunk_doc_files, chunk_symbols, symbol_truncated, doc_truncated, imports_exports, code_keywords, symbol_file_status,
         symbol_hierarchy, branch_symbols, branch_only_symbols, id_lists, file_history, plan_titles, plan_match, title_words, project_paths, diff_line_counts, corpus_view, embedding_cache_miss, index_stats, status_summary, upsert_latest,
     )
 }
@@ -225,6 +237,9 @@ SQL = {
         {_LANG} AS language, g.kind AS stored_kind, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM g GROUP BY ALL""",
     "chunk_lines": f"""WITH {_T}, l AS (SELECT file_id, {_LINES.format(c='content')} AS ls FROM t WHERE length(content) > 0), w AS (SELECT file_id, ls, unnest(range(0, CAST(greatest(ceil((len(ls) - 100) / 90), 0) AS BIGINT) + 1)) AS i FROM l)
         SELECT file_id, CAST(i * 90 + 1 AS INTEGER) AS start_line, CAST(least(i * 90 + 100, len(ls)) AS INTEGER) AS end_line, sha256(array_to_string(ls[i * 90 + 1 : i * 90 + 100], chr(10))) AS content_hash FROM w""",
+    "chunk_plain": r"""WITH p AS (SELECT doc_id, string_split_regex(regexp_replace(text, '\r\n?', chr(10), 'g'), '\n[ \t\f\n]*\n') AS ps FROM documents WHERE text IS NOT NULL),
+        c AS (SELECT doc_id, list_filter(list_transform(ps, lambda x: regexp_replace(regexp_replace(x, '[ \t\f]*\n[ \t\f]*', ' ', 'g'), '^[ \t\f]+|[ \t\f]+$', '', 'g')), lambda x: x <> '') AS cs FROM p),
+        u AS (SELECT doc_id, cs, unnest(range(len(cs))) AS k FROM c) SELECT doc_id, CAST(k AS INTEGER) AS chunk_no, CAST(length(cs[k + 1]) AS INTEGER) AS n_chars, sha256(cs[k + 1]) AS chunk_hash FROM u""",
     "symbol_truncated": "SELECT DISTINCT id, branch_name, CASE WHEN strlen(code) > 1000 THEN left(code, 500) || '...' || chr(10) || '[truncated: ' || length(code) || ' total chars]' ELSE code END AS text FROM symbols",
     "doc_truncated": "SELECT doc_id, CASE WHEN strlen(text) > 500 THEN left(text, 500) || '...' ELSE text END AS preview FROM documents WHERE text IS NOT NULL",
     "imports_exports": rf"""WITH {_F}, {_T}, g AS (SELECT id, {_EXT.format(c='file_path')} AS e FROM f), h AS (SELECT file_id, {_LANG} AS lang, {_TRIMMED} AS ls FROM t JOIN g ON id = file_id)

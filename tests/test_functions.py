@@ -152,3 +152,24 @@ def test_time_ranges():
     assert time_range(NOW, after="2024-01-01", max_age="1d")[0] == dt.datetime(2024, 1, 1)
     with pytest.raises(ValueError):
         time_range(NOW, after="2024-01-05", before="2024-01-05")
+
+
+def test_other_formats(spark):
+    rst = chunking.rst_chunks("Title\n=====\n\ntext\nmore\n\nSub\n---\nx\n\nNext\n====\n")
+    assert [(r[0], r[1], r[2]) for r in rst] == [("Header", "Title", 1), ("Paragraph", "text more", None), ("Header", "Sub", 2), ("Paragraph", "x", None), ("Header", "Next", 1)] and rst[3][3] == ["Title", "Sub"]
+    adoc = chunking.asciidoc_chunks("= Main\n\n== Part\ntext\n\n----\ncode\n----\n----\nopen")
+    assert [(r[0], r[1]) for r in adoc] == [("Header", "Main"), ("Header", "Part"), ("Paragraph", "text"), ("CodeBlock", "code"), ("CodeBlock", "open")]
+    assert chunking.rst_chunks(None) == [] == chunking.asciidoc_chunks("")
+    df = spark.createDataFrame([("# a", "md"), ("= a", "adoc"), ("x", "exe"), (None, "md"), (None, None)], "t string, e string")
+    assert [len(r.c) for r in df.select(chunking.chunk_document("t", "e").alias("c")).collect()] == [1, 1, 0, 0, 0]
+    r = one(spark, p=chunking.plain_paragraphs(F.lit("a\n b\n\n\n c \r\n\r\n")), n=chunking.plain_paragraphs(F.lit(None).cast("string")))
+    assert (r.p, r.n) == (["a b", "c"], [])
+
+
+@pytest.mark.parametrize("s, want", [("**bold** and *it* `code` [text](url) ![alt](u)", "bold and it code text alt"), (r"\*kept\* 2 * 3 * 4", "*kept* 2 * 3 * 4"), ("open ** mark", "open ** mark"), ("snake_case_name", "snake_case_name"), (None, ""), ("__b__ _i_", "b i")])
+def test_inline_marks(s, want):
+    assert chunking.clean_inline(s) == want
+
+
+def test_markdown_as_a_line():
+    assert chunking.clean_markdown("- **a**\n\n> b\n* c") == "a b c"

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronodex.api import Engine, render
-from chronodex.sources import chat, files
+from chronodex.sources import chat, files, gitstatus
 from chronodex.sources.gitlog import GitLogSource
 from chronodex.streaming import activity
 
@@ -87,3 +87,22 @@ def test_engine(spark, data):
     assert e.timeline(top_k=5).count() == 5 and e.status().count() == 9
     e.register()
     assert spark.sql("select size(chunk_message('Hello there.')) n").first().n == 1
+
+
+def test_git_status(spark, tmp_path):
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=A", "-c", "user.email=a@b.example", *a], check=True, capture_output=True)
+    git("init", "-q")
+    for n in ("same", "changed", "gone", "moved"):
+        (tmp_path / n).write_text(n * 20)
+    git("add", ".")
+    git("commit", "-q", "-m", "x")
+    (tmp_path / "changed").write_text("y")
+    (tmp_path / "gone").unlink()
+    (tmp_path / "new").write_text("z")
+    (tmp_path / "staged").write_text("z")
+    git("add", "staged")
+    git("mv", "moved", "there")
+    known = spark.createDataFrame([("same",), ("changed",), ("gone",), ("new",), ("staged",), ("there",)], "file_path string")
+    got = {r.file_path: (r.status, r.is_current) for r in gitstatus.with_status(known, gitstatus.read_status(spark, str(tmp_path))).collect()}
+    assert got == {"same": ("Current", True), "changed": ("Modified since last commit", False), "gone": ("Deleted", False), "new": ("Untracked", True), "staged": ("Staged changes", False), "there": ("Staged changes", False)}
+    assert gitstatus.read_status(spark, str(tmp_path)).count() == 5 and gitstatus.parse_status("") == []
