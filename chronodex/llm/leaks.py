@@ -33,6 +33,8 @@ WINDOW_WEIGHT = 0.6
 #: Items are broadcast in blocks of at most so many words.
 BLOCK_WORDS = 200_000
 BAND = 10
+#: Documents are looked at together up to so many words, which bounds a task's memory however long they are.
+WORDS_AT_ONCE = 300_000
 
 _APOSTROPHE = re.compile(r"['’‘`´]")
 _MARKUP = re.compile(r"<[^<>\n]{1,80}>|\\[nrt\"']|&\w{2,8};")
@@ -280,9 +282,14 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
                 _indexes[key] = ItemIndex(shared.value)
             index, memory = _indexes[key], {}
             for pdf in batches:
-                ids = pdf.doc_id.tolist()
-                found = found_in([hashes(words(t), memory) for t in pdf.text], index)
-                yield pd.DataFrame([(ids[d], i) for d, i in found], columns=["doc_id", "item_id"])
+                ids, found, hashed, first, size = pdf.doc_id.tolist(), [], [], 0, 0
+                for n, text in enumerate(pdf.text, 1):
+                    hashed.append(hashes(words(text), memory))
+                    size += len(hashed[-1])
+                    if size >= WORDS_AT_ONCE or n == len(ids):
+                        found += [(ids[first + d], i) for d, i in found_in(hashed, index)]
+                        hashed, first, size = [], n, 0
+                yield pd.DataFrame(found, columns=["doc_id", "item_id"])
 
         types = {f.name: f.dataType.simpleString() for f in [*docs.schema, *items.schema]}
         step = docs.select("doc_id", "text").filter("text is not null").mapInPandas(run, f"doc_id {types['doc_id']}, item_id {types['item_id']}")

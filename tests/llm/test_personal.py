@@ -11,7 +11,7 @@ def kinds(text):
 
 @pytest.mark.parametrize("text, want", [
     ("Mail maria.lind+x@example.org now", [("email", "maria.lind+x@example.org")]), ("mail me at daniel at uni-town dot example", [("email", "daniel at uni-town dot example")]), ("peter [at] example.org", [("email", "peter [at] example.org")]),
-    ("Clone it from git@forge.example:rag/x.git", []), ("postgres://rag:secret@db.example.org:5432/x", []), ("needs kit@0.3.7", []), ("HEAD@{3} and @cached", []), ("dev@box:~$ ls", []),
+    ("Clone it from git@forge.example:app/x.git", []), ("postgres://app:secret@db.example.org:5432/x", []), ("needs kit@0.3.7", []), ("HEAD@{3} and @cached", []), ("dev@box:~$ ls", []),
     ("Call (390) 555-0184 today", [("phone", "(390) 555-0184")]), ("tel:+1-760-555-0168", [("phone", "tel:+1-760-555-0168")]), ("unter 030/23125-578.", [("phone", "030/23125-578")]), ("phone 01.99.00.82.61.", [("phone", "01.99.00.82.61")]), ("The rows 3095-9128 and 5441-880 overlap", []), ("Ticket 2024-86-4094", []), ("127.0.0.1:8623", []), ("epoch 1724580040", []),
     ("SSN: 760 99 5237", [("id_number", "760 99 5237")]), ("NIE X1057268G", [("id_number", "X1057268G")]), ("passport no. G16925379 is", [("id_number", "G16925379")]), ("numéro de sécurité sociale 1 89 10 70 280 458 since", [("id_number", "1 89 10 70 280 458")]), ("driver's licence N997-7137-9507.", [("id_number", "N997-7137-9507")]), ("The token passport field holds no number.", []),
     ("Ship it to Kirchplatz 8, 48824 Grauwerth.", [("address", "Kirchplatz 8, 48824 Grauwerth")]), ("at 221 Harrow Mill Lane\nVillarnera 27175.", [("address", "221 Harrow Mill Lane\nVillarnera 27175")]), ("P.O. Box 5741, Brantwick", [("address", "P.O. Box 5741, Brantwick")]), ("7 rue des Carrières, 71881 Villarnera.", [("address", "7 rue des Carrières, 71881 Villarnera")]), ("Step 14 Main Drive Loop is here", []),
