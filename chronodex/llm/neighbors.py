@@ -263,3 +263,13 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of vectors of which one is among the other's five most similar, with a cosine of 0.8 or more."""
     near = similar(vectors(spark, sf_dir), k=5, at_least=0.8)
     return near.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
+
+
+P4_SQL = """
+WITH r AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embedding_data UNION ALL SELECT vec_id, embedding::DOUBLE[] FROM cache_entries),
+v AS (SELECT vec_id, min(e) AS e FROM r WHERE vec_id IS NOT NULL AND len(e) = 96
+  AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0 GROUP BY vec_id),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+t AS (SELECT * FROM s WHERE c >= 0.8 QUALIFY row_number() OVER (PARTITION BY a ORDER BY c DESC, b) <= 5)
+SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM t
+"""

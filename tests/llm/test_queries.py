@@ -41,3 +41,7 @@ def test_sql_of_conversations(spark, data):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{Path(data) / t}.parquet'")
     want = set(db.execute(llm.oracle_sql()["p3_found"]).fetchall())
     assert {(r.session_id, r.turn, r.id) for r in llm.queries()["p3_found"](spark, data).collect()} == {(s, t, i) for i, s, t in [(w[2], w[0], w[1]) for w in want]}
+
+
+def test_sql_is_text():
+    assert set(llm.oracle_sql()) <= set(llm.queries()) and all(isinstance(x, str) for x in llm.oracle_sql().values())
