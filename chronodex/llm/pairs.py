@@ -3,8 +3,8 @@
 A pair is a user row and the assistant row next after it. Copies, cut-off replies, empty ones and
 replies in another language are told from the pair itself. Refusals come from the whole corpus:
 response openings are clustered by verified MinHash, and clusters that recur across unrelated
-prompts and decline are refusal templates; a reply is a refusal if it opens with one and the rest of
-it gives nothing either.
+prompts are refusal templates if they decline or go on with what usually follows refusals; a reply
+is a refusal if it opens with one and the rest of it gives nothing either.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from . import lang
 DEFECTS = ("empty", "truncated", "refusal", "copy", "language")
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 8, 4
+#: Members of a band that are compared at once with each other, or with as many others.
+BLOCK = 256
 #: A template recurs across at least so many different prompts, and shares at most so much of its words with them.
 MIN_PROMPTS, MAX_RELATED = 3, 0.34
 
@@ -137,7 +139,6 @@ _DECLINE = re.compile(
     | (?:无法|不能|不便|不可以|没办法)[^。！？]{0,12}?(?:帮|协助|回答|提供|满足|回应|讨论|继续|处理|完成) | 拒绝(?:回答|提供|这个|该) | 不(?:允许|被允许|会)[^。！？]{0,6}?(?:回答|讨论|提供|协助)
     """
 )
-_SOFT = re.compile(r"(?i)\b(?:sorry|apologi[sz]e|regret|unfortunately|afraid|unable|not able|decline|refuse|policy|policies|guidelines|not permitted|not allowed|désolé|malheureusement|leider|leid|lo siento|lamento)\b|抱歉|对不起|很遗憾")
 _CLOSING = re.compile(
     r"""(?ix) hope\ (?:you|this|that)\ (?:understand|is) | (?:something|anything)\ else | another\ (?:question|topic) | feel\ free\ to\ ask | (?:only|happy\ to)\ (?:talk|help)\b.*\b(?:general|other|else) | general\ topics | consult\ | expert | professional | somebody\ (?:else|qualified) | thank(?:s|\ you)\ for | understand\ the\ (?:question|request) | let\ me\ know
     | outside\ (?:of\ )?(?:what|my) | (?:usage|content|safety)\ policy | with\ regret | autre\ (?:question|chose|demande) | n'hésitez\ pas | compréhension | verständnis | andere[rns]?\ (?:frage|thema|anliegen) | gerne?\ (?:bei|etwas) | otra\ (?:pregunta|cosa|consulta) | en\ qué\ más | comprensi[oó]n | 其他(?:问题|方面)|谅解|理解 | ^\W*(?:sorry|no|i'm\ sorry|unfortunately|i\ apologi[sz]e|désolé|lo\ siento|es\ tut\ mir\ leid|抱歉|对不起)\W*$
@@ -192,39 +193,102 @@ def jaccard(a: str, b: str) -> float:
     return len(x & y) / len(x | y)
 
 
-def refusal_openings(seen: DataFrame) -> DataFrame:
-    """Openings that are refusal templates.
+def band_links(openings: list[str], first: int) -> list[tuple[str, str]]:
+    """Links (opening, least opening of its group) among similar openings of a band.
 
-    ``seen`` has one row per reply: ``opening``, ``prompt_hash``, ``related`` (share of the opening's
-    words that the prompt has) and ``declines``. Equal openings are counted first, so each text is
-    compared once however often it recurs. Each band of the signature links its openings to the least
-    one in it; a link holds if the true similarity is at least 0.8, and an opening's cluster is the least
-    opening it is linked to. A cluster is a template if it recurs across ``MIN_PROMPTS`` different and
-    on the whole unrelated prompts, and a refusal if most of its replies decline.
+    Those before ``first`` are compared with each other and the others, the others only with those
+    before; ``first`` of 0 compares all. Pairs already in one group need no comparison.
+    """
+    sets, up = [shingles(o) for o in openings], list(range(len(openings)))
+
+    def root(i: int) -> int:
+        while up[i] != i:
+            up[i] = i = up[up[i]]
+        return i
+
+    for j in range(len(openings)):
+        for i in range(min(j, first or j)):
+            a, b = root(i), root(j)
+            if a != b and len(sets[i] & sets[j]) >= SIMILARITY * len(sets[i] | sets[j]):
+                up[max(a, b)] = min(a, b)
+    least: dict[int, str] = {}
+    for i, o in enumerate(openings):
+        least[root(i)] = min(o, least.get(root(i), o))
+    return [(o, least[root(i)]) for i, o in enumerate(openings) if o != least[root(i)]]
+
+
+def clusters_of(openings: DataFrame) -> DataFrame:
+    """``opening`` and the least opening of its cluster (``head``), for distinct openings.
+
+    All members of a MinHash band are compared, in pairs of blocks of at most ``BLOCK``, so that a large
+    band is not one task; a link holds if the true similarity is at least 0.8. Heads are handed along
+    the links until none changes.
     """
-    counts = seen.groupBy("opening").agg(
-        F.count(F.lit(1)).alias("n"), F.approx_count_distinct("prompt_hash").alias("prompts"),
-        F.sum("related").alias("related"), F.sum(F.col("declines").cast("int")).alias("declining"),
-    )
-    # openings with nothing negative about them cannot make a refusal cluster, whatever they are linked to
-    counts = materialize(counts.filter("opening != ''"), "openings")
 
     @F.pandas_udf("array<bigint>")
     def bands(openings: pd.Series) -> pd.Series:
         return pd.Series([bands_of(o) for o in openings])
 
-    @F.pandas_udf("double")
-    def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([1.0 if x == y else jaccard(x, y) for x, y in zip(a, b)])
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = pdf[pdf.block == pdf.i].opening.tolist(), pdf[pdf.block != pdf.i].opening.tolist()
+        return pd.DataFrame(band_links(left + right, len(left) if right else 0), columns=["opening", "head"])
+
+    keyed = materialize(openings.select("opening", F.explode(bands("opening")).alias("band")), "opening-bands")
+    sizes = keyed.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    placed = keyed.join(sizes, "band").withColumn("block", F.pmod(F.xxhash64("opening"), F.col("blocks")).cast("int"))
+    # block b meets each block: as (b, k) with those after it, as (k, b) with those before it
+    met = placed.select("opening", "band", "block", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
+    met = met.select("opening", "band", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    links = met.groupBy("band", "i", "j").applyInPandas(compare, "opening string, head string").distinct()
+    links = materialize(links, "opening-links")
+    both = links.unionByName(links.select(F.col("head").alias("opening"), F.col("opening").alias("head"))).distinct()
+    heads = both.select("opening").distinct().withColumn("head", F.col("opening"))
+    while True:
+        near = both.join(heads.select(F.col("opening").alias("to"), F.col("head").alias("offer")), F.col("head") == F.col("to")).select("opening", "offer")
+        offers = near.groupBy("opening").agg(F.min("offer").alias("offer"))
+        passed = heads.join(offers, "opening", "left").select("opening", F.least("head", "offer").alias("new"), "head")
+        # the head's own head comes at once, so long chains take few rounds
+        jump = heads.select(F.col("opening").alias("new"), F.col("head").alias("further"))
+        heads = materialize(passed.join(jump, "new", "left").select("opening", F.least("new", "further").alias("head"), (F.least("new", "further") != F.col("head")).alias("changed")), "opening-heads")
+        if heads.filter("changed").isEmpty():
+            break
+        heads = heads.drop("changed")
+    return openings.select("opening").join(heads.select("opening", "head"), "opening", "left").withColumn("head", F.coalesce("head", "opening"))
+
+
+def refusal_clusters(seen: DataFrame, member: DataFrame) -> DataFrame:
+    """``opening``, ``recurs`` and ``template`` (whether a refusal template) of each opening.
+
+    ``seen`` has one row per reply: ``opening``, ``prompt_hash``, ``related`` (share of the opening's
+    words that the prompt has) and ``declines`` (whether it speaks for a refusal); ``member`` is from
+    :func:`clusters_of`. A cluster recurs if it has ``MIN_PROMPTS`` different prompts. It is a template
+    if these are on the whole unrelated to it, and at least half of its replies speak for a refusal.
+    """
+    told = seen.join(member, "opening")
+    prompts = told.select("head", "prompt_hash").distinct().groupBy("head").agg(F.count(F.lit(1)).alias("prompts"))
+    sums = told.groupBy("head").agg(F.count(F.lit(1)).alias("n"), F.sum("related").alias("related"), F.sum(F.col("declines").cast("int")).alias("declining"))
+    recurs = F.col("prompts") >= MIN_PROMPTS
+    judged = sums.join(prompts, "head").select("head", recurs.alias("recurs"), (recurs & (F.col("related") <= MAX_RELATED * F.col("n")) & (2 * F.col("declining") >= F.col("n"))).alias("template"))
+    return member.join(judged, "head").select("opening", "recurs", "template")
+
+
+def refusal_openings(seen: DataFrame) -> DataFrame:
+    """Openings that are refusal templates, from rows as in :func:`refusal_clusters`."""
+    seen = seen.filter("opening != ''")
+    return refusal_clusters(seen, clusters_of(seen.select("opening").distinct())).filter("template").select("opening")
 
-    keyed = counts.select("opening", F.explode(bands("opening")).alias("band"))
-    least = keyed.groupBy("band").agg(F.min("opening").alias("head"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    links = keyed.join(least.select("band", "head"), "band").filter("opening != head").select("opening", "head").distinct().filter(similarity("opening", "head") >= SIMILARITY)
-    heads = links.groupBy("opening").agg(F.min("head").alias("head"))
-    member = counts.join(heads, "opening", "left").withColumn("head", F.coalesce("head", "opening"))
-    clusters = member.groupBy("head").agg(*[F.sum(c).alias(c) for c in ("n", "prompts", "related", "declining")])
-    templates = clusters.filter((F.col("prompts") >= MIN_PROMPTS) & (F.col("related") <= MAX_RELATED * F.col("n")) & (2 * F.col("declining") >= F.col("n"))).select("head")
-    return member.join(templates, "head", "left_semi").select("opening")
+
+def usual_closings(judged: DataFrame, refusing: DataFrame) -> DataFrame:
+    """``sentence``: what follows refusals of the corpus, whether or not the lists have it.
+
+    Such a sentence recurs over ``MIN_PROMPTS`` prompts, and at least half of the replies that hold
+    it after their opening open with one of ``refusing`` (column ``opening``). ``judged`` has
+    ``opening``, ``prompt_hash`` and ``rest`` (the sentences).
+    """
+    said = judged.select("opening", "prompt_hash", F.explode("rest").alias("sentence"))
+    said = said.join(refusing.select("opening").distinct().withColumn("after", F.lit(1)), "opening", "left")
+    counts = said.groupBy("sentence").agg(F.countDistinct("prompt_hash").alias("prompts"), F.count(F.lit(1)).alias("n"), F.sum("after").alias("after"))
+    return counts.filter((F.col("prompts") >= MIN_PROMPTS) & (2 * F.col("after") >= F.col("n"))).select("sentence")
 
 
 # ---- the operator
@@ -242,52 +306,70 @@ def response_pairs(rows: DataFrame) -> DataFrame:
     return follow.filter("role = 'assistant' and prev_role = 'user'").select("id", F.col("prev_content").alias("prompt"), F.col("content").alias("reply"))
 
 
-JUDGED = "id string, defect string, opening string, prompt_hash bigint, related double, declines boolean, soft boolean, nothing_else boolean"
+JUDGED = "id string, defect string, opening string, prompt_hash bigint, related double, declines boolean, specific boolean, rest array<string>, listed array<boolean>"
 
 
 def judge(prompt: str | None, reply: str | None) -> tuple:
     """What the pair alone tells: defect (refusals apart), and what its opening looks like."""
     prompt, reply = prompt or "", reply or ""
     if not _HAS_TEXT.search(reply):
-        return ("empty", "", 0, 0.0, False, False, False)
+        return ("empty", "", 0, 0.0, False, True, [], [])
     if _HAS_TEXT.search(prompt) and is_copy(prompt, reply):
-        return ("copy", "", 0, 0.0, False, False, False)
+        return ("copy", "", 0, 0.0, False, True, [], [])
     first, *rest = [s for s in _SENTENCES.split(straight(reply)) if s.strip()]
     opening = opening_of(first)
     known = set(_TOKENS.findall(prompt.lower()))
     words = [w for w in opening.split() if w != "#"]
     related = sum(w in known for w in words) / len(words) if words else 1.0
-    no, soft = declines(first), bool(_SOFT.search(first)) and not _SPECIFIC.search(first)
-    nothing = (no or soft) and gives_nothing_else(rest)
-    defect = None
-    if not (no and nothing):
-        if other_language(prompt, reply):
-            defect = "language"
-        elif is_truncated(reply):
-            defect = "truncated"
-    return (defect, opening, xxhash.xxh64_intdigest(prompt) >> 1, related, no, soft, nothing)
+    defect = "language" if other_language(prompt, reply) else "truncated" if is_truncated(reply) else None
+    specific = any(_SPECIFIC.search(s) for s in (first, *rest))
+    rest = [] if specific else rest
+    return (defect, opening, xxhash.xxh64_intdigest(prompt) >> 1, related, declines(first), specific, [opening_of(s) for s in rest], [gives_nothing_else([s]) for s in rest])
+
+
+def find_refusals(judged: DataFrame) -> DataFrame:
+    """``row``, ``path`` (``template`` or ``words``) of the replies that give nothing but a refusal.
+
+    Rounds over the corpus: clusters of openings whose words decline are templates; what recurs behind
+    them is a usual closing; then a cluster is a template too if its replies go on with nothing but
+    usual closings, whatever its own words are. Templates decide on all openings that recur; an
+    opening's own words decide only where its cluster has fewer than ``MIN_PROMPTS`` prompts. The rest of
+    a refusal consists of sentences that decline, or close by the lists or by the corpus. Openings
+    with a number, path or code name say something specific, so they are no templates.
+    """
+    plain = judged.filter("opening != '' and not contains(opening, '#')")
+    member = materialize(clusters_of(plain.select("opening").distinct()), "opening-clusters")
+    first = refusal_clusters(plain.select("opening", "prompt_hash", "related", "declines"), member)
+    closings = materialize(usual_closings(plain, first.filter("template")), "closings")
+    doubtful = plain.filter("not specific")
+    # per reply: whether all of the rest is usual by the corpus, and whether by corpus or lists
+    each = doubtful.select("row", F.explode(F.arrays_zip("rest", "listed")).alias("s")).select("row", F.col("s.rest").alias("sentence"), F.col("s.listed").alias("listed"))
+    each = each.join(closings.withColumn("usual", F.lit(True)), "sentence", "left").withColumn("usual", F.coalesce("usual", F.lit(False)))
+    ends = each.groupBy("row").agg(F.min("usual").alias("usual"), F.min(F.col("usual") | F.col("listed")).alias("nothing"))
+    ended = doubtful.select("row", "opening", "declines").join(ends, "row", "left").select("row", "opening", "declines", F.coalesce("usual", F.lit(False)).alias("usual"), F.coalesce("nothing", F.lit(True)).alias("nothing"))
+    ended = materialize(ended, "endings")
+    speaking = plain.select("row", "opening", "prompt_hash", "related", "declines").join(ended.filter("usual").select("row", "usual").distinct(), "row", "left")
+    final = refusal_clusters(speaking.withColumn("declines", F.col("declines") | F.coalesce("usual", F.lit(False))), member)
+    told = ended.filter("nothing").join(final, "opening").filter("template or (declines and not recurs)")
+    return told.select("row", F.when(F.col("template"), "template").otherwise("words").alias("path"))
 
 
 def find_defects(pairs: DataFrame) -> DataFrame:
     """``id`` and ``defect`` of each broken pair (columns ``id``, ``prompt``, ``reply``).
 
     A null reply is empty; a null or blank prompt can neither be copied nor set a language. Texts are
-    read whole. Each pair has at most one defect, looked for in the order empty, copy, refusal,
-    language, truncated. Repeated pairs are judged each. Refusals are replies that give nothing but a
-    refusal template of the corpus, or a plain refusal that is too rare in it to be a template.
+    read whole. Repeated pairs are judged each. Each pair has at most one defect, looked for in the
+    order empty, copy, refusal, language, truncated. Refusals are those of :func:`find_refusals`.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [(i, *judge(p, r)) for i, p, r in zip(pdf.id, pdf.prompt, pdf.reply)]
-            yield pd.DataFrame(rows, columns=["id", "defect", "opening", "prompt_hash", "related", "declines", "soft", "nothing_else"])
-
-    judged = materialize(pairs.select("id", "prompt", "reply").mapInPandas(run, JUDGED), "pairs-judged")
-    templates = refusal_openings(judged.select("opening", "prompt_hash", "related", (F.col("declines") & F.col("nothing_else")).alias("declines")))
-    doubtful = judged.filter("nothing_else")
-    refusing = doubtful.join(templates.withColumn("template", F.lit(True)), "opening", "left").filter("template or declines").select("id", F.lit("refusal").alias("defect"))
-    others = judged.filter("defect is not null").select("id", "defect").join(refusing.select("id"), "id", "left_anti")
-    return others.unionByName(refusing)
+            yield pd.DataFrame(rows, columns=["id", "defect", "opening", "prompt_hash", "related", "declines", "specific", "rest", "listed"])
+
+    judged = materialize(pairs.select("id", "prompt", "reply").mapInPandas(run, JUDGED).withColumn("row", F.monotonically_increasing_id()), "pairs-judged")
+    refusing = materialize(find_refusals(judged).select("row", F.lit("refusal").alias("refusal")), "refusals")
+    return judged.join(refusing, "row", "left").select("id", F.coalesce("refusal", "defect").alias("defect")).filter("defect is not null")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

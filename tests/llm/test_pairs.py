@@ -80,3 +80,28 @@ def test_similar_openings_share_a_cluster(spark):
     assert pairs.jaccard(base, other) >= 0.8
     seen = spark.createDataFrame([(base, i, 0.0, True) for i in range(6)] + [(other, 77, 0.0, False)], "opening string, prompt_hash long, related double, declines boolean")
     assert {r.opening for r in pairs.refusal_openings(seen).collect()} == {base, other}
+
+
+def test_unlisted_refusals_are_told_by_what_follows_them(spark):
+    closing = " Please bring me another topic whenever you like."
+    items = [(f"k{i}", f"Why is {w} slow?", "I'm sorry, but I can't help with that." + closing) for i, w in enumerate(["sorting", "parsing", "merging"])]
+    items += [(f"u{i}", f"Where do {w} end?", "Mi dispiace tanto ma questa cosa resta fuori portata." + closing) for i, w in enumerate(["rows", "pages", "threads"])]
+    items += [(f"d{i}", f"Did {w} pass?", "All of the checks went through at once. Nothing is left over.") for i, w in enumerate(["tests", "builds", "scans"])]
+    assert not pairs.declines(items[3][2])
+    assert judged(spark, items) == {x: "refusal" for x in ("k0", "k1", "k2", "u0", "u1", "u2")}
+
+
+def test_words_alone_decide_only_on_rare_openings(spark):
+    items = [(f"r{i}", f"Can you not help with this request about {w}, so I can't continue?", "I can't help with this request.") for i, w in enumerate(["rows", "pages", "threads"])]
+    assert judged(spark, items) == {}  # it recurs, but over prompts with the same words
+    assert judged(spark, items[:2]) == {"r0": "refusal", "r1": "refusal"}
+
+
+def test_clusters_reach_along_chains(spark, monkeypatch):
+    words = [f"w{i}" for i in range(60)]
+    chain = [" ".join(words[i : i + 40]) for i in range(0, 18, 3)]  # each is like the next one only
+    assert pairs.jaccard(chain[0], chain[1]) >= 0.8 > pairs.jaccard(chain[0], chain[2])
+    monkeypatch.setattr(pairs, "bands_of", lambda o: [1])
+    monkeypatch.setattr(pairs, "BLOCK", 2)
+    df = spark.createDataFrame([(o,) for o in [*chain, "quite another opening of more than five words"]], "opening string")
+    assert {r.head for r in pairs.clusters_of(df).collect() if r.opening in chain} == {min(chain)}
