@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring, vectors
 
+#: Items, and queries, that are scored at once against each other in one group.
+ITEM_BLOCK, QUERY_BLOCK = 4096, 256
+
 
 def with_distance(items: DataFrame, query: DataFrame, vector: str = "embedding") -> DataFrame:
     """Adds ``distance`` of each item to the one query vector (column ``query`` of a one-row frame).
@@ -45,3 +50,59 @@ def quota(scored: DataFrame, section: Column, quotas: dict[str, int], order: lis
     ranked = scored.withColumn("section", section).filter(F.col("section").isin(list(quotas)))
     ranked = ranked.withColumn("place", F.row_number().over(Window.partitionBy("section").orderBy(*order))).filter(F.col("place") <= max(quotas.values()))
     return ranked.filter(F.col("place") <= most[F.col("section")])
+
+
+def search_many(items: DataFrame, queries: DataFrame, k: int | None, keep: list[str] = (), measure: str = "distance", factor: str | None = None, section: str | None = None) -> DataFrame:
+    """The k best items of each query: ``query_id``, ``vec_id``, ``value``, ``score``, and the columns of ``keep``.
+
+    ``items`` and ``queries`` have ``vec_id`` and ``embedding``, of one length, one row per id; the query's own
+    vector is an item like any other. ``value`` is the distance or, with ``measure`` "cosine", the cosine;
+    ``score``, by which items are ranked, is the same with the best one greatest (``-distance``), or with
+    ``factor`` the similarity times that column; an item whose factor is null comes after all others, by its distance.
+    Ties go by ``vec_id``. With ``section`` there are k of each value of that column. ``k`` None gives all.
+
+    Blocks of items meet blocks of queries in groups of bounded size, whatever the sizes of both; a group
+    gives its k best per query, and these are merged per query. Nothing is broadcast.
+    """
+    if measure not in ("distance", "cosine"):
+        raise ValueError(measure)
+    keep = list(keep)
+    n_items, n_queries = -(-items.count() // ITEM_BLOCK) or 1, -(-queries.count() // QUERY_BLOCK) or 1
+    columns = ["vec_id", "embedding", *dict.fromkeys([*keep, *([factor] if factor else []), *([section] if section else [])])]
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    left = items.select(*columns, block(n_items).alias("_i")).withColumn("_q", every(n_queries))
+    # under other names, since both sides may come from one table, which a cogroup would mix up
+    right = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), block(n_queries).alias("_q")).withColumn("_i", every(n_items))
+    types = dict(items.select(*columns).dtypes)
+    kept = list(dict.fromkeys([*keep, *([section] if section else [])]))
+
+    def score(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        if len(a) and len(b):
+            x = np.stack([np.asarray(v, np.float64) for v in a.embedding])
+            ids, length = a.vec_id.to_numpy(), np.linalg.norm(x, axis=1)
+            groups = [np.arange(len(a))] if section is None else list(a.groupby(section).indices.values())
+            weight = a[factor].to_numpy(np.float64, na_value=np.nan) if factor else None
+            for q, v in zip(b["query_id"], b["query"]):
+                v = np.asarray(v, np.float64)
+                value = x @ v / (length * np.linalg.norm(v)) if measure == "cosine" else np.sqrt(((x - v) ** 2).sum(1))
+                rank = value if measure == "cosine" else -value
+                if factor:
+                    rank = np.where(np.isnan(weight), rank, weight / (1 + value))
+                last = np.isnan(weight) if factor else np.zeros(len(a), bool)
+                for g in groups:
+                    best = g[np.lexsort((ids[g], -rank[g], last[g]))[:k]]
+                    part = a.iloc[best][["vec_id", *kept]].assign(query_id=q, value=value[best], score=np.where(last[best], np.nan, rank[best]))
+                    parts.append(part)
+        names = ["query_id", "vec_id", "value", "score", *kept]
+        return pd.concat(parts)[names] if parts else pd.DataFrame(columns=names)
+
+    schema = ", ".join(["query_id bigint", "vec_id bigint", "value double", "score double", *(f"{c} {types[c]}" for c in kept)])
+    out = left.groupBy("_i", "_q").cogroup(right.groupBy("_i", "_q")).applyInPandas(score, schema)
+    out = out.withColumn("score", F.when(~F.isnan("score"), F.col("score")))
+    if k is None:
+        return out
+    nearer = F.col("value") if measure == "distance" else -F.col("value")
+    order = Window.partitionBy("query_id", *([section] if section else [])).orderBy(F.desc_nulls_last("score"), nearer, "vec_id")
+    return out.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
