@@ -20,24 +20,23 @@ def bucketed_previous(df: DataFrame, key: str, order: list[str], carry: list[str
 
     Rows with equal order columns come in the order of the remaining order columns; give an id last
     to make it total. The first row of a key gets nulls and ``exists = false``. Null keys form one
-    group. Empty input, empty output. The input must not already have the new column names.
+    group, and so do null buckets of a key. Empty input, empty output. The input must not already have
+    the new column names.
     """
     exists = f"{prefix}exists"
     row = F.struct(F.lit(True).alias("_there"), *[F.col(c) for c in carry])
-    df = df.withColumn("_bucket", bucket)
-    inside = Window.partitionBy(key, "_bucket").orderBy(*order)
-    df = df.withColumn("_prev", F.lag(row).over(inside))
-    # one row per (key, bucket): its last row, shifted to the next bucket of the key
-    ends = df.groupBy(key, "_bucket").agg(F.max_by(row, F.struct(*[F.col(c) for c in order])).alias("_end"))
-    across = Window.partitionBy(key).orderBy("_bucket")
-    ends = ends.select(F.col(key).alias("_k"), F.col("_bucket").alias("_b"), F.lag("_end").over(across).alias("_before")).filter("_before is not null")
-    first = df.filter("_prev is null").drop("_prev")
-    rest = df.filter("_prev is not null")
-    first = first.join(ends, F.col(key).eqNullSafe(F.col("_k")) & F.col("_bucket").eqNullSafe(F.col("_b")), "left").withColumnRenamed("_before", "_prev").drop("_k", "_b")
-    out = rest.unionByName(first)
+    # one column without nulls names the group, so the join below keeps the window's partitioning
+    df = df.withColumn("_bucket", bucket).withColumn("_group", F.to_json(F.struct(F.col(key).alias("k"), F.col("_bucket").alias("b"))))
+    inside = Window.partitionBy("_group").orderBy(*order)
+    df = df.withColumn("_prev", F.lag(row).over(inside)).withColumn("_more", F.lead(F.lit(True)).over(inside))
+    # one row per group: its last row, shifted to the next bucket of the key
+    ends = df.filter("_more is null").select(F.col(key).alias("_k"), F.col("_bucket").alias("_b"), F.col("_group").alias("_g"), row.alias("_end"))
+    across = Window.partitionBy("_k").orderBy("_b")
+    ends = ends.withColumn("_before", F.lag("_end").over(across)).filter("_before is not null").select("_g", "_before")
+    out = df.join(ends, F.col("_prev").isNull() & (F.col("_group") == F.col("_g")), "left").withColumn("_prev", F.coalesce("_prev", "_before"))
     for c in carry:
         out = out.withColumn(prefix + c, F.col("_prev")[c])
-    return out.withColumn(exists, F.col("_prev").isNotNull()).drop("_prev", "_bucket")
+    return out.withColumn(exists, F.col("_prev").isNotNull()).drop("_prev", "_bucket", "_before", "_group", "_g", "_more")
 
 
 def bucketed_rank(df: DataFrame, key: str, order: list[str], bucket: Column, name: str = "position") -> DataFrame:
