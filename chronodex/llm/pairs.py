@@ -3,8 +3,9 @@
 A pair is a user row and the assistant row next after it. Copies, cut-off replies, empty ones and
 replies in another language are told from the pair itself. Refusals come from the whole corpus:
 response openings are clustered by verified MinHash, and clusters that recur across unrelated
-prompts are refusal templates if they decline or go on with what usually follows refusals; a reply
-is a refusal if it opens with one and the rest of it gives nothing either.
+prompts are refusal templates if they decline or go on with what usually follows refusals. What the
+templates have in common is learned, and tells the refusals among openings that are too rare to
+recur. A reply is a refusal if it opens with one and the rest of it gives nothing either.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ BANDS, ROWS = 8, 4
 BLOCK = 256
 #: A template recurs across at least so many different prompts, and shares at most so much of its words with them.
 MIN_PROMPTS, MAX_RELATED = 3, 0.34
+#: Size of the classifier's hashed feature space, and the most replies of each label it is fitted on.
+N_FEATURES, TRAINING = 1 << 12, 1000
 
 _HAS_TEXT = re.compile(r"[^\W_]")
 _TOKENS = re.compile(r"[぀-ヿ一-鿿가-힯]|[^\W_぀-ヿ一-鿿가-힯]+")
@@ -260,24 +263,19 @@ def refusal_clusters(seen: DataFrame, member: DataFrame) -> DataFrame:
     """``opening``, ``recurs`` and ``template`` (whether a refusal template) of each opening.
 
     ``seen`` has one row per reply: ``opening``, ``prompt_hash``, ``related`` (share of the opening's
-    words that the prompt has) and ``declines`` (whether it speaks for a refusal); ``member`` is from
+    words that the prompt has) and ``sign`` (whether it speaks for a refusal); ``member`` is from
     :func:`clusters_of`. A cluster recurs if it has ``MIN_PROMPTS`` different prompts. It is a template
     if these are on the whole unrelated to it, and at least half of its replies speak for a refusal.
     """
     told = seen.join(member, "opening")
-    prompts = told.select("head", "prompt_hash").distinct().groupBy("head").agg(F.count(F.lit(1)).alias("prompts"))
-    sums = told.groupBy("head").agg(F.count(F.lit(1)).alias("n"), F.sum("related").alias("related"), F.sum(F.col("declines").cast("int")).alias("declining"))
+    # a prompt counts once per cluster; counted without a distinct aggregate, so that it combines early
+    prompts = told.groupBy("head", "prompt_hash").agg(F.count(F.lit(1)).alias("n"), F.sum("related").alias("related"), F.count_if("sign").alias("signs"))
+    sums = prompts.groupBy("head").agg(F.count(F.lit(1)).alias("prompts"), F.sum("n").alias("n"), F.sum("related").alias("related"), F.sum("signs").alias("signs"))
     recurs = F.col("prompts") >= MIN_PROMPTS
-    judged = sums.join(prompts, "head").select("head", recurs.alias("recurs"), (recurs & (F.col("related") <= MAX_RELATED * F.col("n")) & (2 * F.col("declining") >= F.col("n"))).alias("template"))
+    judged = sums.select("head", recurs.alias("recurs"), (recurs & (F.col("related") <= MAX_RELATED * F.col("n")) & (2 * F.col("signs") >= F.col("n"))).alias("template"))
     return member.join(judged, "head").select("opening", "recurs", "template")
 
 
-def refusal_openings(seen: DataFrame) -> DataFrame:
-    """Openings that are refusal templates, from rows as in :func:`refusal_clusters`."""
-    seen = seen.filter("opening != ''")
-    return refusal_clusters(seen, clusters_of(seen.select("opening").distinct())).filter("template").select("opening")
-
-
 def usual_closings(judged: DataFrame, refusing: DataFrame) -> DataFrame:
     """``sentence``: what follows refusals of the corpus, whether or not the lists have it.
 
@@ -291,6 +289,40 @@ def usual_closings(judged: DataFrame, refusing: DataFrame) -> DataFrame:
     return counts.filter((F.col("prompts") >= MIN_PROMPTS) & (2 * F.col("after") >= F.col("n"))).select("sentence")
 
 
+def opening_features(opening: str, sign: bool) -> list[int]:
+    """Hashed words, neighbours and length of an opening, and whether its words decline."""
+    w = opening.split()
+    raw = [f"w {x}" for x in set(w)] + [f"b {x} {y}" for x, y in zip(["^", *w], [*w, "$"])] + [f"n {min(len(w), 31).bit_length()}"] + ["sign"] * sign
+    return sorted({xxhash.xxh32_intdigest(f) % N_FEATURES for f in raw})
+
+
+def fit_openings(features: list[list[int]], labels: np.ndarray, open_: np.ndarray, rounds: int = 3, epochs: int = 80, rate: float = 0.5, decay: float = 1e-4) -> np.ndarray:
+    """Weights of a logistic regression that tells refusing openings, by AdaGrad.
+
+    ``labels`` is 1 for openings of templates and 0 for others; where ``open_`` is set the label is not
+    known: these are left out at first and then take what the model of the round before says. Both
+    labels weigh the same in all, whatever their numbers.
+    """
+    w = np.zeros(N_FEATURES)
+    if not (labels[~open_] > 0.5).any():
+        return w - 1.0  # no template, no refusal
+    row = np.repeat(np.arange(len(features)), [len(f) for f in features])
+    col = np.concatenate([np.asarray(f, int) for f in features])
+    labels, known = labels.astype(float), ~open_
+    for _ in range(rounds):
+        share = known * np.where(labels > 0.5, 0.5 / max(1, (known & (labels > 0.5)).sum()), 0.5 / max(1, (known & (labels <= 0.5)).sum()))
+        w, g = np.zeros(N_FEATURES), np.full(N_FEATURES, 1e-6)
+        for _ in range(epochs):
+            z = np.bincount(row, weights=w[col], minlength=len(features))
+            grad = np.bincount(col, weights=((1 / (1 + np.exp(-z)) - labels) * share)[row], minlength=N_FEATURES) + decay * w
+            g += grad * grad
+            w -= rate * grad / np.sqrt(g)
+        z = np.bincount(row, weights=w[col], minlength=len(features))
+        labels[open_] = z[open_] > 0
+        known = ~open_ | (np.abs(z) > 1)
+    return w
+
+
 # ---- the operator
 
 
@@ -302,8 +334,10 @@ def response_pairs(rows: DataFrame) -> DataFrame:
     into hours, so that one with a third of all rows is not one task.
     """
     spoken = rows.filter("session_id is not null and trim(session_id) != '' and timestamp is not null").select("session_id", "id", "timestamp", F.coalesce(role_of(F.col("role")), F.lit("other")).alias("role"), "content").filter("role != 'system'")
-    follow = bucketed_previous(spoken, "session_id", ["timestamp", "id"], ["role", "content"], F.date_trunc("hour", "timestamp"))
-    return follow.filter("role = 'assistant' and prev_role = 'user'").select("id", F.col("prev_content").alias("prompt"), F.col("content").alias("reply"))
+    # a prompt's text goes on to the next row, a reply's stays
+    spoken = spoken.withColumn("said", F.when(F.col("role") == "user", F.col("content"))).withColumn("content", F.when(F.col("role") == "assistant", F.col("content")))
+    follow = bucketed_previous(spoken, "session_id", ["timestamp", "id"], ["role", "said"], F.date_trunc("hour", "timestamp"))
+    return follow.filter("role = 'assistant' and prev_role = 'user'").select("id", F.col("prev_said").alias("prompt"), F.col("content").alias("reply"))
 
 
 JUDGED = "id string, defect string, opening string, prompt_hash bigint, related double, declines boolean, specific boolean, rest array<string>, listed array<boolean>"
@@ -327,51 +361,77 @@ def judge(prompt: str | None, reply: str | None) -> tuple:
     return (defect, opening, xxhash.xxh64_intdigest(prompt) >> 1, related, declines(first), specific, [opening_of(s) for s in rest], [gives_nothing_else([s]) for s in rest])
 
 
-def find_refusals(judged: DataFrame) -> DataFrame:
-    """``row``, ``path`` (``template`` or ``words``) of the replies that give nothing but a refusal.
+def find_refusals(judged: DataFrame, clusters: DataFrame | None = None) -> DataFrame:
+    """``row``, ``path`` (``template`` or ``model``) of the replies that give nothing but a refusal.
 
-    Rounds over the corpus: clusters of openings whose words decline are templates; what recurs behind
-    them is a usual closing; then a cluster is a template too if its replies go on with nothing but
-    usual closings, whatever its own words are. Templates decide on all openings that recur; an
-    opening's own words decide only where its cluster has fewer than ``MIN_PROMPTS`` prompts. The rest of
-    a refusal consists of sentences that decline, or close by the lists or by the corpus. Openings
-    with a number, path or code name say something specific, so they are no templates.
+    Replies without a number, path or code name are looked at. Their openings are clustered; clusters
+    that recur across unrelated prompts are templates of refusals if half of their replies show a sign
+    of one: words that decline, or an end of nothing but what the corpus has behind such templates. The
+    templates, against the other openings, train a classifier of openings, which decides on those that
+    are too rare to recur; the phrases of ``_DECLINE`` are one of its features, and what weight they
+    have is learned. A corpus without templates gives no refusals. The rest of a refusal consists of
+    sentences that decline or close, by the lists or by the corpus.
+
+    ``clusters`` (``opening``, ``head``) takes the place of :func:`clusters_of`. The classifier is fitted on at
+    most ``TRAINING`` replies of each label, those with the least hash, and decides on all.
     """
-    plain = judged.filter("opening != '' and not contains(opening, '#')")
-    member = materialize(clusters_of(plain.select("opening").distinct()), "opening-clusters")
-    first = refusal_clusters(plain.select("opening", "prompt_hash", "related", "declines"), member)
-    closings = materialize(usual_closings(plain, first.filter("template")), "closings")
-    doubtful = plain.filter("not specific")
+    cand = judged.filter("opening != '' and not specific and not contains(opening, '#')").select("row", "opening", "prompt_hash", "related", F.col("declines").alias("sign"), "rest", "listed")
+    member = materialize(clusters_of(cand.select("opening").distinct()), "opening-clusters") if clusters is None else clusters
+    first = refusal_clusters(cand.select("opening", "prompt_hash", "related", "sign"), member)
+    closings = materialize(usual_closings(cand, first.filter("template")), "closings")
     # per reply: whether all of the rest is usual by the corpus, and whether by corpus or lists
-    each = doubtful.select("row", F.explode(F.arrays_zip("rest", "listed")).alias("s")).select("row", F.col("s.rest").alias("sentence"), F.col("s.listed").alias("listed"))
+    each = cand.select("row", F.explode(F.arrays_zip("rest", "listed")).alias("s")).select("row", F.col("s.rest").alias("sentence"), F.col("s.listed").alias("listed"))
     each = each.join(closings.withColumn("usual", F.lit(True)), "sentence", "left").withColumn("usual", F.coalesce("usual", F.lit(False)))
-    ends = each.groupBy("row").agg(F.min("usual").alias("usual"), F.min(F.col("usual") | F.col("listed")).alias("nothing"))
-    ended = doubtful.select("row", "opening", "declines").join(ends, "row", "left").select("row", "opening", "declines", F.coalesce("usual", F.lit(False)).alias("usual"), F.coalesce("nothing", F.lit(True)).alias("nothing"))
-    ended = materialize(ended, "endings")
-    speaking = plain.select("row", "opening", "prompt_hash", "related", "declines").join(ended.filter("usual").select("row", "usual").distinct(), "row", "left")
-    final = refusal_clusters(speaking.withColumn("declines", F.col("declines") | F.coalesce("usual", F.lit(False))), member)
-    told = ended.filter("nothing").join(final, "opening").filter("template or (declines and not recurs)")
-    return told.select("row", F.when(F.col("template"), "template").otherwise("words").alias("path"))
+    ends = each.groupBy("row").agg(F.bool_and("usual").alias("usual"), F.bool_and(F.col("usual") | F.col("listed")).alias("nothing"))
+    ended = materialize(
+        cand.drop("rest", "listed").join(ends, "row", "left").withColumn("usual", F.coalesce("usual", F.lit(False))).withColumn("nothing", F.coalesce("nothing", F.lit(True))), "endings"
+    )
+    final = refusal_clusters(ended.select("opening", "prompt_hash", "related", (F.col("sign") | F.col("usual")).alias("sign")), member)
 
+    @F.pandas_udf("array<int>")
+    def features(opening: pd.Series, sign: pd.Series) -> pd.Series:
+        return pd.Series([opening_features(o, bool(x)) for o, x in zip(opening, sign)])
 
-def find_defects(pairs: DataFrame) -> DataFrame:
-    """``id`` and ``defect`` of each broken pair (columns ``id``, ``prompt``, ``reply``).
+    told = materialize(ended.join(final, "opening").withColumn("features", features("opening", "sign")), "refusals-told")
+    label = F.when(F.col("template"), 1).when(F.col("recurs") | ~F.col("sign"), 0).otherwise(2)
+    # the least hashes of each label: a partial top-k per task
+    parts = [told.withColumn("label", label).filter(F.col("label") == n).orderBy(F.xxhash64("opening", "prompt_hash"), "row").limit(TRAINING).select("features", "label") for n in (0, 1, 2)]
+    sample = parts[0].unionAll(parts[1]).unionAll(parts[2]).collect()
+    labels = np.array([r.label for r in sample], int)
+    weights = judged.sparkSession.sparkContext.broadcast(fit_openings([r.features for r in sample], (labels == 1).astype(float), labels == 2).astype("f4"))
+
+    @F.pandas_udf("double")
+    def score(f: pd.Series) -> pd.Series:
+        w = weights.value
+        return pd.Series([float(w[np.asarray(x, int)].sum()) for x in f])
+
+    told = told.filter("nothing and (template or not recurs)").withColumn("z", score("features")).filter("template or z > 0")
+    return told.select("row", F.when(F.col("template"), "template").otherwise("model").alias("path"))
 
-    A null reply is empty; a null or blank prompt can neither be copied nor set a language. Texts are
-    read whole. Repeated pairs are judged each. Each pair has at most one defect, looked for in the
-    order empty, copy, refusal, language, truncated. Refusals are those of :func:`find_refusals`.
-    """
+
+def judged_pairs(pairs: DataFrame) -> DataFrame:
+    """What each pair alone tells (columns of ``JUDGED``), and a number for it (``row``)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [(i, *judge(p, r)) for i, p, r in zip(pdf.id, pdf.prompt, pdf.reply)]
             yield pd.DataFrame(rows, columns=["id", "defect", "opening", "prompt_hash", "related", "declines", "specific", "rest", "listed"])
 
-    judged = materialize(pairs.select("id", "prompt", "reply").mapInPandas(run, JUDGED).withColumn("row", F.monotonically_increasing_id()), "pairs-judged")
-    refusing = materialize(find_refusals(judged).select("row", F.lit("refusal").alias("refusal")), "refusals")
-    return judged.join(refusing, "row", "left").select("id", F.coalesce("refusal", "defect").alias("defect")).filter("defect is not null")
+    return pairs.select("id", "prompt", "reply").mapInPandas(run, JUDGED).withColumn("row", F.monotonically_increasing_id())
+
+
+def find_defects(pairs: DataFrame) -> DataFrame:
+    """``id`` and ``defect`` of each broken pair (columns ``id``, ``prompt``, ``reply``).
+
+    A null reply is empty; a null or blank prompt can neither be copied nor set a language. Texts are
+    read whole. Repeated pairs are judged each. Each pair has at most one defect, looked for in the
+    order empty, copy, refusal, language, truncated. Refusals are those of :func:`find_refusals`.
+    """
+    judged = materialize(judged_pairs(pairs), "pairs-judged")
+    refusing = find_refusals(judged).select("row", F.lit("refusal").alias("refusal"))
+    return judged.select("row", "id", "defect").join(refusing, "row", "left").select("id", F.coalesce("refusal", "defect").alias("defect")).filter("defect is not null")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``id`` of the assistant row and ``defect`` of each broken pair in messages."""
-    return find_defects(response_pairs(messages(spark, sf_dir))).distinct()
+    return find_defects(response_pairs(messages(spark, sf_dir, "session_id", "role", "content", "timestamp"))).distinct()

@@ -67,19 +67,26 @@ def test_defects_end_to_end(spark):
     assert got == {**{f"r{i}": "refusal" for i in range(5)}, "rare": "refusal", "e1": "empty", "e2": "empty", "e3": "empty", "e4": "empty", "t": "truncated"}
 
 
+SEEN = "opening string, prompt_hash long, related double, sign boolean"
+
+
+def templates(seen):
+    return {r.opening for r in pairs.refusal_clusters(seen, pairs.clusters_of(seen.select("opening").distinct())).filter("template").collect()}
+
+
 def test_templates_need_unrelated_prompts(spark):
-    seen = spark.createDataFrame([("i am sorry but i cannot help with that request", 1, 0.0, True)] * 50, "opening string, prompt_hash long, related double, declines boolean")
-    assert pairs.refusal_openings(seen).count() == 0  # one prompt, however often
-    more = spark.createDataFrame([("i am sorry but i cannot help with that request", i, 0.0, True) for i in range(20)] + [("the list is sorted by name and then by age", i, 0.0, False) for i in range(20)], seen.schema)
-    assert [r.opening for r in pairs.refusal_openings(more).collect()] == ["i am sorry but i cannot help with that request"]
+    seen = spark.createDataFrame([("i am sorry but i cannot help with that request", 1, 0.0, True)] * 50, SEEN)
+    assert templates(seen) == set()  # one prompt, however often
+    more = spark.createDataFrame([("i am sorry but i cannot help with that request", i, 0.0, True) for i in range(20)] + [("the list is sorted by name and then by age", i, 0.0, False) for i in range(20)], SEEN)
+    assert templates(more) == {"i am sorry but i cannot help with that request"}
 
 
 def test_similar_openings_share_a_cluster(spark):
     base = "i am very sorry but i really cannot help you with this kind of request because our usage policy does not allow it for anybody here"
     other = base + " today"
     assert pairs.jaccard(base, other) >= 0.8
-    seen = spark.createDataFrame([(base, i, 0.0, True) for i in range(6)] + [(other, 77, 0.0, False)], "opening string, prompt_hash long, related double, declines boolean")
-    assert {r.opening for r in pairs.refusal_openings(seen).collect()} == {base, other}
+    seen = spark.createDataFrame([(base, i, 0.0, True) for i in range(6)] + [(other, 77, 0.0, False)], SEEN)
+    assert templates(seen) == {base, other}
 
 
 def test_unlisted_refusals_are_told_by_what_follows_them(spark):
@@ -91,10 +98,30 @@ def test_unlisted_refusals_are_told_by_what_follows_them(spark):
     assert judged(spark, items) == {x: "refusal" for x in ("k0", "k1", "k2", "u0", "u1", "u2")}
 
 
-def test_words_alone_decide_only_on_rare_openings(spark):
-    items = [(f"r{i}", f"Can you not help with this request about {w}, so I can't continue?", "I can't help with this request.") for i, w in enumerate(["rows", "pages", "threads"])]
-    assert judged(spark, items) == {}  # it recurs, but over prompts with the same words
-    assert judged(spark, items[:2]) == {"r0": "refusal", "r1": "refusal"}
+def test_rare_openings_are_told_by_what_templates_teach(spark):
+    related = [(f"r{i}", f"Can you not help with this request about {w}, so I can't continue?", "I can't help with this request.") for i, w in enumerate(["rows", "pages", "threads"])]
+    assert judged(spark, related) == {}  # it recurs, but over prompts with the same words
+    rare = ("x", "Why is it slow?", "Unfortunately, I can't help with that kind of question.")
+    assert judged(spark, [rare]) == {}  # its words alone are no reason
+    teach = [(f"k{i}", f"Why is {w} slow?", "I'm sorry, but I can't help with that.") for i, w in enumerate(["sorting", "parsing", "merging"])]
+    teach += [(f"d{i}", f"Did {w} pass?", "All of the checks went through at once.") for i, w in enumerate(["tests", "builds", "scans"])]
+    assert judged(spark, [*teach, rare]) == {x: "refusal" for x in ("k0", "k1", "k2", "x")}
+
+
+def test_without_clusters_there_are_no_refusals(spark):
+    from pathlib import Path
+
+    from chronodex.session import materialize
+    from chronodex.tables import messages
+
+    sf = "/root/testdata/sf0.1"
+    if not Path(sf).exists():
+        pytest.skip("no test tables here")
+    told = materialize(pairs.judged_pairs(pairs.response_pairs(messages(spark, sf, "session_id", "role", "content", "timestamp"))), "judged")
+    paths = {r.path: r["count"] for r in pairs.find_refusals(told).groupBy("path").count().collect()}
+    assert paths["template"] > 50 and paths["model"] > 50
+    empty = spark.createDataFrame([], "opening string, head string")
+    assert pairs.find_refusals(told, empty).count() == 0
 
 
 def test_clusters_reach_along_chains(spark, monkeypatch):
