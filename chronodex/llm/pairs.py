@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -32,7 +33,7 @@ BLOCK = 256
 #: A template recurs across at least so many different prompts, and shares at most so much of its words with them.
 MIN_PROMPTS, MAX_RELATED = 3, 0.34
 #: Size of the classifier's hashed feature space, and the most replies of each label it is fitted on.
-N_FEATURES, TRAINING = 1 << 12, 1000
+N_FEATURES, TRAINING, SIGN = 1 << 12, 1000, 4
 
 _HAS_TEXT = re.compile(r"[^\W_]")
 _TOKENS = re.compile(r"[぀-ヿ一-鿿가-힯]|[^\W_぀-ヿ一-鿿가-힯]+")
@@ -48,11 +49,8 @@ def is_copy(prompt: str, reply: str) -> bool:
     p, r = _TOKENS.findall(prompt.lower()), _TOKENS.findall(reply.lower())
     if not p or len(r) < 0.75 * len(p):
         return False
-    known = set(p)
-    strange = sum(w not in known for w in r)
-    if strange > max(3 if len(p) > 3 else 2, 0.2 * len(p)):
-        return False
-    if len(known & set(r)) < 0.75 * len(known):
+    known, most, said = set(p), max(3 if len(p) > 3 else 2, 0.2 * len(p)), set(r)
+    if len(said - known) > most or len(known & said) < 0.75 * len(known) or sum(w not in known for w in r) > most:
         return False
     # in order: greedy walk through the prompt, forgiving changed words
     at, hits = 0, 0
@@ -117,6 +115,8 @@ _ASKED = {k: re.compile(rf"(?<![^\W_])(?:{v})(?![^\W_])" if k not in ("zh", "ja"
 
 def other_language(prompt: str, reply: str) -> bool:
     """Whether the reply is in a language that the prompt neither uses nor names."""
+    if lang.same(prompt, reply):
+        return False
     said = lang.languages(reply)
     if not said:
         return False
@@ -185,6 +185,9 @@ def shingles(opening: str) -> set[str]:
     return {" ".join(w[i : i + SHINGLE]) for i in range(max(1, len(w) - SHINGLE + 1))}
 
 
+_shingles = lru_cache(20_000)(shingles)
+
+
 def bands_of(opening: str) -> list[int]:
     h = np.array([xxhash.xxh32_intdigest(s) >> 1 for s in shingles(opening)], np.int64)
     sig = ((h[:, None] * _A + _B) % _P).min(0).reshape(BANDS, ROWS)
@@ -202,7 +205,7 @@ def band_links(openings: list[str], first: int) -> list[tuple[str, str]]:
     Those before ``first`` are compared with each other and the others, the others only with those
     before; ``first`` of 0 compares all. Pairs already in one group need no comparison.
     """
-    sets, up = [shingles(o) for o in openings], list(range(len(openings)))
+    sets, up = [_shingles(o) for o in openings], list(range(len(openings)))
 
     def root(i: int) -> int:
         while up[i] != i:
@@ -232,9 +235,21 @@ def clusters_of(openings: DataFrame) -> DataFrame:
     def bands(openings: pd.Series) -> pd.Series:
         return pd.Series([bands_of(o) for o in openings])
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf.block == pdf.i].opening.tolist(), pdf[pdf.block != pdf.i].opening.tolist()
-        return pd.DataFrame(band_links(left + right, len(left) if right else 0), columns=["opening", "head"])
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, left, right = None, [], []
+
+        def links() -> list[tuple[str, str]]:
+            return band_links(left + right, len(left) if right else 0) if len(left) + len(right) > 1 else []
+
+        for pdf in batches:
+            out = []
+            for o, band, block, i, j in zip(pdf.opening, pdf.band, pdf.block, pdf.i, pdf.j):
+                if (band, i, j) != at:
+                    out += links()
+                    at, left, right = (band, i, j), [], []
+                (left if block == i else right).append(o)
+            yield pd.DataFrame(out, columns=["opening", "head"])
+        yield pd.DataFrame(links(), columns=["opening", "head"])
 
     keyed = materialize(openings.select("opening", F.explode(bands("opening")).alias("band")), "opening-bands")
     sizes = keyed.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
@@ -242,7 +257,8 @@ def clusters_of(openings: DataFrame) -> DataFrame:
     # block b meets each block: as (b, k) with those after it, as (k, b) with those before it
     met = placed.select("opening", "band", "block", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
     met = met.select("opening", "band", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    links = met.groupBy("band", "i", "j").applyInPandas(compare, "opening string, head string").distinct()
+    # a task reads its groups one after the other; a group has at most two blocks
+    links = met.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInPandas(compare, "opening string, head string").distinct()
     links = materialize(links, "opening-links")
     both = links.unionByName(links.select(F.col("head").alias("opening"), F.col("opening").alias("head"))).distinct()
     heads = both.select("opening").distinct().withColumn("head", F.col("opening"))
@@ -291,8 +307,9 @@ def usual_closings(judged: DataFrame, refusing: DataFrame) -> DataFrame:
 
 def opening_features(opening: str, sign: bool) -> list[int]:
     """Hashed words, neighbours and length of an opening, and whether its words decline."""
-    w = opening.split()
-    raw = [f"w {x}" for x in set(w)] + [f"b {x} {y}" for x, y in zip(["^", *w], [*w, "$"])] + [f"n {min(len(w), 31).bit_length()}"] + ["sign"] * sign
+    w = [x for y in opening.split() for x in (y if "一" <= y[0] <= "鿿" else (y,))]
+    raw = [f"w {x}" for x in set(w)] + [f"b {x} {y}" for x, y in zip(["^", *w], [*w, "$"])] + [f"n {min(len(w), 31).bit_length()}"]
+    raw += [f"sign {i}" for i in range(SIGN)] * sign  # a sign counts as much as so many words
     return sorted({xxhash.xxh32_intdigest(f) % N_FEATURES for f in raw})
 
 
@@ -350,15 +367,16 @@ def judge(prompt: str | None, reply: str | None) -> tuple:
         return ("empty", "", 0, 0.0, False, True, [], [])
     if _HAS_TEXT.search(prompt) and is_copy(prompt, reply):
         return ("copy", "", 0, 0.0, False, True, [], [])
-    first, *rest = [s for s in _SENTENCES.split(straight(reply)) if s.strip()]
+    defect = "language" if other_language(prompt, reply) else "truncated" if is_truncated(reply) else None
+    text = straight(reply)
+    if _SPECIFIC.search(text):  # says something specific, so it is no refusal
+        return (defect, "", 0, 0.0, False, True, [], [])
+    first, *rest = [s for s in _SENTENCES.split(text) if s.strip()]
     opening = opening_of(first)
     known = set(_TOKENS.findall(prompt.lower()))
     words = [w for w in opening.split() if w != "#"]
     related = sum(w in known for w in words) / len(words) if words else 1.0
-    defect = "language" if other_language(prompt, reply) else "truncated" if is_truncated(reply) else None
-    specific = any(_SPECIFIC.search(s) for s in (first, *rest))
-    rest = [] if specific else rest
-    return (defect, opening, xxhash.xxh64_intdigest(prompt) >> 1, related, declines(first), specific, [opening_of(s) for s in rest], [gives_nothing_else([s]) for s in rest])
+    return (defect, opening, xxhash.xxh64_intdigest(prompt) >> 1, related, declines(first), False, [opening_of(s) for s in rest], [gives_nothing_else([s]) for s in rest])
 
 
 def find_refusals(judged: DataFrame, clusters: DataFrame | None = None) -> DataFrame:
