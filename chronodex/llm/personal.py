@@ -10,23 +10,25 @@ regression over span and context features, is trained; it decides on every span.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from ..tables import messages, plans
+from ..tables import latest, table
+from . import lang
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
 
 #: Size of the classifier's hashed feature space, and the most spans it is trained on (per kind).
 N_FEATURES = 1 << 13
-TRAINING_SPANS = 4000
+TRAINING_SPANS = 1000
+#: What is assumed of the labelers before any span is seen weighs as much as so many spans.
+PRIOR_SPANS = 20.0
 
 #: Common given names.
 GIVEN = set(
@@ -45,9 +47,13 @@ ROLE_MAILBOX = {"git", "noreply", "no-reply", "donotreply", "support", "info", "
 
 _CAP = r"[A-ZÀ-ÖØ-Þ](?:['’][A-ZÀ-ÖØ-Þ])?[a-zà-öø-ÿ]+(?:[A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ]+)?"
 _SURNAME = rf"{_CAP}(?:-{_CAP})?"
+_TITLES = {"Mr", "Mrs", "Ms", "Miss", "Dr", "Prof", "Professor", "Herr", "Frau", "Mme", "Mlle", "Sr", "Sra", "Don", "Doña", "Ing"}
+#: Words that no name consists of: function words of several languages.
+_FUNCTION_WORDS = {w for ws in lang.WORDS.values() for w in ws if len(w) > 2} | {"der", "die", "das", "mein", "meine", "dein", "diese", "dieser", "alte", "neue", "mon", "mi", "el", "la", "le", "use", "see", "step", "run"}
 _TITLE = r"(?:(?:Mr|Mrs|Ms|Miss|Dr|Prof|Professor|Herr|Frau|Mme|Mlle|Sr|Sra|Don|Doña|Ing)\.?\s+)"
 _NAME = re.compile(rf"(?=(?<![\w@./\-])(?P<title>{_TITLE})?(?:(?P<given>{_CAP})(?: [A-Z]\.)*[ \t]+(?P<sur>{_SURNAME})|(?P<sur2>{_SURNAME}),[ \t]+(?P<given2>{_CAP})(?: [A-Z]\.)*)(?![\w@]))")
 _TITLE_BEFORE = re.compile(rf"{_TITLE}$")
+_SENTENCE_BEFORE = re.compile(r"(?:[.!?\n]|[-*#>])\s*$")
 _INITIALS = re.compile(r"(?: [A-Z]\.(?!\w))*")
 
 _TLD = r"[A-Za-z]{2,12}"
@@ -108,13 +114,23 @@ MAYBE = re.compile(rf"@|%40|\d[\d .\-/()]{{5,}}\d|(?i:\bat\b[\])]?.{{1,60}}(?:\b
 Span = tuple[str, int, int, int, int, int, list[int]]  # kind, begin, end, three votes, features
 
 
-def _features(kind: str, text: str, b: int, e: int, votes: tuple[int, int, int]) -> list[int]:
+def _features(kind: str, text: str, b: int, e: int) -> list[int]:
+    """Hashed features of a span and of the words around it; the votes are no part of them."""
     span = text[b:e]
     shape = re.sub(r"(.)\1+", r"\1+", re.sub(r"[a-zà-ÿ]", "a", re.sub(r"[A-ZÀ-Þ]", "A", re.sub(r"\d", "9", span))))
-    before = re.findall(r"\w+|[^\w\s]", text[max(0, b - 40) : b])[-3:]
-    after = re.findall(r"\w+|[^\w\s]", text[e : e + 30])[:2]
-    raw = ["bias", "shape=" + shape[:24], *(f"v{i}={v}" for i, v in enumerate(votes)), "v=" + "".join(map(str, votes))]
-    raw += [f"b{len(before) - i}={w.lower()}" for i, w in enumerate(before)] + [f"a{i}={w.lower()}" for i, w in enumerate(after)]
+    before = re.findall(r"\w+|[^\w\s]|\n", text[max(0, b - 40) : b])[-3:]
+    after = re.findall(r"\w+|[^\w\s]|\n", text[e : e + 30])[:2]
+    raw = ["bias", "shape=" + shape[:24]] + [f"b{len(before) - i}={w.lower()}" for i, w in enumerate(before)] + [f"a{i}={w.lower()}" for i, w in enumerate(after)]
+    if kind == "name":
+        raw += [f"w={w}" for w in re.findall(r"\w+", span)]
+    return [xxhash.xxh32_intdigest(f"{kind}|{f}") % N_FEATURES for f in raw]
+
+
+def vote_features(kind: str, votes: tuple[int, int, int], without: int = -1) -> list[int]:
+    """Hashed features of the votes, but of the labeler ``without``."""
+    raw = [f"v{i}={v}" for i, v in enumerate(votes) if i != without]
+    if without < 0:
+        raw.append("v=" + "".join(map(str, votes)))
     return [xxhash.xxh32_intdigest(f"{kind}|{f}") % N_FEATURES for f in raw]
 
 
@@ -141,7 +157,7 @@ def candidates(text: str | None) -> list[Span]:
             return
         taken.append((b, e))
         votes = (form, known, _vote_context(kind, text, b))
-        out.append((kind, b, e, *votes, _features(kind, text, b, e, votes)))
+        out.append((kind, b, e, *votes, _features(kind, text, b, e)))
 
     for m in _ADDRESS.finditer(text):
         town = m["town"]
@@ -177,31 +193,47 @@ def candidates(text: str | None) -> list[Span]:
         given, sur = (m["given2"], m["sur2"]) if turned else (m["given"], m["sur"])
         b = m.start("title") if m["title"] else m.start("sur2" if turned else "given")
         e = _INITIALS.match(text, m.end("given2")).end() if turned else m.end("sur")
-        known = 1 if given in GIVEN and sur not in NOT_SURNAME and sur.split("-")[0] not in GIVEN else -1 if given in NOT_SURNAME or sur in NOT_SURNAME else 0
-        if known or m["title"]:
-            names.append((known, not turned, -b, e, bool(m["title"])))
-    for known, direct, minus, e, titled in sorted(names, reverse=True):
+        if given.rstrip(".") in _TITLES or text[e : e + 1] == "@":
+            continue  # a title and one word
+        initials = "." in text[b:e].replace(m["title"] or "", "")
+        known = gazetteer(given, sur)
+        if turned and known <= 0 and not m["title"]:
+            continue  # two words of an enumeration
+        inside = b > 0 and not _SENTENCE_BEFORE.search(text[max(0, b - 3) : b])
+        names.append((known, bool(m["title"]) or initials, inside, not turned, -b, e, bool(m["title"])))
+    # overlapping pairs ("Ask Laura Martin"): what the gazetteer, a title or initials speak for, then not the one that begins a sentence
+    for known, _, _, direct, minus, e, titled in sorted(names, reverse=True):
         b = -minus
-        if text[e : e + 1] == "@":
-            continue
         if not titled and (t := _TITLE_BEFORE.search(text[max(0, b - 12) : b])):
             b, titled = b - len(t.group()), True
         add("name", b, e, 1 if titled or not direct or "." in text[b:e] else 0, known)
     return out
 
 
-SPANS = "source string, id string, kind string, begin int, end int, v1 int, v2 int, v3 int, features array<int>"
+def gazetteer(given: str, sur: str) -> int:
+    """Whether lists know a pair of words as a person's: 1, as something else: -1, or not at all: 0."""
+    parts = {given, sur, *re.split("-", sur)}
+    if parts & NOT_SURNAME or given.lower() in _FUNCTION_WORDS or sur.lower() in _FUNCTION_WORDS:
+        return -1
+    return 1 if given in GIVEN else 0
+
 
+def propose(texts: DataFrame, version: str | None = None) -> DataFrame:
+    """All candidate spans of ``texts`` (source, id, content), which are read whole.
 
-def propose(texts: DataFrame) -> DataFrame:
-    """All candidate spans of ``texts`` (source, id, content): no shuffle, texts are read whole."""
+    With ``version`` of each (source, id) only the row with the greatest value of that column counts.
+    It is picked after the texts have been read, so spans and not texts are shuffled.
+    """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(s, i, *c) for s, i, t in zip(pdf.source, pdf.id, pdf.content) for c in candidates(t)]
-            yield pd.DataFrame(rows, columns=["source", "id", "kind", "begin", "end", "v1", "v2", "v3", "features"])
+    @F.pandas_udf("array<struct<kind: string, begin: int, end: int, v1: int, v2: int, v3: int, features: array<int>>>")
+    def spans_of(content: pd.Series) -> pd.Series:
+        names = ("kind", "begin", "end", "v1", "v2", "v3", "features")
+        return pd.Series([[dict(zip(names, c)) for c in candidates(t)] for t in content], dtype=object)
 
-    return texts.select("source", "id", "content").mapInPandas(run, SPANS)
+    rows = texts.select("source", "id", *([version] if version else []), spans_of("content").alias("spans"), F.xxhash64("content").alias("_text"))
+    if version:
+        rows = latest(rows, ["source", "id"], version, tie=["_text"])
+    return rows.select("source", "id", F.explode("spans").alias("s")).select("source", "id", "s.*")
 
 
 def reliabilities(patterns: list[tuple[str, int, int, int, int]], rounds: int = 50) -> dict[tuple[str, int, int, int], float]:
@@ -228,7 +260,7 @@ def reliabilities(patterns: list[tuple[str, int, int, int, int]], rounds: int =
             for j in range(3):
                 for c, w in ((0, n * (1 - p)), (1, n * p)):
                     counts = np.bincount(v[:, j], weights=w, minlength=3)
-                    strength = 0.1 * n.sum() + 1
+                    strength = PRIOR_SPANS
                     table[j][c] = (counts + strength * start[j][c]) / (counts.sum() + strength)
         out.update({(kind, *p_[1:4]): float(x) for p_, x in zip(rows, p)})
     return out
@@ -248,39 +280,48 @@ def train(features: list[list[int]], labels: np.ndarray, epochs: int = 60, rate:
     return w
 
 
-def detect(texts: DataFrame) -> DataFrame:
+def detect(texts: DataFrame, version: str | None = None) -> DataFrame:
     """Spans of personal information: source, id, kind, begin, end (code points, end excluded).
 
-    ``texts`` has source, id and content. Votes are counted over all spans. The classifier is fitted
-    on at most ``TRAINING_SPANS`` spans of each kind, those with the least hash of their place, and
-    then decides on every span. What goes to the driver is bounded: one row per vote pattern, and the
-    training spans; what is broadcast is one weight vector. Null and empty texts have no spans; repeated
-    rows are found each; an empty input gives an empty result.
+    ``texts`` has source, id and content; ``version`` as in :func:`propose`. Votes are counted over all
+    spans. The classifier is fitted on at most ``TRAINING_SPANS`` spans of each kind, those with the
+    least hash of their place, and then decides on every span. What goes to the driver is bounded: one
+    row per vote pattern, and the training spans; what is broadcast is one weight vector. Null and
+    empty texts have no spans; repeated rows are found each; an empty input gives an empty result.
     """
-    spans = materialize(propose(texts), "pii-spans")
+    spans = materialize(propose(texts, version), "pii-spans")
     votes = [tuple(r) for r in spans.groupBy("kind", "v1", "v2", "v3").count().collect()]
     trusted = reliabilities(votes)
+    few = Window.partitionBy("kind").orderBy(F.xxhash64("source", "id", "begin"), "source", "id", "begin")
+    sample = spans.withColumn("place", F.row_number().over(few)).filter(F.col("place") <= TRAINING_SPANS)
     features, labels = [], []
-    for kind in KINDS:
-        sample = spans.filter(F.col("kind") == kind).orderBy(F.xxhash64("source", "id", "begin"), "source", "id", "begin").limit(TRAINING_SPANS)
-        for r in sample.select("v1", "v2", "v3", "features").collect():
-            features.append(r.features)
-            labels.append(trusted[(kind, r.v1, r.v2, r.v3)])
+    for r in sample.select("kind", "v1", "v2", "v3", "features").collect():
+        votes = (r.v1, r.v2, r.v3)
+        # twice with all votes and once without the gazetteer's, so that words and shapes must speak for themselves
+        for without in (-1, -1, 1):
+            features.append([*r.features, *vote_features(r.kind, votes, without)])
+            labels.append(trusted[(r.kind, *votes)])
     weights = spans.sparkSession.sparkContext.broadcast(train(features, np.array(labels)).astype("f4"))
 
     @F.pandas_udf("double")
-    def score(f: pd.Series) -> pd.Series:
+    def score(kind: pd.Series, v1: pd.Series, v2: pd.Series, v3: pd.Series, f: pd.Series) -> pd.Series:
         w = weights.value
-        return pd.Series([float(w[np.asarray(x, int)].sum()) for x in f])
+        return pd.Series([float(w[np.asarray([*x, *vote_features(k, (a, b, c))], int)].sum()) for k, a, b, c, x in zip(kind, v1, v2, v3, f)])
+
+    return spans.filter(score("kind", "v1", "v2", "v3", "features") > 0).select("source", "id", "kind", "begin", "end")
 
-    return spans.filter(score("features") > 0).select("source", "id", "kind", "begin", "end")
+
+def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """source, id, content and version of all stored messages and plans."""
+    said = table(spark, sf_dir, "messages").select(F.lit("messages").alias("source"), "id", "content", F.col("ingested_at").alias("version"))
+    planned = table(spark, sf_dir, "plans").select(F.lit("plans").alias("source"), "id", "content", F.col("modified_at").alias("version"))
+    return said.unionByName(planned)
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """source, id and content of the messages and plans that count."""
-    said = messages(spark, sf_dir).select(F.lit("messages").alias("source"), "id", "content")
-    planned = plans(spark, sf_dir).select(F.lit("plans").alias("source"), "id", "content")
-    return said.unionByName(planned)
+    rows = latest(versions(spark, sf_dir).withColumn("_text", F.xxhash64("content")), ["source", "id"], "version", tie=["_text"])
+    return rows.select("source", "id", "content")
 
 
 def redact(texts: DataFrame, spans: DataFrame) -> DataFrame:
@@ -304,7 +345,7 @@ def redact(texts: DataFrame, spans: DataFrame) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``source``, ``id`` and ``kind`` of the personal information in messages and plans."""
-    return detect(texts(spark, sf_dir)).select("source", "id", "kind").distinct()
+    return detect(versions(spark, sf_dir), "version").select("source", "id", "kind").distinct()
 
 
 def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
