@@ -1,25 +1,26 @@
 """Problem 6: credentials embedded in source code, configuration and messages.
 
 A keyword automaton picks the lines worth looking at; issuer formats and assignment forms are then
-matched on those lines, and each value is validated by its structure (alphabet, length, checksum
-where the issuer defines one, no placeholder or reference). Matches are replaced by characters of
+matched on those lines, and each value is validated by its structure (alphabet, length, no placeholder
+or reference); the checksum, where the issuer defines one, is reported with it. Matches are replaced by characters of
 the same classes and in the same number, so code around them keeps its shape.
 """
 
 from __future__ import annotations
 
+import base64
+import json
 import math
 import re
 import zlib
 from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..tables import messages, table
+from ..tables import latest, table
 
 #: What a line must contain (in lower case) to be looked at.
 KEYWORDS = (
@@ -107,7 +108,7 @@ def is_secret(v: str, quoted: bool, url: bool = False) -> bool:
     """
     if url:
         return len(v) >= 4 and not (_SAMPLE.search(v) or _REFERENCE.search(v) or _SHOUTED.match(v)) and v.lower() not in ("pass", "pwd", "passwd")
-    if len(v) < 6 or len(v) > 4096 or _SAMPLE.search(v) or _REFERENCE.search(v) or _PATH.match(v) or _SHOUTED.match(v) or _WORDY.match(v) or v.startswith("-----"):
+    if len(v) < 6 or _SAMPLE.search(v) or _REFERENCE.search(v) or _PATH.match(v) or _SHOUTED.match(v) or _WORDY.match(v) or v.startswith("-----"):
         return False
     if not any(c.isdigit() for c in v) and (len(v) < 12 or v.isupper() or entropy(v) < 3.3) and not (re.search(r"[@!#%^&*?]", v) and len(v) >= 8):
         return False
@@ -118,17 +119,28 @@ def is_secret(v: str, quoted: bool, url: bool = False) -> bool:
     return True
 
 
+_DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+
+
 def checksum_ok(token: str) -> bool | None:
-    """Whether a GitHub token's CRC-32 suffix fits; None for formats without a checksum."""
-    m = re.fullmatch(r"(gh[opsur]_)([A-Za-z0-9]{30})([A-Za-z0-9]{6})", token)
-    if not m:
-        return None
-    digits = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
-    n, out = zlib.crc32(m[2].encode()), ""
-    for _ in range(6):
-        n, r = divmod(n, 62)
-        out = digits[r] + out
-    return out == m[3]
+    """Whether a token's own check holds; None for formats that have none.
+
+    Tokens of the code host and of the package registry end with the CRC-32 of what is before, in six
+    digits to base 62; a web token's first part is JSON that names an algorithm.
+    """
+    if m := re.fullmatch(r"(?:gh[opsur]_|npm_)([A-Za-z0-9]{30})([A-Za-z0-9]{6})", token):
+        n, out = zlib.crc32(m[1].encode()), ""
+        for _ in range(6):
+            n, r = divmod(n, 62)
+            out = _DIGITS[r] + out
+        return out == m[2]
+    if token.startswith("eyJ") and token.count(".") == 2:
+        head = token.split(".")[0]
+        try:
+            return "alg" in json.loads(base64.urlsafe_b64decode(head + "=" * (-len(head) % 4)))
+        except (ValueError, TypeError):
+            return False
+    return None
 
 
 _automaton = None
@@ -149,11 +161,46 @@ def _keyword_lines(text: str, starts: list[int]) -> set[int]:
     return {bisect_right(starts, end) for end, _ in _automaton.iter(low)}
 
 
+_DOTTED_KEY = re.compile(ISSUERS["dotted_api_key"])
+_NEXT_LINE = re.compile(
+    r"""(?:(?<![\w\-])name[ \t]*:[ \t]*["']?(?P<named>[A-Za-z_][\w\-]*)["']?[ \t]*,?\n[ \t]*["']?value["']?\s*:\s*|(?<![\w\-])(?P<name>[A-Za-z_][\w\-]*)["']?[ \t]*(?:=>|:=|=|:)[ \t]*\(?[ \t]*\\?\n[ \t]+)(?P<quote>["'`]?)(?P<value>[^\s"'`]+)(?P=quote)[ \t]*[,;)]*[ \t]*(?=\n|\Z)"""
+)
+#: A line of a private key, perhaps inside a comment or a string.
+_KEY_LINE = re.compile(r"""[ \t#/*>|"'`+]*(?:[A-Za-z0-9+/=]{4,}(?:\\[nr]|["'`,;+\\ \t])*|(?:Proc-Type|DEK-Info|Comment|Version)\s*:[^\n]*)?\r?$""")
+
+
+def key_end(text: str, begin: re.Match) -> int | None:
+    """Where a private key ends: at its END line, or else before the first line that is no key material.
+
+    None if nothing of a key follows the BEGIN line, as where it is only mentioned; a text may end after it.
+    """
+    line_end = text.find("\n", begin.end())
+    line_end = len(text) if line_end < 0 else line_end
+    end = _END.search(text, begin.end())
+    if end and end.start() <= line_end:
+        return end.end()
+    rest = text[begin.end() : line_end].strip(" \t\r\"'`,;+\\|")
+    if rest and not re.match(r"(?:\\?[nr])?[A-Za-z0-9+/=\\]{16,}", rest):
+        return None
+    at, some = line_end, bool(rest) or line_end >= len(text)
+    while at < len(text):
+        stop = text.find("\n", at + 1)
+        stop = len(text) if stop < 0 else stop
+        line = text[at + 1 : stop]
+        if e := _END.search(line):
+            return at + 1 + e.end()
+        if not _KEY_LINE.match(line):
+            break
+        some = some or bool(re.search(r"[A-Za-z0-9+/=]{4,}", line))
+        at = stop
+    return at if some or at >= len(text) else None
+
+
 def find(text: str | None) -> list[tuple[str, int, int, int]]:
     """(kind, line from 1, begin, end) of each credential in a text, in order, without overlaps.
 
-    Lines are split at line feeds; a private key counts where it begins and reaches to its END line,
-    or to the end of the text. Null and empty texts have none.
+    Lines are split at line feeds; a private key counts where it begins (:func:`key_end`); values may be
+    of any length. Null and empty texts have none.
     """
     if not text:
         return []
@@ -161,8 +208,15 @@ def find(text: str | None) -> list[tuple[str, int, int, int]]:
     bounds = [0, *starts, len(text) + 1]
     found: list[tuple[int, int, str]] = []
     for m in _BEGIN.finditer(text) if "-----BEGIN" in text else ():
-        e = _END.search(text, m.end())
-        found.append((m.start(), e.end() if e else len(text), "private_key"))
+        if (e := key_end(text, m)) is not None:
+            found.append((m.start(), e, "private_key"))
+    for m in _DOTTED_KEY.finditer(text):  # has no keyword that a line could be picked by
+        if not _SAMPLE.search(m.group()):
+            found.append((m.start(), m.end(), "dotted_api_key"))
+    for m in _NEXT_LINE.finditer(text):  # the name in one line, its value in the next
+        v = m["value"].rstrip(",;")
+        if holds_secret(m["name"] or m["named"]) and is_secret(v, bool(m["quote"])):
+            found.append((m.start("value"), m.start("value") + len(v), "named"))
     for line in sorted(_keyword_lines(text, starts)):
         base = bounds[line]
         s = text[base : bounds[line + 1] - 1]
@@ -234,44 +288,51 @@ def redact(text: str | None, spans: list[tuple[str, int, int, int]]) -> str | No
     return "".join([*out, text[at:]])
 
 
-def find_credentials(df: DataFrame, text: str = "content", redacted: bool = True) -> DataFrame:
+FOUND = "array<struct<kind: string, line_no: int, begin: int, end: int, checksum: boolean>>"
+
+
+def find_credentials(df: DataFrame, text: str = "content", redacted: bool = True, keys: list[str] | None = None, version: str | None = None) -> DataFrame:
     """One row per input row that holds credentials: its other columns, ``found`` and the hidden text.
 
-    ``found`` is array<struct<kind, line_no, begin, end>>; the text column holds the redacted text
-    (with ``redacted`` false it is left out, so texts don't travel on). Rows are independent, and texts
-    are read whole: no shuffle. An existing column ``found`` is replaced. Null and empty texts have no credentials; repeated rows are found each.
+    ``found`` is an array of kind, line, begin, end and checksum (whether the format's own check holds, null
+    where it has none: a token that fails it is reported all the same). The text column holds the
+    redacted text; with ``redacted`` false it is left out. Rows are independent, and texts are read
+    whole. With ``keys`` and ``version`` only the row with the greatest version of each key counts; it
+    is picked after the search, so nothing but what was found is shuffled. An existing column ``found``
+    is replaced. Null and empty texts have no credentials; repeated rows are found each.
     """
     rest = [c for c in df.columns if c not in (text, "found")]
-    fields = {f.name: f.dataType.simpleString() for f in df.schema}
-    schema = ", ".join([f"`{c}` {fields[c]}" for c in rest] + [f"`{text}` string"] * redacted + ["found array<struct<kind: string, line_no: int, begin: int, end: int>>"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            spans = [find(t) for t in pdf[text]]
-            keep = [i for i, x in enumerate(spans) if x]
-            out = pdf.iloc[keep][rest].reset_index(drop=True)
-            if redacted:
-                out[text] = pd.Series([redact(pdf[text].iat[i], spans[i]) for i in keep], dtype=object)
-            out["found"] = pd.Series([[dict(zip(("kind", "line_no", "begin", "end"), x)) for x in spans[i]] for i in keep], dtype=object)
-            yield out
+    def listed(t: str | None, spans: list) -> list[dict]:
+        return [dict(zip(("kind", "line_no", "begin", "end", "checksum"), (*x, checksum_ok(t[x[2] : x[3]])))) for x in spans]
+
+    @F.pandas_udf(f"struct<hidden: string, found: {FOUND}>")
+    def search(content: pd.Series) -> pd.DataFrame:
+        spans = [find(t) for t in content]
+        hidden = [redact(t, x) if x and redacted else None for t, x in zip(content, spans)]
+        return pd.DataFrame({"hidden": pd.Series(hidden, dtype=object), "found": pd.Series([listed(t, x) for t, x in zip(content, spans)], dtype=object)})
 
-    return df.select(*rest, text).mapInPandas(run, schema)
+    out = df.select(*rest, search(text).alias("_hit"), *([F.xxhash64(text).alias("_text")] if version else []))
+    if version:
+        out = latest(out, keys, version, tie=["_text"]).drop("_text")
+    out = out.filter(F.size("_hit.found") > 0)
+    return out.select(*rest, *([F.col("_hit.hidden").alias(text)] if redacted else []), F.col("_hit.found").alias("found"))
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """source, id and content of all file chunks and of the messages that count."""
-    chunks = table(spark, sf_dir, "file_chunks").select(F.lit("file_chunks").alias("source"), F.col("chunk_id").alias("id"), "content")
-    said = messages(spark, sf_dir).select(F.lit("messages").alias("source"), "id", "content")
+    """source, id, content and version of all file chunks and stored messages (chunks have one version)."""
+    chunks = table(spark, sf_dir, "file_chunks").select(F.lit("file_chunks").alias("source"), F.col("chunk_id").alias("id"), "content", F.lit(None).cast("timestamp").alias("version"))
+    said = table(spark, sf_dir, "messages").select(F.lit("messages").alias("source"), "id", "content", F.col("ingested_at").alias("version"))
     return chunks.unionByName(said)
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``source``, ``id`` and ``line_no`` of each line in which a credential begins."""
-    found = find_credentials(texts(spark, sf_dir), redacted=False)
+    found = find_credentials(texts(spark, sf_dir), redacted=False, keys=["source", "id"], version="version")
     return found.select("source", "id", F.explode("found.line_no").alias("line_no")).distinct()
 
 
 def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The texts that hold credentials, with these hidden, and how many each has."""
-    hidden = find_credentials(texts(spark, sf_dir))
+    hidden = find_credentials(texts(spark, sf_dir), keys=["source", "id"], version="version")
     return hidden.select("source", "id", "content", F.size("found").alias("n_credentials")).distinct()
