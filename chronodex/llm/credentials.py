@@ -161,7 +161,8 @@ def _keyword_lines(text: str, starts: list[int]) -> set[int]:
     return {bisect_right(starts, end) for end, _ in _automaton.iter(low)}
 
 
-_DOTTED_KEY = re.compile(ISSUERS["dotted_api_key"])
+_DOTTED_KEY = re.compile(r"\.(?<=[0-9a-f]{32}\.)[A-Za-z0-9]{16}(?![A-Za-z0-9])")
+_OPEN_LINE = re.compile(r"(?:[=:>(\\][ \t]*|\bname[ \t]*:[^\n]*)$")
 _NEXT_LINE = re.compile(
     r"""(?:(?<![\w\-])name[ \t]*:[ \t]*["']?(?P<named>[A-Za-z_][\w\-]*)["']?[ \t]*,?\n[ \t]*["']?value["']?\s*:\s*|(?<![\w\-])(?P<name>[A-Za-z_][\w\-]*)["']?[ \t]*(?:=>|:=|=|:)[ \t]*\(?[ \t]*\\?\n[ \t]+)(?P<quote>["'`]?)(?P<value>[^\s"'`]+)(?P=quote)[ \t]*[,;)]*[ \t]*(?=\n|\Z)"""
 )
@@ -211,15 +212,17 @@ def find(text: str | None) -> list[tuple[str, int, int, int]]:
         if (e := key_end(text, m)) is not None:
             found.append((m.start(), e, "private_key"))
     for m in _DOTTED_KEY.finditer(text):  # has no keyword that a line could be picked by
-        if not _SAMPLE.search(m.group()):
-            found.append((m.start(), m.end(), "dotted_api_key"))
-    for m in _NEXT_LINE.finditer(text):  # the name in one line, its value in the next
-        v = m["value"].rstrip(",;")
-        if holds_secret(m["name"] or m["named"]) and is_secret(v, bool(m["quote"])):
-            found.append((m.start("value"), m.start("value") + len(v), "named"))
+        b = m.start() - 32
+        if not (b and text[b - 1].isalnum()) and not _SAMPLE.search(text[b : m.end()]):
+            found.append((b, m.end(), "dotted_api_key"))
     for line in sorted(_keyword_lines(text, starts)):
         base = bounds[line]
         s = text[base : bounds[line + 1] - 1]
+        # the name in this line, its value in the next
+        if _OPEN_LINE.search(s) and (m := _NEXT_LINE.search(text, base, bounds[line + 2] - 1 if line + 2 < len(bounds) else len(text))):
+            v = m["value"].rstrip(",;")
+            if m.start() < base + len(s) and holds_secret(m["name"] or m["named"]) and is_secret(v, bool(m["quote"])):
+                found.append((m.start("value"), m.start("value") + len(v), "named"))
         for m in _ISSUER.finditer(s):
             v = m.group()
             if not _SAMPLE.search(v) and len(set(v)) > 6:
