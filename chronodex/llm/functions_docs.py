@@ -42,28 +42,39 @@ _BEFORE_REGEX = set("(,=:[!&|?{};+-*%~^<>") | {"=>", "return", "typeof", "case",
 Token = tuple[str, int, int]  # kind, begin, end
 
 
+_TEMPLATE_STOP = re.compile(r"[\\`]|\$\{")
+
+
 def _template_end(s: str, at: int) -> int:
-    """End of a template literal that begins at ``at``; ``${...}`` parts may hold any code."""
+    """End of a template literal that begins at ``at``; ``${...}`` parts may hold any code, and templates again."""
+    open_ = [0]  # 0: inside a template's text; else the depth of braces inside a ``${...}``
     at += 1
     while at < len(s):
-        c = s[at]
-        if c == "\\":
-            at += 2
-        elif c == "`":
-            return at + 1
-        elif s.startswith("${", at):
-            depth, at = 1, at + 2
-            while at < len(s) and depth:
-                m = LEX["js"].match(s, at)
-                kind, at = m.lastgroup, m.end()
-                if kind == "template":
-                    at = _template_end(s, m.start())
-                elif kind == "block":
-                    at = s.find("*/", at) + 2 or len(s)
-                elif kind == "sign":
-                    depth += {"{": 1, "}": -1}.get(m.group(), 0)
-        else:
-            at += 1
+        if not open_[-1]:
+            m = _TEMPLATE_STOP.search(s, at)
+            if not m:
+                break
+            at = m.end()
+            if m.group() == "\\":
+                at += 1
+            elif m.group() == "`":
+                open_.pop()
+                if not open_:
+                    return at
+            else:
+                open_.append(1)
+            continue
+        m = LEX["js"].match(s, at)
+        kind, at = m.lastgroup, m.end()
+        if kind == "template":
+            open_.append(0)
+        elif kind == "block":
+            end = s.find("*/", at)
+            at = len(s) if end < 0 else end + 2
+        elif kind == "sign":
+            open_[-1] += {"{": 1, "}": -1}.get(m.group(), 0)
+            if not open_[-1]:
+                open_.pop()
     return len(s)
 
 

@@ -135,3 +135,24 @@ def test_line_ends_and_frame(spark):
     src = f"/// {DOC}\r\nfn a() {{}}\r\n"
     df = spark.createDataFrame([("f1", src, "rust", 1), ("f2", src, "cobol", 2), ("f3", None, "rust", 3), ("f4", "", None, 4), ("f5", src.replace("\r\n", "\r"), "rust", 5)], "file_id string, content string, language string, code int")
     assert {(r.file_id, r.name, r.start_line, r.end_line) for r in fd.function_docs(df).collect()} == {("f1", "a", 2, 2), ("f5", "a", 2, 2)}
+
+
+SOURCES = {
+    "js": "/** Adds two numbers and says so. */\nexport const add = (a, b) => { return `${a /* x */ + `${b}`} \\` ${'}'}`; };\nclass K { /** Does a thing that is well described here. */ m(x) { return /[/}]/.test(x); } }\n",
+    "rust": "/// Reads all of the rows of a table at once.\npub fn read<T>(r: &'static str) -> T where T: X { /* a /* b */ c */ let s = r#\"}\"#; '}' }\n",
+    "python": 'def f(a=")", *, b: int = 3) -> str:\n    """Gives the text of a row back to the caller."""\n    return f"{a!r:>{b}}" + \'\'\'x\ny\'\'\'\n',
+}
+
+
+@pytest.mark.parametrize("language", sorted(SOURCES))
+def test_files_cut_at_any_place(language):
+    text = SOURCES[language]
+    for n in range(len(text) + 1):
+        for tail in ("", "${ /* open", "`", '"', "/*", "{"):
+            list(fd.functions_of(text[:n] + tail, language))
+
+
+def test_deep_templates_and_open_comments():
+    list(fd.functions_of("const a = `${ /* open", "js"))
+    list(fd.functions_of("const a = " + "`${" * 20_000, "js"))
+    list(fd.functions_of("const a = " + "`${" * 3_000 + "1" + "}`" * 3_000 + ";", "js"))
