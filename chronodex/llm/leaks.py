@@ -3,17 +3,18 @@
 Windows of words are embedded by CGK random walks, which turn edit distance into Hamming distance:
 a walk reads a window word by word, and whether it moves on depends on a random function of the step
 and the word, so two windows with one edit soon run in step again. Repeated samples of the walks'
-positions are the keys of an LSH. Windows of the items are kept at every position and those of the
-documents at every ``STRIDE``-th, so each passage of a third of an item holds an aligned window.
-Matches are then verified by an exact banded alignment of the document with the item.
+positions are the keys of an LSH. A window is as long as fits into the shortest passage of an item that
+counts (12 words for most, fewer for short items); the items' windows are kept at every position. Matches
+are then verified by an exact banded alignment of the document with the item.
 """
 
 from __future__ import annotations
 
 import html
 import math
+import pickle
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,17 +23,20 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words in a window; step between windows of a document; CGK steps per word of a window.
-WINDOW, STRIDE, STRETCH = 12, 4, 3
-#: Random walks, samples taken from each, and positions per sample.
-WALKS, SAMPLES, POSITIONS = 3, 8, 6
+from ..session import materialize
+
+#: CGK steps per word of a window.
+STRETCH = 3
+#: Random walks, and samples taken from each.
+WALKS, SAMPLES = 3, 8
 #: Least share of an item's words that a passage holds, and of equal words (and of their weight) in it.
 SHARE, IDENTITY, WEIGHT = 1 / 3, 0.68, 0.7
+#: A passage has at least so many words, or the whole item if that is shorter.
+LEAST = 5
 #: Least share of an item window's weight that a window with a common key has equal, to be aligned at all.
 WINDOW_WEIGHT = 0.6
-#: Items are broadcast in blocks of at most so many words.
+#: Items are broadcast in blocks of at most so many words; the size of the blocks changes no result.
 BLOCK_WORDS = 200_000
-BAND = 10
 #: Documents are looked at together up to so many words, which bounds a task's memory however long they are.
 WORDS_AT_ONCE = 300_000
 
@@ -52,91 +56,121 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(_APOSTROPHE.sub("", text).lower())
 
 
-def hashes(ws: list[str], memory: dict[str, int]) -> np.ndarray:
-    """32-bit hash of each word, never 0."""
-    out = np.empty(len(ws), np.uint32)
-    for i, w in enumerate(ws):
-        h = memory.get(w)
-        if h is None:
-            if len(memory) > 500_000:
-                memory.clear()
-            h = memory[w] = xxhash.xxh32_intdigest(w) or 1
-        out[i] = h
-    return out
-
-
-_RNG = np.random.default_rng(11)
-_STEPS = WINDOW * STRETCH
-_MOVE = _RNG.integers(1, 1 << 32, (WALKS, _STEPS), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
-_PICK = [[np.sort(_RNG.choice(_STEPS, POSITIONS, replace=False)) for _ in range(SAMPLES)] for _ in range(WALKS)]
-_MIX = _RNG.integers(1, 1 << 63, (WALKS, SAMPLES, POSITIONS), dtype=np.uint64) | np.uint64(1)
-
-
-def lsh_keys(windows: np.ndarray) -> np.ndarray:
-    """Keys (windows x WALKS*SAMPLES) of windows of word hashes (n x WINDOW, uint32)."""
-    n = len(windows)
-    out = np.empty((n, WALKS * SAMPLES), np.uint64)
-    padded = np.concatenate([windows, np.zeros((n, 1), np.uint32)], 1)  # 0: past the end
-    rows = np.arange(n)
-    for walk in range(WALKS):
-        at = np.zeros(n, np.int64)
-        read = np.empty((_STEPS, n), np.uint32)
-        for step in range(_STEPS):
-            w = padded[rows, at]
-            read[step] = w
-            at += ((w * _MOVE[walk, step]) >> np.uint32(31)).astype(np.int64) & (at < WINDOW)
-        for s in range(SAMPLES):
-            key = np.full(n, walk * SAMPLES + s + 1, np.uint64)
-            for p, mix in zip(_PICK[walk][s], _MIX[walk, s]):
-                key = (key ^ read[p].astype(np.uint64)) * mix
-                key ^= key >> np.uint64(29)
-            out[:, walk * SAMPLES + s] = key
-    return out
-
-
-def window_matrix(h: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of a hashed text and where they begin; the last one ends with the text."""
-    if len(h) < WINDOW:
-        return np.zeros((0, WINDOW), np.uint32), np.zeros(0, np.int64)
-    starts = np.arange(0, len(h) - WINDOW + 1, stride)
-    if starts[-1] != len(h) - WINDOW:
-        starts = np.append(starts, len(h) - WINDOW)
-    return np.lib.stride_tricks.sliding_window_view(h, WINDOW)[starts], starts
-
-
-class ItemIndex:
-    """The windows of a block of items, by LSH key."""
-
-    def __init__(self, items: list[tuple[int, str | None]]):
-        memory: dict[str, int] = {}
-        self.ids = [i for i, _ in items]
-        self.hashed = [hashes(words(t), memory) for _, t in items]
-        df: dict[int, int] = defaultdict(int)
-        for h in self.hashed:
-            for w in set(h.tolist()):
-                df[w] += 1
-        n = max(1, len(items))
-        # a word's weight is what it says about the item: common words of the suite say little
-        self.weights = [np.array([0.2 + math.log((n + 1) / df[w]) for w in h.tolist()]) for h in self.hashed]
-        mats, owner, start = [], [], []
-        for k, h in enumerate(self.hashed):
-            m, s = window_matrix(h, 1)
+class WordHashes(dict):
+    """32-bit hash of each word, never 0; remembers a bounded number of words."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        h = self[word] = xxhash.xxh32_intdigest(word) or 1
+        return h
+
+
+def hashes(ws: list[str], memory: WordHashes) -> np.ndarray:
+    return np.fromiter(map(memory.__getitem__, ws), np.uint32, len(ws))
+
+
+def least_words(m: int) -> int:
+    """Words that a passage of an item of ``m`` words has at least."""
+    return max(math.ceil(SHARE * m), min(LEAST, m))
+
+
+class Walks:
+    """CGK walks over windows of one length, and the positions that are sampled from them."""
+
+    def __init__(self, window: int):
+        rng = np.random.default_rng(11)
+        self.window, self.steps, self.positions = window, window * STRETCH, max(1, window // 2)
+        #: windows of a document begin at every ``stride``-th word: the shortest passage holds an aligned one
+        self.stride = 4 if window == 12 else 1
+        #: pairs of neighbours that a window shares with the items even if a third of its words is altered
+        self.pairs = max(0, window - 1 - 2 * (window // 3))
+        self.move = rng.integers(1, 1 << 32, (WALKS, self.steps), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
+        self.pick = [[np.sort(rng.choice(self.steps, self.positions, replace=False)) for _ in range(SAMPLES)] for _ in range(WALKS)]
+        self.mix = rng.integers(1, 1 << 63, (WALKS, SAMPLES, self.positions), dtype=np.uint64) | np.uint64(1)
+
+    def keys(self, windows: np.ndarray) -> np.ndarray:
+        """Keys (windows x WALKS*SAMPLES) of windows of word hashes (n x window, uint32)."""
+        n = len(windows)
+        out = np.empty((n, WALKS * SAMPLES), np.uint64)
+        padded = np.concatenate([windows, np.zeros((n, 1), np.uint32)], 1)  # 0: past the end
+        rows = np.arange(n)
+        for walk in range(WALKS):
+            at = np.zeros(n, np.int64)
+            read = np.empty((self.steps, n), np.uint32)
+            for step in range(self.steps):
+                w = padded[rows, at]
+                read[step] = w
+                at += ((w * self.move[walk, step]) >> np.uint32(31)).astype(np.int64) & (at < self.window)
+            for s in range(SAMPLES):
+                key = np.full(n, walk * SAMPLES + s + 1, np.uint64)
+                for p, mix in zip(self.pick[walk][s], self.mix[walk, s]):
+                    key = (key ^ read[p].astype(np.uint64)) * mix
+                    key ^= key >> np.uint64(29)
+                out[:, walk * SAMPLES + s] = key
+        return out
+
+
+def window_of(m: int) -> int:
+    """Window length for an item of ``m`` words: the shortest passage holds one at a document's stride."""
+    third = least_words(m)
+    return 12 if third >= 15 else 6 if third >= 6 else min(3, m)
+
+
+def _neighbours(h: np.ndarray) -> np.ndarray:
+    """24-bit hash of each word and the one after it, along the last axis."""
+    return (h[..., :-1] * np.uint32(2654435761) ^ h[..., 1:]) >> np.uint32(8)
+
+
+class Windows:
+    """The windows of one length of a block of items, by LSH key."""
+
+    def __init__(self, window: int, items: list[tuple[int, np.ndarray, np.ndarray]]):
+        """``items`` has number, hashed words and weights of each."""
+        self.walks = Walks(window)
+        mats, owner, start, weights = [], [], [], []
+        for k, h, w in items:
+            m = np.lib.stride_tricks.sliding_window_view(h, window)
             mats.append(m)
             owner += [k] * len(m)
-            start += s.tolist()
-        self.windows = np.concatenate(mats) if mats else np.zeros((0, WINDOW), np.uint32)
+            start += range(len(m))
+            weights.append(np.lib.stride_tricks.sliding_window_view(w, window))
+        self.windows, self.weights = np.concatenate(mats), np.concatenate(weights)
         self.owner, self.start = np.array(owner, np.int64), np.array(start, np.int64)
-        self.window_weights = np.stack([self.weights[k][s : s + WINDOW] for k, s in zip(owner, start)]) if owner else np.zeros((0, WINDOW))
-        keys = lsh_keys(self.windows)
+        keys = self.walks.keys(self.windows)
         flat, which = keys.ravel(), np.repeat(np.arange(len(keys)), keys.shape[1])
         order = np.argsort(flat, kind="stable")
         self.keys, self.which = flat[order], which[order]
         self.bits = np.zeros(1 << 22, bool)
         self.bits[(self.keys >> np.uint64(42)).astype(np.int64)] = True
+        self.near = np.zeros(1 << 24, bool)
+        if window > 1:
+            self.near[_neighbours(self.windows).ravel()] = True
+
+    def of(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Windows of documents that have enough pairs of neighbours in common with the items, their documents and places.
+
+        A window of which at most a third of the words is altered keeps so many pairs. The last window
+        of a document ends with it.
+        """
+        w, step, need = self.walks.window, self.walks.stride, self.walks.pairs
+        length = np.array([len(h) for h in docs], np.int64)
+        if not len(length) or length.max() < w:
+            return np.zeros((0, w), np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        everything, first = np.concatenate(docs), np.cumsum(length) - length
+        n = np.where(length >= w, -(-(length - w) // step) + 1, 0)
+        owner = np.repeat(np.arange(len(docs)), n)
+        start = np.minimum((np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * step, length[owner] - w)
+        at = first[owner] + start
+        if need:
+            known = np.concatenate([[0], np.cumsum(self.near[_neighbours(everything)])])
+            keep = known[at + w - 1] - known[at] >= need
+            owner, start, at = owner[keep], start[keep], at[keep]
+        return np.lib.stride_tricks.sliding_window_view(everything, w)[at], owner, start
 
     def hits(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of (row of ``windows``, item window) with a common key and enough weight in common."""
-        keys = lsh_keys(windows)
+        keys = self.walks.keys(windows)
         row, col = np.nonzero(self.bits[(keys >> np.uint64(42)).astype(np.int64)])
         k = keys[row, col]
         lo, hi = np.searchsorted(self.keys, k, "left"), np.searchsorted(self.keys, k, "right")
@@ -152,135 +186,190 @@ class ItemIndex:
         keep = np.zeros(len(left), bool)
         for at in range(0, len(left), 200_000):
             a, b = windows[left[at : at + 200_000]], self.windows[right[at : at + 200_000]]
-            w = self.window_weights[right[at : at + 200_000]]
+            w = self.weights[right[at : at + 200_000]]
             common = (w * (a == b)).sum(1)
-            for shift in (1, 2):
+            for shift in range(1, min(3, self.walks.window)):
                 common = np.maximum(common, (w[:, shift:] * (a[:, :-shift] == b[:, shift:])).sum(1))
                 common = np.maximum(common, (w[:, :-shift] * (a[:, shift:] == b[:, :-shift])).sum(1))
             keep[at : at + 200_000] = common >= WINDOW_WEIGHT * w.sum(1)
         return left[keep], right[keep]
 
 
-def passage(doc: list[int], item: list[int], weights: list[float], diagonal: int) -> tuple[int, float, float]:
-    """The best local alignment near a diagonal: item words spanned, share equal, weighted share equal.
+class ItemIndex:
+    """A block of items: hashed words, their weights, and windows by length and LSH key."""
+
+    def __init__(self, items: list[tuple[int, list[int], list[float]]]):
+        """``items`` has id, hashed words and weights of each; items without words are left out."""
+        items = [x for x in items if len(x[1])]
+        self.ids = [i for i, _, _ in items]
+        self.hashed = [np.asarray(h, np.uint32) for _, h, _ in items]
+        self.weights = [np.asarray(w, float) for _, _, w in items]
+        by_window: dict[int, list] = defaultdict(list)
+        for k, (h, w) in enumerate(zip(self.hashed, self.weights)):
+            by_window[window_of(len(h))].append((k, h, w))
+        self.windows = [Windows(w, part) for w, part in sorted(by_window.items())]
+
 
-    Equal words count 1; altered, added and missing ones cost 2. Cells farther than ``BAND`` from the
-    diagonal (document position minus item position) are left out.
+def word_weights(counts: dict[int, int], n_items: int, hashed: list[int]) -> list[float]:
+    """What each word says about its item: those that many items have say little."""
+    return [0.2 + math.log((n_items + 1) / counts[w]) for w in hashed]
+
+
+_SCORE, _EQUAL, _PLACE = 1 << 42, 1 << 21, (1 << 21) - 1
+
+
+def band_of(m: int) -> int:
+    """How far an alignment may leave its diagonal: so many words may be put in or be missing."""
+    return max(10, m // 6)
+
+
+def passages(pairs: list[tuple[np.ndarray, np.ndarray, int]], band: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best local alignments: first and last item word, and number of equal words, for (document, item, diagonal).
+
+    Equal words count 1; altered, added and missing ones cost 2. Cells farther than ``band`` from the
+    diagonal (document position minus item position) are left out. All pairs are aligned at once, row by
+    row; a cell holds score, equal words and first item word in one number, so the greater one is better.
     """
-    m = len(item)
-    lo_i, hi_i = max(0, diagonal - BAND), min(len(doc), diagonal + m + BAND)
-    prev: dict[int, tuple] = {}
-    best = (0, 0, 0, 0)  # score, equal, first item word, last item word
-    for i in range(lo_i, hi_i):
-        cur: dict[int, tuple] = {}
-        x = doc[i]
-        for j in range(max(0, i - diagonal - BAND), min(m, i - diagonal + BAND + 1)):
-            d = prev.get(j - 1)
-            if x == item[j]:
-                c = (d[0] + 1, d[1] + 1, d[2], j) if d else (1, 1, j, j)
-            else:
-                c = (d[0] - 2, d[1], d[2], d[3]) if d and d[0] > 2 else None
-            u, v = prev.get(j), cur.get(j - 1)
-            if u and u[0] > 2 and (c is None or u[0] - 2 > c[0]):
-                c = (u[0] - 2, *u[1:])
-            if v and v[0] > 2 and (c is None or v[0] - 2 > c[0]):
-                c = (v[0] - 2, *v[1:])
-            if c:
-                cur[j] = c
-                if c[0] > best[0]:
-                    best = c
-        prev = cur
-    score, equal, a, b = best
-    span = b - a + 1 if score else 0
-    if not span:
-        return 0, 0.0, 0.0
-    # weight of the equal words: those of the item's span that the document has at that place
-    near = set(doc[max(0, diagonal + a - BAND) : diagonal + b + BAND + 1])
-    total = sum(weights[a : b + 1])
-    return span, equal / span, sum(w for w, x in zip(weights[a : b + 1], item[a : b + 1]) if x in near) / total
+    n, longest, width = len(pairs), max(len(i) for _, i, _ in pairs), 2 * band + 1
+    items = np.full((n, longest + 4 * band + 2), -2, np.int64)
+    docs = np.full((n, longest + 2 * band + 1), -1, np.int64)
+    for k, (doc, item, diagonal) in enumerate(pairs):
+        items[k, 2 * band : 2 * band + len(item)] = item
+        lo, hi = max(0, diagonal - band), min(len(doc), diagonal + len(item) + band + 1)
+        if lo < hi:
+            docs[k, lo - diagonal + band : hi - diagonal + band] = doc[lo:hi]
+    cost = np.arange(width) * 2 * _SCORE
+    prev = np.zeros((n, width), np.int64)
+    best, last = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for r in range(docs.shape[1]):
+        j = r - 2 * band + np.arange(width)  # item position of each cell
+        equal = items[:, r : r + width] == docs[:, r : r + 1]
+        go = np.where(prev > 0, prev, _PLACE - np.maximum(j, 0)) + _SCORE + _EQUAL
+        cell = np.where(equal, go, np.where(prev >= 3 * _SCORE, prev - 2 * _SCORE, 0))
+        up = np.zeros_like(prev)
+        up[:, :-1] = np.where(prev[:, 1:] >= 3 * _SCORE, prev[:, 1:] - 2 * _SCORE, 0)
+        cell = np.maximum(cell, up)
+        along = np.maximum.accumulate(cell + cost, axis=1) - cost
+        cell = np.where(along >= _SCORE, along, 0)
+        top = cell.argmax(1)
+        value = cell[np.arange(n), top]
+        better = value > best
+        best[better], last[better] = value[better], j[top[better]]
+        prev = cell
+    return _PLACE - (best & _PLACE), last, (best % _SCORE) >> 21
 
 
 def worth_aligning(doc: np.ndarray, item: np.ndarray, weights: np.ndarray, diagonal: int) -> bool:
     """Whether an alignment near the diagonal can pass: an upper bound on the weight it can have equal.
 
-    An item word counts if the document has it within ``BAND`` of its place on the diagonal. Some run of
-    a third of the item (as long as the shortest passage that counts) must reach ``WEIGHT`` in such words.
+    An item word counts if the document has it within the band of its place on the diagonal. Some run of
+    at least as many words as the shortest passage must reach ``WEIGHT`` in such words.
     """
-    m = len(item)
+    m, band = len(item), band_of(len(item))
     near = np.zeros(m, bool)
-    for shift in range(-BAND, BAND + 1):
+    for shift in range(-band, band + 1):
         lo = diagonal + shift
         a, b = max(0, -lo), min(m, len(doc) - lo)
         if a < b:
             near[a:b] |= doc[lo + a : lo + b] == item[a:b]
-    run = max(1, math.ceil(SHARE * m))
-    have, total = np.concatenate([[0.0], np.cumsum(weights * near)]), np.concatenate([[0.0], np.cumsum(weights)])
-    return bool(((have[run:] - have[:-run]) >= WEIGHT * (total[run:] - total[:-run])).any())
+    gain = np.concatenate([[0.0], np.cumsum(weights * near - WEIGHT * weights)])
+    run = least_words(m)
+    return bool((gain[run:] >= np.minimum.accumulate(gain[: m + 1 - run]) - 1e-9).any())
 
 
 def found_in(docs: list[np.ndarray], index: ItemIndex) -> list[tuple[int, int]]:
     """(document, item) pairs of a batch for which the document holds a passage of the item."""
-    mats, owner, start = [], [], []
-    for k, h in enumerate(docs):
-        m, s = window_matrix(h, STRIDE)
-        mats.append(m)
-        owner.append(np.full(len(m), k))
-        start.append(s)
-    if not mats:
-        return []
-    windows, owner, start = np.concatenate(mats), np.concatenate(owner), np.concatenate(start)
-    if not len(windows) or not len(index.windows):
-        return []
     diagonals: dict[tuple[int, int], dict[int, int]] = defaultdict(lambda: defaultdict(int))
-    for at in range(0, len(windows), 50_000):
-        left, right = index.hits(windows[at : at + 50_000])
-        for x, y in zip((left + at).tolist(), right.tolist()):
-            diagonals[(int(owner[x]), int(index.owner[y]))][int(start[x] - index.start[y])] += 1
+    for group in index.windows:
+        windows, owner, start = group.of(docs)
+        for at in range(0, len(windows), 50_000):
+            left, right = group.hits(windows[at : at + 50_000])
+            left = left + at
+            for d, i, x in zip(owner[left].tolist(), group.owner[right].tolist(), (start[left] - group.start[right]).tolist()):
+                diagonals[d, i][x] += 1
+    # the likeliest diagonal of each pair first; others follow for pairs that it doesn't decide
+    todo = {pair: [x for x, _ in sorted(where.items(), key=lambda v: (-v[1], v[0]))] for pair, where in diagonals.items()}
+    tried: dict[tuple[int, int], list[int]] = defaultdict(list)
     out = []
-    for (d, i), where in diagonals.items():
-        doc, item, weights = docs[d].tolist(), index.hashed[i].tolist(), index.weights[i].tolist()
-        tried: list[int] = []
-        for diagonal, _ in sorted(where.items(), key=lambda x: -x[1]):
-            if any(abs(diagonal - t) <= BAND // 2 for t in tried):
-                continue
-            tried.append(diagonal)
-            if not worth_aligning(docs[d], index.hashed[i], index.weights[i], diagonal):
-                continue
-            span, equal, weight = passage(doc, item, weights, diagonal)
-            if span >= SHARE * len(item) and equal >= IDENTITY and weight >= WEIGHT:
-                out.append((d, index.ids[i]))
-                break
+    while todo:
+        jobs: dict[int, list[tuple[tuple[int, int], int]]] = defaultdict(list)
+        for pair in list(todo):
+            d, i = pair
+            band, seen, queue = band_of(len(index.hashed[i])), tried[pair], todo[pair]
+            while queue:
+                diagonal = queue.pop(0)
+                if any(abs(diagonal - t) <= band // 2 for t in seen):
+                    continue
+                seen.append(diagonal)
+                if worth_aligning(docs[d], index.hashed[i], index.weights[i], diagonal):
+                    jobs[band].append((pair, diagonal))
+                    break
+            if not queue:
+                del todo[pair]
+        for band, part in jobs.items():
+            for at in range(0, len(part), 256):
+                some = part[at : at + 256]
+                first, last, equal = passages([(docs[d], index.hashed[i], x) for (d, i), x in some], band)
+                for ((d, i), x), a, b, e in zip(some, first.tolist(), last.tolist(), equal.tolist()):
+                    span, item, weights = b - a + 1, index.hashed[i], index.weights[i]
+                    if not e or span < least_words(len(item)) or e < IDENTITY * span:
+                        continue
+                    # weight of the equal words: those of the item's span that the document has at that place
+                    near = np.isin(item[a : b + 1], docs[d][max(0, x + a - band) : x + b + band + 1])
+                    if weights[a : b + 1][near].sum() >= WEIGHT * weights[a : b + 1].sum():
+                        out.append((d, index.ids[i]))
+                        todo.pop((d, i), None)
     return out
 
 
 _indexes: dict[str, ItemIndex] = {}
 
 
+def hashed_items(items: DataFrame) -> DataFrame:
+    """``item_id``, ``hashed`` (words) and ``n`` (words) of each item that has a word."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memory = WordHashes()
+        for pdf in batches:
+            hs = [hashes(words(t), memory).astype(np.int64) for t in pdf.text]
+            yield pd.DataFrame({"item_id": pdf.item_id, "hashed": pd.Series(hs, dtype=object), "n": [len(h) for h in hs]})
+
+    kind = dict(items.dtypes)["item_id"]
+    return items.select("item_id", "text").filter("text is not null").mapInPandas(run, f"item_id {kind}, hashed array<bigint>, n int").filter("n > 0")
+
+
 def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``doc_id``, ``item_id`` for each document (doc_id, text) that holds a passage of an item (item_id, text).
 
     Every document is read whole, in every window; documents are independent, so nothing is shuffled.
     Items are broadcast in blocks of at most ``BLOCK_WORDS`` words, one pass over the documents per
-    block; only the items go through the driver, a block at a time. A passage is at least a third of
-    the item's words; items of under ``3 * WINDOW`` words are found where ``WINDOW`` words in a row are.
-    Null and empty texts hold nothing; equal items (or documents) are reported each; other columns are
-    ignored. Empty inputs give an empty result.
+    block; only the items go through the driver, a block at a time. Words are weighed by the number of
+    all items that have them, so blocks of any size give the same result. A passage is at least a
+    third of the item's words, and at least ``LEAST`` words or the whole item. Null and empty texts hold
+    nothing; equal items (or documents) are reported each; other columns are ignored. Empty inputs give
+    an empty result.
     """
     spark = docs.sparkSession
-    sized = items.filter("text is not null").select("item_id", "text", F.size(F.split("text", r"\s+")).alias("n"))
-    total = sized.agg(F.sum("n")).first()[0] or 0
-    blocks = max(1, math.ceil(total / BLOCK_WORDS * 1.3)) if total > BLOCK_WORDS else 1
+    known = materialize(hashed_items(items), "leak-items")
+    size = known.agg(F.sum("n").alias("words"), F.count(F.lit(1)).alias("items")).first()
+    blocks = max(1, math.ceil((size.words or 0) / BLOCK_WORDS * 1.3)) if (size.words or 0) > BLOCK_WORDS else 1
+    held = known.select(F.explode(F.array_distinct("hashed")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("held"))
     out = None
     for block in range(blocks):
-        part = sized.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        shared = spark.sparkContext.broadcast([(r.item_id, r.text) for r in part.select("item_id", "text").collect()])
+        part = known.filter(F.pmod(F.xxhash64("item_id", "hashed"), F.lit(blocks)) == block)
+        mine = part.select("item_id", "hashed").collect()
+        if blocks == 1:
+            counts = Counter(w for r in mine for w in set(r.hashed))
+        else:
+            counts = {r.word: r.held for r in held.join(part.select(F.explode("hashed").alias("word")).distinct(), "word").collect()}
+        shared = spark.sparkContext.broadcast([(r.item_id, r.hashed, word_weights(counts, size["items"], r.hashed)) for r in mine])
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            key = xxhash.xxh64_hexdigest(repr(shared.value))
+            key = xxhash.xxh64_hexdigest(pickle.dumps(shared.value))
             if key not in _indexes:
                 _indexes.clear()
                 _indexes[key] = ItemIndex(shared.value)
-            index, memory = _indexes[key], {}
+            index, memory = _indexes[key], WordHashes()
             for pdf in batches:
                 ids, found, hashed, first, size = pdf.doc_id.tolist(), [], [], 0, 0
                 for n, text in enumerate(pdf.text, 1):

@@ -60,8 +60,31 @@ def test_edges(spark):
 def test_blocks_of_items_give_the_same(spark, monkeypatch):
     its = items(30)
     docs = docs_with([t for _, t in its[:10]])
-    monkeypatch.setattr(leaks, "BLOCK_WORDS", 500)
-    assert run(spark, docs, its) == {(i, i) for i in range(10)}
+    docs += docs_with([alter(t, 0.25, 3) for _, t in its[10:20]], 5)
+    whole = run(spark, docs, its)
+    assert {(i, i) for i in range(10)} <= whole
+    for words in (500, 130):
+        monkeypatch.setattr(leaks, "BLOCK_WORDS", words)
+        assert run(spark, docs, its) == whole
+
+
+def test_short_items(spark):
+    """Whole items of 5 to 44 words are found wherever they stand, and so is half of those of 12 words and more."""
+    its = [it for n in range(5, 45, 3) for it in [(n, items(1, n, n)[0][1])]]
+    got = run(spark, docs_with([t for _, t in its]) + docs_with([" ".join(t.split()[: (n + 1) // 2]) for n, t in its], 4), its)
+    assert got >= {(k, n) for k, (n, _) in enumerate(its)}
+    assert got >= {(len(its) + k, n) for k, (n, _) in enumerate(its) if n >= 12}
+    assert all(its[d % len(its)][0] == n for d, n in got)
+
+
+@pytest.mark.parametrize("put_in, at", [(12, 45), (15, 50)])
+def test_words_put_into_a_long_passage(put_in, at):
+    import numpy as np
+
+    item = np.arange(1, 101)
+    doc = np.concatenate([item[:at], np.full(put_in, 7777), item[at:]])
+    first, last, equal = leaks.passages([(doc, item, 0), (item, item, 0), (item[40:80], item, -40)], leaks.band_of(len(item)))
+    assert last[0] - first[0] + 1 >= 50 and (first[1], last[1], equal[1]) == (0, 99, 100) and (first[2], last[2], equal[2]) == (40, 79, 40)
 
 
 @pytest.mark.parametrize("text, want", [("Jo's <b>left-hand</b> &amp; **x**", ["jos", "left", "hand", "x"]), (None, []), ("", []), ("a\\nb", ["a", "b"])])
