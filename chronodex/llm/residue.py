@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -93,59 +94,64 @@ def passages(text: str) -> list[tuple[str, int]]:
 
 _CODE_LINE = re.compile(r"[;{}]\s*$|^\s*(?:def|class|fn|pub|let|const|var|import|from|return|if|for|while|async|export|use|impl|static|function|total|items)\b.*[(={:;]|^\s*(?://|/\*|\*|#!|@\w+|\"\"\"|''')|^\s*[\w.]+\s*(?:\+?=|\()|=>")
 _HEADING = re.compile(r"^(?:#{1,6}\s|={3,}|-{3,}|\|[-| :]+\|$)|^\W*$")
-_WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|\d+")
+_WORD = re.compile(r"[一-鿿]|[^\W\d_一-鿿]+(?:'[^\W\d_]+)?|\d+")
 _CODE_NAME = re.compile(r"\w[/_]\w|\w\(")
 
 
-_word_hash: dict[str, int] = {}
-
-
-def _hash(word: str) -> int:
-    h = _word_hash.get(word)
-    if h is None:
-        if len(_word_hash) > 500_000:
-            _word_hash.clear()
-        h = _word_hash[word] = xxhash.xxh32_intdigest(word)
-    return h
-
-
-def features_of(passage: str, placeholders: int) -> list[int]:
-    """Hashed words, neighbours, opening and form of a passage, each once."""
-    words: list[str] = []
-    for w in _WORD.findall(passage.lower()):
-        c = w[0]
-        if "0" <= c <= "9":
-            words.append("0000"[: len(w)])
-        elif "一" <= c <= "鿿":
-            words += w
-        else:
-            words.append(w)
-    h = [_hash(w) for w in words]
-    raw = set(h)
-    raw.update([(a * 31 + 7 * b + 1) & 0xFFFFFFFF for a, b in zip(h, h[1:])])
-    raw.add(sum(h[:2]) + 3)
-    raw.add(_hash(f"len {min(len(words), 40).bit_length()}"))
-    raw.add(_hash(f"ph {min(placeholders, 3)}"))
-    if "`" in passage or '"' in passage or "quoted" in words:
-        raw.add(_hash("has quotes"))
-    if _CODE_NAME.search(passage):
-        raw.add(_hash("has code names"))
-    return list({f * 2654435761 % 4294967296 >> 17 for f in raw})
+#: Each trusted form has one of these words.
+_TRIGGERS = set(
+    "found forbidden unauthorized unauthorised bad internal service gateway many gone method request requests error erreur fehler http javascript script scripts scripting cookies checking placeholder dummy sample example filler section page paragraph text "
+    "session browser seite página access zugriff accès acceso oops whoops ups wrong temporarily site lorem blah asdf qwer jkl xxx foo bar test tbd tba tbw todo n coming written added done announced defined completed construction description content untitled here words details".split()
+)
+_TRIGGERS |= {w + "'s" for w in _TRIGGERS}
 
 
-RECORD = "features array<int>, length array<int>, size array<int>, trusted array<boolean>, placeholders array<int>"
+def is_trusted(passage: str, placeholders: int, words: list[str]) -> bool:
+    """Whether a passage has the plain form of residue; ``words`` are its words in lower case."""
+    if placeholders >= 2 or not _TRIGGERS.isdisjoint(words) and _TRUSTED.match(passage):
+        return True
+    return placeholders == 1 and bool(re.fullmatch(r"\W*(?:[\w ]{1,24}:)?\W*placeholder\W*", passage))
+
+
+class _Hashes(dict):
+    """Hash of a word, numbers by their length; remembers a bounded number of words."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        h = self[word] = xxhash.xxh32_intdigest("0000"[: len(word)] if word.isdecimal() else word)
+        return h
+
 
+_MASK = np.uint64(0xFFFFFFFF)
 
-def _record(text: str) -> Iterator[tuple[list[int], int, bool, int]]:
-    """Features, size, trust and placeholders of each passage that says something."""
-    for p, n in passages(text):
-        if _HEADING.match(p) and not n or p == "```":
-            continue  # a heading or rule alone says nothing either way
-        if n < 2 and _CODE_LINE.search(p):
-            yield [], len(p), False, 0
-        else:
-            trusted = n >= 2 or bool(_TRUSTED.match(p)) or n == 1 and bool(re.fullmatch(r"\W*(?:[\w ]{1,24}:)?\W*placeholder\W*", p))
-            yield features_of(p, n), len(p), trusted, n
+
+def features_of(words: list[list[str]], placeholders: list[int], forms: list[int], memory: _Hashes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed words, neighbours, opening and form of passages, each once: (features, how many each passage has).
+
+    ``forms`` is 1 where a passage has quotes, plus 2 where it has code names.
+    """
+    n = np.array([len(w) for w in words], np.int64)
+    h = np.fromiter(map(memory.__getitem__, chain.from_iterable(words)), np.uint64, int(n.sum()))
+    row, first = np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
+    pair = np.nonzero(row[1:] == row[:-1])[0]
+    some, two = np.nonzero(n > 0)[0], np.nonzero(n > 1)[0]
+    opening = np.zeros(len(n), np.uint64)
+    opening[some] += h[first[some]]
+    opening[two] += h[first[two] + 1]
+    table = lambda name, most: np.array([xxhash.xxh32_intdigest(f"{name} {i}") for i in range(most)], np.uint64)
+    bits = np.frexp(np.minimum(n, 40))[1]  # length in binary digits
+    form, every = np.array(forms, np.int64), np.arange(len(n))
+    quoted, coded = np.nonzero(form & 1)[0], np.nonzero(form & 2)[0]
+    rows = [row, row[pair], every, every, every, quoted, coded]
+    raw = [h, h[pair] * np.uint64(31) + h[pair + 1] * np.uint64(7) + np.uint64(1), opening + np.uint64(3), table("len", 8)[bits], table("ph", 4)[np.minimum(np.array(placeholders, np.int64), 3)]]
+    raw += [np.full(len(x), xxhash.xxh32_intdigest(name), np.uint64) for name, x in (("has quotes", quoted), ("has code names", coded))]
+    index = ((np.concatenate(raw) & _MASK) * np.uint64(2654435761) & _MASK) >> np.uint64(17)
+    keys = np.unique(np.concatenate(rows).astype(np.uint64) << np.uint64(15) | index)
+    return (keys & np.uint64(N_FEATURES - 1)).astype("i4"), np.bincount((keys >> np.uint64(15)).astype(np.int64), minlength=len(n)).astype("i4")
+
+
+RECORD = "features array<int>, length array<int>, size array<int>, trusted array<boolean>, placeholders array<int>"
 
 
 def records(docs: DataFrame) -> DataFrame:
@@ -156,21 +162,29 @@ def records(docs: DataFrame) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory = _Hashes()
         for batch in batches:
-            features, starts = array("i"), array("i", [0])
-            length, size, trusted, placeholders, passages_to = array("i"), array("i"), bytearray(), array("i"), array("i", [0])
+            words, forms, size, trusted, placeholders, at = [], [], array("i"), bytearray(), array("i"), array("i", [0])
             for text in batch.column("text").to_pylist():
-                for f, s, t, n in _record(text):
-                    features.extend(f)
-                    length.append(len(f))
-                    size.append(s)
-                    trusted.append(t)
-                    placeholders.append(n)
-                starts.append(len(features))
-                passages_to.append(len(length))
-            per_passage = pa.array(np.frombuffer(passages_to, "i4"))
-            lists = [pa.ListArray.from_arrays(pa.array(np.frombuffer(starts, "i4")), pa.array(np.frombuffer(features, "i4")))]
-            lists += [pa.ListArray.from_arrays(per_passage, pa.array(x)) for x in (np.frombuffer(length, "i4"), np.frombuffer(size, "i4"), np.frombuffer(trusted, "u1").astype(bool), np.frombuffer(placeholders, "i4"))]
+                for p, n in passages(text):
+                    if _HEADING.match(p) and not n or p == "```":
+                        continue  # a heading or rule alone says nothing either way
+                    code = n < 2 and _CODE_LINE.search(p) is not None  # has no features
+                    w = [] if code else _WORD.findall(p.lower())
+                    words.append(w)
+                    forms.append(-1 if code else ("`" in p or '"' in p or "quoted" in w) + 2 * (_CODE_NAME.search(p) is not None))
+                    size.append(len(p))
+                    trusted.append(not code and is_trusted(p, n, w))
+                    placeholders.append(0 if code else n)
+                at.append(len(words))
+            told = [i for i, f in enumerate(forms) if f >= 0]
+            features, n_features = features_of([words[i] for i in told], [placeholders[i] for i in told], [forms[i] for i in told], memory)
+            length = np.zeros(len(words), "i4")
+            length[told] = n_features
+            ends = np.concatenate([[0], np.cumsum(length)]).astype("i4")
+            per_text = np.frombuffer(at, "i4")
+            lists = [pa.ListArray.from_arrays(pa.array(ends[per_text]), pa.array(features))]
+            lists += [pa.ListArray.from_arrays(pa.array(per_text), pa.array(x)) for x in (length, np.frombuffer(size, "i4"), np.frombuffer(trusted, "u1").astype(bool), np.frombuffer(placeholders, "i4"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *lists], ["doc_id", "features", "length", "size", "trusted", "placeholders"])
 
     return docs.select("doc_id", "text").filter("text is not null and text rlike '\\\\S'").mapInArrow(run, f"doc_id {kind}, {RECORD}")
