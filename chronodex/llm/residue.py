@@ -69,23 +69,28 @@ _TRUSTED = re.compile(
 )
 
 
+_MAY_HOLD = re.compile(r"[{<\[«%_$]")
+
+
 def passages(text: str) -> list[tuple[str, int]]:
     """A text's passages and their placeholders: lines without code blocks and markup.
 
     Placeholders that stand in quotes, code or code blocks are part of a real text and don't count.
     """
-    body = _FENCE.sub("\n```\n", text.replace("\r\n", "\n").replace("\r", "\n"))
+    body = text.replace("\r\n", "\n").replace("\r", "\n")
+    if "```" in body or "~~~" in body:
+        body = _FENCE.sub("\n```\n", body)
     out = []
     for line in body.split("\n"):
         bare = line
         n = 0
-        if any(c in line for c in "{<[«%_$"):
+        if _MAY_HOLD.search(line):
             bare = _QUOTED.sub(" quoted ", line)
             n = len(_PLACEHOLDER.findall(_DUNDER.sub(" ", bare)))
             if n:
                 bare = _PLACEHOLDER.sub(" placeholder ", bare)
                 line = _PLACEHOLDER.sub(" placeholder ", _QUOTED.sub(" quoted ", line))
-        if _HTML.search(line):
+        if "<" in line and _HTML.search(line):
             line = _TAG.sub(" ", line)
         if line.strip():
             out.append((line.strip(), n))
@@ -123,9 +128,6 @@ class _Hashes(dict):
         return h
 
 
-_MASK = np.uint64(0xFFFFFFFF)
-
-
 def features_of(words: list[list[str]], placeholders: list[int], forms: list[int], memory: _Hashes) -> tuple[np.ndarray, np.ndarray]:
     """Hashed words, neighbours, opening and form of passages, each once: (features, how many each passage has).
 
@@ -146,9 +148,12 @@ def features_of(words: list[list[str]], placeholders: list[int], forms: list[int
     rows = [row, row[pair], every, every, every, quoted, coded]
     raw = [h, h[pair] * np.uint64(31) + h[pair + 1] * np.uint64(7) + np.uint64(1), opening + np.uint64(3), table("len", 8)[bits], table("ph", 4)[np.minimum(np.array(placeholders, np.int64), 3)]]
     raw += [np.full(len(x), xxhash.xxh32_intdigest(name), np.uint64) for name, x in (("has quotes", quoted), ("has code names", coded))]
-    index = ((np.concatenate(raw) & _MASK) * np.uint64(2654435761) & _MASK) >> np.uint64(17)
-    keys = np.unique(np.concatenate(rows).astype(np.uint64) << np.uint64(15) | index)
-    return (keys & np.uint64(N_FEATURES - 1)).astype("i4"), np.bincount((keys >> np.uint64(15)).astype(np.int64), minlength=len(n)).astype("i4")
+    index = (np.concatenate(raw).astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(17)
+    wide = np.uint32 if len(n) < 1 << 17 else np.uint64  # short keys sort faster
+    keys = np.concatenate(rows).astype(wide) << wide(15) | index
+    keys.sort()
+    keys = keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
+    return (keys & wide(N_FEATURES - 1)).astype("i4"), np.bincount((keys >> wide(15)).astype(np.int64), minlength=len(n)).astype("i4")
 
 
 RECORD = "features array<int>, length array<int>, size array<int>, trusted array<boolean>, placeholders array<int>"
