@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 #: Types of conventional commits.
 COMMIT_TYPES = ["feat", "fix", "docs", "style", "refactor", "perf", "test", "build", "ci", "chore", "revert"]
 #: Extensions of source and documentation files, and languages by extension.
-SOURCE_EXTENSIONS = "rs py js ts jsx tsx mjs cjs go java kt c h cpp hpp cc cs rb php swift scala sh sql lua r dart vue".split()
+SOURCE_EXTENSIONS = "rs py js ts jsx tsx go java c cpp cc h hpp cs rb php swift kt scala sh bash zsh fish sql json yaml yml toml xml".split()
 DOC_EXTENSIONS = "md markdown rst txt adoc asciidoc".split()
 LANGUAGES = {
-    "rs": "rust", "py": "python", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "go": "go", "java": "java", "kt": "kotlin", "c": "c", "h": "c",
-    "cpp": "cpp", "hpp": "cpp", "cc": "cpp", "cs": "csharp", "rb": "ruby", "php": "php", "swift": "swift", "scala": "scala", "sh": "shell", "sql": "sql", "lua": "lua", "md": "markdown", "json": "json", "yaml": "yaml", "yml": "yaml", "toml": "toml",
+    "rs": "rust", "py": "python", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "go": "go", "java": "java", "c": "c", "cpp": "cpp", "cc": "cpp", "h": "c", "hpp": "cpp", "cs": "csharp", "rb": "ruby",
+    "php": "php", "swift": "swift", "kt": "kotlin", "scala": "scala", "sh": "bash", "bash": "bash", "zsh": "zsh", "fish": "fish", "sql": "sql", "json": "json", "yaml": "yaml", "yml": "yaml", "toml": "toml", "xml": "xml",
 }
+#: Extensions by which a search for code, or for documentation, picks files.
+CODE_SEARCH = "rs py js ts tsx jsx go java kt kts c cpp cc cxx h hpp hxx cs fs fsx vb swift scala rb php sh bash zsh fish ps1 psm1 yaml yml json toml xml cfg ini sql graphql wsdl proto".split()
+DOC_SEARCH = "md markdown rst txt adoc asciidoc html htm pdf doc docx".split()
 
 
 def first_line(text: Column) -> Column:
@@ -122,3 +125,59 @@ def keywords(text: Column) -> Column:
     called = F.filter(F.regexp_extract_all(text, F.lit(r"([A-Za-z_][A-Za-z0-9_]*)\s*\("), F.lit(1)), lambda w: F.length(w) > 2)
     capital = F.filter(F.regexp_extract_all(text, F.lit(r"\b([A-Z][A-Za-z0-9]*)\b"), F.lit(1)), lambda w: (F.length(w) >= 3) & (F.length(w) <= 49))
     return F.array_distinct(F.concat(called, capital))
+
+
+def commit_description(message: Column) -> Column:
+    """A commit's type, scope and summary, with a mark on breaking ones; the summary's own prefix is not repeated."""
+    kind, scope, summary = commit_type(message), commit_scope(message), first_line(message)
+    bare = F.when(kind.isNotNull(), F.regexp_replace(summary, r"^[a-z]+(?:\([^)]*\))?!?:\s*", "")).otherwise(summary)
+    prefix = F.when(kind.isNull(), F.lit("")).when(scope.isNull(), F.concat(kind, F.lit(": "))).otherwise(F.concat(kind, F.lit("("), scope, F.lit("): ")))
+    return F.concat(prefix, bare, F.when(is_breaking(message), F.lit(" [BREAKING]")).otherwise(F.lit("")))
+
+
+def session_description(title: Column, id_: Column) -> Column:
+    return F.coalesce(title, F.concat(F.lit("Session "), id_))
+
+
+def commit_link(hash_: Column, base: str | None) -> Column:
+    """Address of a commit below ``base``, or its short hash."""
+    short = F.left(hash_, F.lit(7))
+    return F.concat(F.lit(f"{base}/commit/"), short) if base else short
+
+
+def forward_slashes(path: Column) -> Column:
+    return F.replace(path, F.lit("\\"), F.lit("/"))
+
+
+def legacy_project_path(path: Column) -> Column:
+    """The older folder name of a path: only ``/`` is replaced."""
+    return F.replace(path, F.lit("/"), F.lit("-"))
+
+
+def file_summary(path: Column, lang: Column, content: Column) -> Column:
+    """Path, language (where known) and the first five lines of a file."""
+    head = F.array_join(F.slice(lines(content), 1, 5), "\n")
+    return F.concat(F.lit("File: "), path, F.coalesce(F.concat(F.lit("\nLanguage: "), lang), F.lit("")), F.when(F.length(content) > 0, F.concat(F.lit("\n\n"), head)).otherwise(F.lit("")))
+
+
+def code_chunk(kind: Column, name: Column, path: Column, start: Column, end: Column, branch: Column, doc: Column, code: Column) -> Column:
+    """A symbol's code with its place, branch and documentation, each line set in by one space."""
+    told = F.when(F.trim(doc) != "", F.concat(F.lit("\n Doc: "), F.trim(doc), F.lit("\n"))).otherwise(F.lit(""))
+    body = F.array_join(F.transform(lines(code), lambda x: F.concat(F.lit(" "), x, F.lit("\n"))), "")
+    return F.concat(
+        kind, F.lit(": "), name, F.lit("\n File: "), path, F.lit(" (lines "), start.cast("string"), F.lit("-"), end.cast("string"), F.lit(")\n Branch: "), branch, F.lit("\n"), F.coalesce(told, F.lit("")), F.lit("\n Code:\n"), body
+    )
+
+
+def import_summary(imports_: Column, exports_: Column) -> Column:
+    """Imports and exports of a file as text; empty if it has none."""
+    def part(title: str, xs: Column) -> Column:
+        return F.when(F.size(xs) > 0, F.concat(F.lit(title), F.array_join(F.transform(xs, lambda x: F.concat(F.lit("  - "), x, F.lit("\n"))), ""))).otherwise(F.lit(""))
+
+    return F.concat(part("Imports:\n", imports_), part("\nExports:\n", exports_))
+
+
+def watched_type(path: Column) -> Column:
+    """What a changed file is to a watcher, by its extension as it is written: Session, Doc, Source or null."""
+    ext = F.regexp_extract(path, r"\.([^./]+)$", 1)
+    return F.when(ext == "jsonl", "Session").when(ext.isin("md", "rst", "txt"), "Doc").when(ext.isin("rs", "js", "ts", "py", "go", "java"), "Source")

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from functools import lru_cache
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def doubles(v: Column) -> Column:
@@ -31,7 +38,9 @@ def norm(v: Column) -> Column:
 
 def normalize(v: Column) -> Column:
     """The vector at length 1; a zero vector stays as it is."""
-    return F.when(norm(v) > 0, F.transform(doubles(v), lambda x: x / norm(v))).otherwise(doubles(v))
+    # the norm stands in an argument, not in the lambda, so it is computed once per vector
+    n = norm(v)
+    return F.when(n > 0, F.zip_with(doubles(v), F.array_repeat(n, F.size(v)), lambda x, y: x / y)).otherwise(doubles(v))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -48,3 +57,29 @@ def usable(v: Column, dimensions: int | None = None) -> Column:
     """Not null or empty, finite, not all zero, and of the given length."""
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     return F.coalesce(fine & (F.size(v) == dimensions if dimensions else F.size(v) > 0), F.lit(False))
+
+
+TEXT_DIMENSIONS = 96
+_TEXT_WORD = re.compile(r"[a-z0-9]+")
+
+
+@lru_cache(200_000)
+def _dimension(word: str) -> int:
+    return int(hashlib.md5(word.encode()).hexdigest()[:6], 16) % TEXT_DIMENSIONS
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def text_vector(text: pd.Series) -> pd.Series:
+    """Hashed word counts of a text (Latin letters and digits, lower case) at length 1; null without words.
+
+    Stands in where no embedding of a text is given: it depends on nothing but the text.
+    """
+
+    def one(t: str | None) -> np.ndarray | None:
+        at = [_dimension(w) for w in _TEXT_WORD.findall(t.lower())] if t else []
+        if not at:
+            return None
+        v = np.bincount(at, minlength=TEXT_DIMENSIONS).astype(float)
+        return v / np.sqrt((v * v).sum())
+
+    return pd.Series([one(t) for t in text], dtype=object)

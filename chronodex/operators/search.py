@@ -52,7 +52,7 @@ def quota(scored: DataFrame, section: Column, quotas: dict[str, int], order: lis
     return ranked.filter(F.col("place") <= most[F.col("section")])
 
 
-def search_many(items: DataFrame, queries: DataFrame, k: int | None, keep: list[str] = (), measure: str = "distance", factor: str | None = None, section: str | None = None) -> DataFrame:
+def search_many(items: DataFrame, queries: DataFrame, k: int | None, keep: list[str] = (), measure: str = "distance", factor: str | None = None, section: str | None = None, digits: int | None = None) -> DataFrame:
     """The k best items of each query: ``query_id``, ``vec_id``, ``value``, ``score``, and the columns of ``keep``.
 
     ``items`` and ``queries`` have ``vec_id`` and ``embedding``, of one length, one row per id; the query's own
@@ -61,6 +61,8 @@ def search_many(items: DataFrame, queries: DataFrame, k: int | None, keep: list[
     ``factor`` the similarity times that column; an item whose factor is null comes after all others, by its distance.
     Ties go by ``vec_id``. With ``section`` there are k of each value of that column. ``k`` None gives all.
 
+    With ``digits`` values and scores are rounded before they are ranked, so that what differs by less is a tie.
+
     Blocks of items meet blocks of queries in groups of bounded size, whatever the sizes of both; a group
     gives its k best per query, and these are merged per query. Nothing is broadcast.
     """
@@ -82,6 +84,7 @@ def search_many(items: DataFrame, queries: DataFrame, k: int | None, keep: list[
         if len(a) and len(b):
             x = np.stack([np.asarray(v, np.float64) for v in a.embedding])
             ids, length = a.vec_id.to_numpy(), np.linalg.norm(x, axis=1)
+            ids = ids.astype("U") if ids.dtype == object else ids
             groups = [np.arange(len(a))] if section is None else list(a.groupby(section).indices.values())
             weight = a[factor].to_numpy(np.float64, na_value=np.nan) if factor else None
             for q, v in zip(b["query_id"], b["query"]):
@@ -90,6 +93,8 @@ def search_many(items: DataFrame, queries: DataFrame, k: int | None, keep: list[
                 rank = value if measure == "cosine" else -value
                 if factor:
                     rank = np.where(np.isnan(weight), rank, weight / (1 + value))
+                if digits is not None:
+                    value, rank = np.round(value, digits), np.round(rank, digits)
                 last = np.isnan(weight) if factor else np.zeros(len(a), bool)
                 for g in groups:
                     best = g[np.lexsort((ids[g], -rank[g], last[g]))[:k]]
@@ -98,7 +103,7 @@ def search_many(items: DataFrame, queries: DataFrame, k: int | None, keep: list[
         names = ["query_id", "vec_id", "value", "score", *kept]
         return pd.concat(parts)[names] if parts else pd.DataFrame(columns=names)
 
-    schema = ", ".join(["query_id bigint", "vec_id bigint", "value double", "score double", *(f"{c} {types[c]}" for c in kept)])
+    schema = ", ".join([f"query_id {dict(queries.dtypes)['vec_id']}", f"vec_id {types['vec_id']}", "value double", "score double", *(f"{c} {types[c]}" for c in kept)])
     out = left.groupBy("_i", "_q").cogroup(right.groupBy("_i", "_q")).applyInPandas(score, schema)
     out = out.withColumn("score", F.when(~F.isnan("score"), F.col("score")))
     if k is None:

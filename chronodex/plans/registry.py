@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..streaming import activity
-from . import file_queries, search_queries, timeline_queries
+from . import corpus_queries, file_queries, search_queries, timeline_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (search_queries, timeline_queries, file_queries, activity)
+MODULES = (search_queries, timeline_queries, file_queries, corpus_queries, activity)
 
 
 def queries() -> dict[str, Query]:

@@ -65,7 +65,7 @@ def knn_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 def knn_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     vecs = items(spark, sf_dir)
     one = F.broadcast(query_vector(vecs))
-    scored = vecs.crossJoin(one).withColumn("cosine", vectors.dot(vectors.normalize(F.col("embedding")), vectors.normalize(F.col("query"))))
+    scored = vecs.crossJoin(one).withColumn("cosine", vectors.cosine(F.col("embedding"), F.col("query")))
     return scored.orderBy(F.desc("cosine"), "vec_id").limit(10).select("vec_id", F.round("cosine", 6).alias("cosine"))
 
 
