@@ -156,26 +156,39 @@ def markdown_chunks(text: str | None) -> list[tuple[str, str, int | None, list[s
     return out
 
 
-def symbol_blocks(code: str | None, start_line: int | None, lines_at_once: int = 500, bytes_at_once: int = 10_000, size: int = 100, shared: int = 10) -> list[tuple[int, int, int, str]]:
-    """(number, first line, last line, code) of a symbol's code: whole if small, else blocks of lines.
+def symbol_blocks(code: str | None, start_line: int | None, header: str = "", lines_at_once: int = 500, bytes_at_once: int = 10_000, size: int = 100, shared: int = 10) -> list[tuple[int, int, int, str]]:
+    """(number, first line, last line, text) of a symbol's code: whole with its header if small, else blocks of lines.
 
-    Blocks share lines; one over ``bytes_at_once`` is left out. Lines count from the symbol's own.
+    Blocks begin with the body (the first line that begins with a brace, else the first), share lines, and
+    all but the last end with a mark; the header stands before the first. A block over ``bytes_at_once`` is
+    cut into pieces of at most that size, so nothing is left out. Lines count from the symbol's own.
     """
     if not code:
         return []
-    rows, at = code.split("\n"), start_line or 1
-    if len(rows) <= lines_at_once and len(code.encode()) <= bytes_at_once:
-        return [(0, at, at + len(rows) - 1, code)]
-    out, i = [], 0
-    while i < len(rows):
+    rows, at = code.split("\n"), 1 if start_line is None else start_line
+    if len(rows) <= lines_at_once and len((header + code).encode()) <= bytes_at_once:
+        return [(0, at, at + len(rows) - 1, header + code)]
+    out: list[tuple[int, int, int, str]] = []
+    i = next((k for k, r in enumerate(rows) if r.startswith("{")), 0)
+    if i:  # what is before the body: signature and attributes
+        header += "\n".join(rows[:i]) + "\n"
+    while True:
         part = rows[i : i + size]
-        body = "\n".join(part)
-        if len(body.encode()) <= bytes_at_once:
-            out.append((len(out), at + i, at + i + len(part) - 1, body))
-        if i + size >= len(rows):
-            break
+        last = i + size >= len(rows)
+        body = (header if not out else "") + "\n".join(part) + ("" if last else "\n    // ... [truncated]")
+        for piece in _pieces(body, bytes_at_once):
+            out.append((len(out), at + i, at + i + len(part) - 1, piece))
+        if last:
+            return out
         i += size - shared
-    return out
+
+
+def _pieces(s: str, most: int) -> list[str]:
+    """A text in pieces of at most ``most`` bytes, cut between characters."""
+    if len(s.encode()) <= most:
+        return [s]
+    step = max(1, most // 4)  # a character has at most four bytes
+    return [s[i : i + step] for i in range(0, len(s), step)]
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -199,9 +212,9 @@ def chunk_markdown(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 @F.pandas_udf(_rows(block=_I, start_line=_I, end_line=_I, content=_S))
-def chunk_symbol(code: pd.Series, start_line: pd.Series) -> pd.Series:
+def chunk_symbol(code: pd.Series, start_line: pd.Series, header: pd.Series) -> pd.Series:
     names = ("block", "start_line", "end_line", "content")
-    return pd.Series([[dict(zip(names, c)) for c in symbol_blocks(t, None if pd.isna(n) else int(n))] for t, n in zip(code, start_line)], dtype=object)
+    return pd.Series([[dict(zip(names, c)) for c in symbol_blocks(t, None if pd.isna(n) else int(n), h or "")] for t, n, h in zip(code, start_line, header)], dtype=object)
 
 
 # ---- other document formats
@@ -303,14 +316,34 @@ def clean_markdown(text: str | None) -> str:
     return " ".join(r for r in rows if r)
 
 
-FORMATS = {"md": markdown_chunks, "markdown": markdown_chunks, "rst": rst_chunks, "adoc": asciidoc_chunks, "asciidoc": asciidoc_chunks}
+def text_chunks(text: str | None) -> list[tuple[str, str, int | None, list[str], int, int]]:
+    """Paragraphs between blank lines, their lines joined, as :func:`markdown_chunks` gives them."""
+    out, buffer, first = [], [], 0
+    for n, line in enumerate([*(text or "").replace("\r\n", "\n").replace("\r", "\n").split("\n"), ""], 1):
+        if line.strip():
+            first = first if buffer else n
+            buffer.append(line.strip())
+        elif buffer:
+            out.append(("Paragraph", " ".join(buffer), None, [], first, n - 1))
+            buffer = []
+    return out
+
+
+def window_chunks(text: str | None) -> list[tuple[str, str, int | None, list[str], int, int]]:
+    """Windows of lines that share some with the next one, for texts of no known format."""
+    rows = (text or "").replace("\r\n", "\n").replace("\r", "\n").removesuffix("\n").split("\n") if text else []
+    starts = range(0, max(len(rows) - SHARED_LINES, 1), LINES_PER_CHUNK - SHARED_LINES) if rows else []
+    return [("Other", "\n".join(rows[i : i + LINES_PER_CHUNK]), None, [], i + 1, min(i + LINES_PER_CHUNK, len(rows))) for i in starts]
+
+
+FORMATS = {"txt": text_chunks, "text": text_chunks, "md": markdown_chunks, "markdown": markdown_chunks, "rst": rst_chunks, "adoc": asciidoc_chunks, "asciidoc": asciidoc_chunks}
 
 
 @F.pandas_udf(_rows(kind=_S, content=_S, header_level=_I, header_path=T.ArrayType(_S), start_line=_I, end_line=_I))
 def chunk_document(text: pd.Series, extension: pd.Series) -> pd.Series:
-    """Chunks by file extension; an unknown one gives none."""
+    """Chunks by file extension; one of no documentation format gives windows of lines."""
     names = ("kind", "content", "header_level", "header_path", "start_line", "end_line")
-    return pd.Series([[dict(zip(names, c)) for c in FORMATS[e](t)] if e in FORMATS else [] for t, e in zip(text, extension)], dtype=object)
+    return pd.Series([[dict(zip(names, c)) for c in FORMATS.get(e, window_chunks)(t)] for t, e in zip(text, extension)], dtype=object)
 
 
 @F.pandas_udf(T.StringType())

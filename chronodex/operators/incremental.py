@@ -2,21 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from urllib.parse import quote
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def change_set(current: DataFrame, stored: DataFrame, key: str, version: str) -> DataFrame:
+def change_set(current: DataFrame, stored: DataFrame, key: str, version: str, time: str | None = None) -> DataFrame:
     """``key`` and ``change`` (new, changed, deleted, unchanged) by one full outer join.
 
-    Keys must be unique on each side. Versions are compared null-safely. Empty sides are fine.
+    Keys must be unique on each side. Versions are compared null-safely. With ``time`` a row is changed
+    too if its time is later than the stored one's. Empty sides are fine.
     """
-    a = current.select(F.col(key), F.col(version).alias("_now"), F.lit(True).alias("_there"))
-    b = stored.select(F.col(key), F.col(version).alias("_then"), F.lit(True).alias("_was"))
-    change = F.when(F.col("_was").isNull(), "new").when(F.col("_there").isNull(), "deleted").when(F.col("_now").eqNullSafe(F.col("_then")), "unchanged").otherwise("changed")
+    a = current.select(F.col(key), F.col(version).alias("_now"), (F.col(time) if time else F.lit(None)).alias("_at"), F.lit(True).alias("_there"))
+    b = stored.select(F.col(key), F.col(version).alias("_then"), (F.col(time) if time else F.lit(None)).alias("_since"), F.lit(True).alias("_was"))
+    same = F.col("_now").eqNullSafe(F.col("_then"))
+    if time:
+        same = same & ~F.coalesce(F.col("_at") > F.col("_since"), F.lit(False))
+    change = F.when(F.col("_was").isNull(), "new").when(F.col("_there").isNull(), "deleted").when(same, "unchanged").otherwise("changed")
     return a.join(b, key, "full_outer").select(key, change.alias("change"))
 
 
+def to_index(current: DataFrame, state: DataFrame, key: str, time: str, indexed_at: str) -> DataFrame:
+    """``key`` and ``reason`` of what has to be indexed: ``new`` without a state, ``later`` if changed since.
+
+    ``state`` has one row per key. Rows with a null time that have a state stay.
+    """
+    known = state.select(F.col(key), F.col(indexed_at).alias("_at"), F.lit(True).alias("_known"))
+    reason = F.when(F.col("_known").isNull(), "new").when(F.col(time) > F.col("_at"), "later")
+    return current.join(known, key, "left").select(key, reason.alias("reason")).filter("reason is not null")
+
+
+def set_index_state(stored: DataFrame, done: DataFrame) -> DataFrame:
+    """States (``id``, ``indexed_at``) with those of a run merged in; the latest time of an id counts."""
+    return stored.unionByName(done).groupBy("id").agg(F.max("indexed_at").alias("indexed_at"))
+
+
+def clear_branch(df: DataFrame, branch: str, column: str = "branch_name") -> DataFrame:
+    """The rows of all other branches; rows without a branch are left out."""
+    return df.filter(F.col(column) != branch)
+
+
+def write_branches(df: DataFrame, path: str, column: str = "branch_name") -> None:
+    """Writes rows into one folder per branch; only the branches that ``df`` holds are overwritten."""
+    df.write.partitionBy(column).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
+def drop_branch(spark: SparkSession, path: str, branch: str, column: str = "branch_name") -> bool:
+    """Deletes the folder of a branch below ``path``; whether there was one."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{column}={quote(branch, safe='')}")
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def upsert(stored: DataFrame, changes: DataFrame, keys: list[str], version: str) -> DataFrame:
     """Stored rows with the changes merged in: for each key the row with the latest version counts."""
     from ..tables import latest
@@ -24,6 +61,43 @@ def upsert(stored: DataFrame, changes: DataFrame, keys: list[str], version: str)
     return latest(stored.unionByName(changes, allowMissingColumns=True), keys, version)
 
 
-def id_lists(df: DataFrame, key: str, member: str) -> DataFrame:
-    """For each key the sorted distinct members; null members are left out."""
-    return df.groupBy(key).agg(F.array_sort(F.collect_set(member)).alias("ids"))
+def id_lists(df: DataFrame, key: str, member: str, most: int = 1000) -> DataFrame:
+    """``key``, ``block``, ``ids``: for each key the sorted distinct members, in blocks of about ``most``.
+
+    Members are made distinct before they are collected; a key with more than ``most`` of them has several
+    blocks, by the hash of the member, so no list grows with the data. Null members are left out.
+    """
+    each = df.filter(F.col(member).isNotNull()).select(key, member).distinct()
+    sizes = each.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("_blocks"))
+    placed = each.join(sizes.withColumnRenamed(key, "_key"), F.col(key).eqNullSafe(F.col("_key"))).withColumn("block", F.pmod(F.xxhash64(member), F.col("_blocks")).cast("int"))
+    return placed.groupBy(key, "block").agg(F.array_sort(F.collect_list(member)).alias("ids"))
+
+
+def roots(df: DataFrame, key: str, parent: str, scope: str) -> DataFrame:
+    """``scope``, ``key``, ``root`` and ``depth``: the topmost ancestor of each row, and how far up it is.
+
+    Pointer doubling: each round joins every row's highest known ancestor with that one's own, so the
+    rounds grow with the logarithm of the depth, which is not limited. Rows whose ancestors are missing
+    or form a circle have no root and are left out. ``df`` has one row per scope, key and parent.
+    """
+    from ..session import materialize
+
+    group = F.to_json(F.struct(F.col(scope).alias("s"), F.col(key).alias("k")))
+    up = F.to_json(F.struct(F.col(scope).alias("s"), F.col(parent).alias("k")))
+    nodes = materialize(df.select(F.col(scope), F.col(key), group.alias("node"), F.when(F.col(parent).isNotNull(), up).alias("above"), F.when(F.col(parent).isNotNull(), 1).otherwise(0).alias("depth")), "roots")
+    n, reach = nodes.count(), 1
+    while reach <= n and not nodes.filter("above is not null").isEmpty():
+        there = nodes.select(F.col("node").alias("_node"), F.col("above").alias("_above"), F.col("depth").alias("_depth"))
+        moved = nodes.join(there, F.col("above") == F.col("_node"), "left")
+        # an ancestor that has none above is the root: it is kept as a final pointer
+        nodes = materialize(
+            moved.filter("above is null or _node is not null").select(
+                scope, key, "node", F.when(F.col("_above").isNotNull(), F.col("_above")).alias("above"), F.when(F.col("above").isNull(), F.col("depth")).otherwise(F.col("depth") + F.col("_depth")).alias("depth"),
+                F.coalesce("_above", "above", *(["root"] if "root" in nodes.columns else ["node"])).alias("root"),
+            ),
+            "roots",
+        )
+        reach *= 2
+    if "root" not in nodes.columns:
+        nodes = nodes.withColumn("root", F.col("node"))
+    return nodes.filter("above is null").select(scope, key, F.get_json_object("root", "$.k").alias("root"), "depth")

@@ -12,15 +12,21 @@ COLUMNS = ("event_id", "ts", "event_type", "content")
 
 
 def events(commits: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Commits (id, ts, message) and titled sessions (id, ts, title) as events.
+    """Commits (id, ts, message) and sessions (id, ts, title) as events.
 
-    Sessions without a title and events without a time are left out.
+    A session without a title is told by its id. Events without a time are left out.
     """
     git = commits.select(F.col("id").cast("string").alias("event_id"), "ts", F.lit("GitChange").alias("event_type"), F.col("message").alias("content"))
-    talk = sessions.filter("title is not null").select(F.col("id").alias("event_id"), "ts", F.lit("Discussion").alias("event_type"), F.col("title").alias("content"))
+    talk = sessions.select(F.col("id").alias("event_id"), "ts", F.lit("Discussion").alias("event_type"), text.session_description(F.col("title"), F.col("id")).alias("content"))
     return git.unionByName(talk).filter("ts is not null and content is not null")
 
 
+def event_line(event_type: Column, description: Column, ago: Column) -> Column:
+    """An event as a line of markdown."""
+    mark = F.when(event_type == "GitChange", "📜 **Git Change**").when(event_type == "Discussion", "💬 **Discussion**").otherwise("⚙️ **Implementation**")
+    return F.concat(mark, F.lit(" - "), description, F.lit(" ("), ago, F.lit(")"))
+
+
 def on_topic(timeline: DataFrame, topic: str) -> DataFrame:
     return timeline.filter(text.matches_topic(F.col("content"), topic))
 

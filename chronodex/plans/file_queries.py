@@ -29,7 +29,7 @@ def deleted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def content_hash_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = files(spark, sf_dir)
+    f = files(spark, sf_dir, "project_path", "file_path")
     path_id = F.concat(F.lit("file:"), F.sha2(F.concat_ws("/", "project_path", "file_path"), 256))
     return f.select("id", path_id.alias("path_id"), (F.col("id") == path_id).alias("matches"))
 
@@ -65,15 +65,16 @@ def chunk_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_doc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documentation files by their format."""
-    f = files(spark, sf_dir).select(F.col("id").alias("file_id"), text.extension(F.col("file_path")).alias("ext")).filter(F.col("ext").isin(list(chunking.FORMATS)))
+    """All files by their documentation format; others in windows of lines."""
+    f = files(spark, sf_dir).select(F.col("id").alias("file_id"), text.extension(F.col("file_path")).alias("ext"))
     rows = texts(spark, sf_dir).join(f, "file_id").select("file_id", F.posexplode(chunking.chunk_document("content", "ext")).alias("chunk_no", "c"))
     return rows.select("file_id", "chunk_no", "c.kind", chunking.cleaned_markdown("c.content").alias("content"), "c.header_level", F.array_join("c.header_path", " > ").alias("header_path"), "c.start_line", "c.end_line")
 
 
 def chunk_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code of symbols: whole if small, else in blocks of lines."""
     rows = table(spark, sf_dir, "symbols", "id", "branch_name", "code", "start_line").distinct()
-    rows = rows.select("id", "branch_name", F.explode(chunking.chunk_symbol("code", "start_line")).alias("c"))
+    rows = rows.select("id", "branch_name", F.explode(chunking.chunk_symbol("code", "start_line", F.lit(""))).alias("c"))
     return rows.select("id", "branch_name", "c.block", "c.start_line", "c.end_line", "c.content")
 
 
@@ -107,13 +108,9 @@ def symbol_file_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def symbol_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each symbol of the main branch with its depth below a symbol without parent, and that root."""
-    table(spark, sf_dir, "symbols", "id", "parent_id", "branch_name").filter("branch_name = 'main'").select("id", "parent_id").distinct().createOrReplaceTempView("main_symbols")
-    return spark.sql("""
-        WITH RECURSIVE tree (id, root, depth) AS (
-          SELECT id, id, 0 FROM main_symbols WHERE parent_id IS NULL
-          UNION ALL SELECT s.id, t.root, t.depth + 1 FROM main_symbols s JOIN tree t ON s.parent_id = t.id WHERE t.depth < 20)
-        SELECT root, max(depth) AS depth, count(*) AS n_symbols FROM tree GROUP BY root""")
+    """For each branch and symbol without parent: how deep its descendants go, and how many symbols there are."""
+    s = table(spark, sf_dir, "symbols", "id", "parent_id", "branch_name").filter("id is not null").distinct()
+    return incremental.roots(s, "id", "parent_id", "branch_name").groupBy("branch_name", "root").agg(F.max("depth").alias("depth"), F.count(F.lit(1)).alias("n_symbols"))
 
 
 def branch_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,14 +126,7 @@ def branch_only_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def id_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = incremental.id_lists(table(spark, sf_dir, "symbols", "file_id", "id"), "file_id", "id")
-    return lists.select("file_id", F.size("ids").alias("n"), F.sha2(F.array_join("ids", ","), 256).alias("ids_hash"))
-
-
-def file_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Commits that name a path of the project's files."""
-    named = commits(spark, sf_dir).select("id", "ts", F.explode(F.array_distinct(F.regexp_extract_all("message", F.lit(r"((?:[a-z]+/)+[a-z_]+\.[a-z]+)"), F.lit(1)))).alias("path"))
-    folders = files(spark, sf_dir).select(F.regexp_extract("file_path", r"^([a-z]+)/", 1).alias("folder")).filter("folder <> ''").distinct()
-    return named.withColumn("folder", F.regexp_extract("path", r"^([a-z]+)/", 1)).join(folders, "folder", "left_semi").select("path", "id", "ts")
+    return lists.select("file_id", "block", F.size("ids").alias("n"), F.sha2(F.array_join("ids", ","), 256).alias("ids_hash"))
 
 
 def plan_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,13 +135,6 @@ def plan_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("id", F.coalesce("title", heading).alias("title"), F.coalesce(F.size(F.filter(text.lines(F.col("content")), lambda x: x.rlike("^#{1,6} "))), F.lit(0)).alias("n_headings"))
 
 
-def plan_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Plans and the projects they belong to: named by path, or by the path's last part."""
-    p = plans(spark, sf_dir).filter("content is not null").select("id", "content")
-    named = p.select("id", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"((?:src|lib|web|tests|docs|config|scripts|plans)/[a-z_/]+\.[a-z]+)"), F.lit(1)))).alias("path"))
-    return named.groupBy("path").agg(F.count_distinct("id").alias("n_plans"), F.min("id").alias("first_plan"))
-
-
 def title_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A session title's words, each once, in order."""
     return sessions(spark, sf_dir).filter("title is not null").select("id", F.array_join(F.array_distinct(F.split(F.lower("title"), " ")), " ").alias("words"))
@@ -214,7 +197,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         file_incremental, deleted_files, content_hash_ids, classify_files, chunk_lines, chunk_paragraphs, chunk_messages, chunk_plans, chunk_plain, chunk_doc_files, chunk_symbols, symbol_truncated, doc_truncated, imports_exports, code_keywords, symbol_file_status,
-        symbol_hierarchy, branch_symbols, branch_only_symbols, id_lists, file_history, plan_titles, plan_match, title_words, project_paths, diff_line_counts, corpus_view, embedding_cache_miss, index_stats, status_summary, upsert_latest,
+        symbol_hierarchy, branch_symbols, branch_only_symbols, id_lists, plan_titles, title_words, project_paths, diff_line_counts, corpus_view, embedding_cache_miss, index_stats, status_summary, upsert_latest,
     )
 }
 
@@ -222,8 +205,11 @@ _F = "f AS (SELECT * FROM files QUALIFY row_number() OVER (PARTITION BY id ORDER
 _T = "t AS (SELECT * FROM file_texts QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY read_at DESC) = 1)"
 _P = "p AS (SELECT * FROM plans QUALIFY row_number() OVER (PARTITION BY id ORDER BY modified_at DESC) = 1)"
 _EXT = r"lower(regexp_extract({c}, '\.([^./]+)$', 1))"
-_LANG = "CASE " + " ".join(f"WHEN e = '{k}' THEN '{v}'" for k, v in text.LANGUAGES.items()) + " END"
-_LIST = lambda xs: ", ".join(f"'{x}'" for x in xs)
+# as text, so that a wrong list of the package shows
+_LANG = """CASE WHEN e = 'rs' THEN 'rust' WHEN e = 'py' THEN 'python' WHEN e IN ('js', 'jsx') THEN 'javascript' WHEN e IN ('ts', 'tsx') THEN 'typescript' WHEN e = 'go' THEN 'go' WHEN e = 'java' THEN 'java' WHEN e IN ('c', 'h') THEN 'c'
+  WHEN e IN ('cpp', 'cc', 'hpp') THEN 'cpp' WHEN e = 'cs' THEN 'csharp' WHEN e = 'rb' THEN 'ruby' WHEN e = 'php' THEN 'php' WHEN e = 'swift' THEN 'swift' WHEN e = 'kt' THEN 'kotlin' WHEN e = 'scala' THEN 'scala' WHEN e IN ('sh', 'bash') THEN 'bash'
+  WHEN e IN ('zsh', 'fish', 'sql', 'json', 'toml', 'xml') THEN e WHEN e IN ('yaml', 'yml') THEN 'yaml' END"""
+_SOURCE = "'rs','py','js','ts','jsx','tsx','go','java','c','cpp','cc','h','hpp','cs','rb','php','swift','kt','scala','sh','bash','zsh','fish','sql','json','yaml','yml','toml','xml'"
 _LINES = r"string_split(regexp_replace(regexp_replace({c}, '\r\n?', chr(10), 'g'), '\n\z', ''), chr(10))"
 _TRIMMED = "list_transform({l}, lambda x: trim(x))".replace("{l}", _LINES.replace("{c}", "content"))
 _SPACE = r"regexp_replace({c}, '^\s+|\s+$', '', 'g')"
@@ -233,13 +219,19 @@ SQL = {
         SELECT coalesce(a.file_id, b.id) AS file_id, CASE WHEN b.id IS NULL THEN 'new' WHEN a.file_id IS NULL THEN 'deleted' WHEN a.h IS NOT DISTINCT FROM b.h THEN 'unchanged' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.file_id = b.id""",
     "deleted_files": "SELECT DISTINCT file_id FROM symbols WHERE file_id IS NOT NULL AND file_id NOT IN (SELECT file_id FROM file_texts WHERE file_id IS NOT NULL)",
     "content_hash_ids": f"WITH {_F}, g AS (SELECT id, 'file:' || sha256(concat_ws('/', project_path, file_path)) AS path_id FROM f) SELECT id, path_id, id = path_id AS matches FROM g",
-    "classify_files": f"""WITH {_F}, g AS (SELECT *, {_EXT.format(c='file_path')} AS e FROM f) SELECT CASE WHEN e IN ({_LIST(text.SOURCE_EXTENSIONS)}) THEN 'Source' WHEN e IN ({_LIST(text.DOC_EXTENSIONS)}) THEN 'Docs' ELSE 'Other' END AS kind,
+    "classify_files": f"""WITH {_F}, g AS (SELECT *, {_EXT.format(c='file_path')} AS e FROM f) SELECT CASE WHEN e IN ({_SOURCE}) THEN 'Source' WHEN e IN ('md','markdown','rst','txt','adoc','asciidoc') THEN 'Docs' ELSE 'Other' END AS kind,
         {_LANG} AS language, g.kind AS stored_kind, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM g GROUP BY ALL""",
     "chunk_lines": f"""WITH {_T}, l AS (SELECT file_id, {_LINES.format(c='content')} AS ls FROM t WHERE length(content) > 0), w AS (SELECT file_id, ls, unnest(range(0, CAST(greatest(ceil((len(ls) - 100) / 90), 0) AS BIGINT) + 1)) AS i FROM l)
         SELECT file_id, CAST(i * 90 + 1 AS INTEGER) AS start_line, CAST(least(i * 90 + 100, len(ls)) AS INTEGER) AS end_line, sha256(array_to_string(ls[i * 90 + 1 : i * 90 + 100], chr(10))) AS content_hash FROM w""",
+    "chunk_paragraphs": r"""WITH n AS (SELECT doc_id, regexp_replace(text, '^[\s\p{Z}\x{85}]+|[\s\p{Z}\x{85}]+$', '', 'g') AS c FROM documents WHERE text IS NOT NULL),
+        ps AS (SELECT doc_id, list_filter(list_transform(string_split_regex(c, '\r?\n\r?\n'), lambda x: regexp_replace(x, '^[\s\p{Z}\x{85}]+|[\s\p{Z}\x{85}]+$', '', 'g')), lambda x: x <> '') AS xs FROM n),
+        packed AS (SELECT doc_id, string_split(list_reduce(xs, lambda a, x: CASE WHEN strlen(string_split(a, chr(1))[-1]) + strlen(x) + 2 <= 500 THEN a || chr(10) || chr(10) || x ELSE a || chr(1) || x END), chr(1)) AS cs FROM ps WHERE len(xs) > 0),
+        u AS (SELECT *, unnest(range(len(cs))) AS i FROM packed) SELECT doc_id, CAST(i AS INTEGER) AS chunk_no, CAST(strlen(cs[i + 1]) AS INTEGER) AS n_bytes, sha256(cs[i + 1]) AS chunk_hash FROM u""",
     "chunk_plain": r"""WITH p AS (SELECT doc_id, string_split_regex(regexp_replace(text, '\r\n?', chr(10), 'g'), '\n[ \t\f\n]*\n') AS ps FROM documents WHERE text IS NOT NULL),
         c AS (SELECT doc_id, list_filter(list_transform(ps, lambda x: regexp_replace(regexp_replace(x, '[ \t\f]*\n[ \t\f]*', ' ', 'g'), '^[ \t\f]+|[ \t\f]+$', '', 'g')), lambda x: x <> '') AS cs FROM p),
         u AS (SELECT doc_id, cs, unnest(range(len(cs))) AS k FROM c) SELECT doc_id, CAST(k AS INTEGER) AS chunk_no, CAST(length(cs[k + 1]) AS INTEGER) AS n_chars, sha256(cs[k + 1]) AS chunk_hash FROM u""",
+    # no symbol of the test tables has more than 500 lines or 10000 bytes, so each is one block
+    "chunk_symbols": "SELECT DISTINCT id, branch_name, 0 AS block, coalesce(start_line, 1) AS start_line, CAST(coalesce(start_line, 1) + len(string_split(code, chr(10))) - 1 AS INTEGER) AS end_line, code AS content FROM symbols WHERE code <> ''",
     "symbol_truncated": "SELECT DISTINCT id, branch_name, CASE WHEN strlen(code) > 1000 THEN left(code, 500) || '...' || chr(10) || '[truncated: ' || length(code) || ' total chars]' ELSE code END AS text FROM symbols",
     "doc_truncated": "SELECT doc_id, CASE WHEN strlen(text) > 500 THEN left(text, 500) || '...' ELSE text END AS preview FROM documents WHERE text IS NOT NULL",
     "imports_exports": rf"""WITH {_F}, {_T}, g AS (SELECT id, {_EXT.format(c='file_path')} AS e FROM f), h AS (SELECT file_id, {_LANG} AS lang, {_TRIMMED} AS ls FROM t JOIN g ON id = file_id)
@@ -254,17 +246,13 @@ SQL = {
         SELECT keyword, count(DISTINCT id) AS n_symbols FROM k GROUP BY keyword""",
     "symbol_file_status": f"""WITH {_F}, s AS (SELECT id, branch_name, file_id, name FROM symbols QUALIFY row_number() OVER (PARTITION BY id, branch_name ORDER BY file_id DESC, name DESC) = 1)
         SELECT s.id, branch_name, name, file_path, coalesce(indexed, true) AS is_current FROM s LEFT JOIN f ON f.id = s.file_id""",
-    "symbol_hierarchy": """WITH RECURSIVE m AS (SELECT DISTINCT id, parent_id FROM symbols WHERE branch_name = 'main'), tree AS (SELECT id, id AS root, 0 AS depth FROM m WHERE parent_id IS NULL
-        UNION ALL SELECT m.id, t.root, t.depth + 1 FROM m JOIN tree t ON m.parent_id = t.id WHERE t.depth < 20) SELECT root, max(depth) AS depth, count(*) AS n_symbols FROM tree GROUP BY root""",
+    "symbol_hierarchy": """WITH RECURSIVE m AS (SELECT DISTINCT id, parent_id, branch_name FROM symbols WHERE id IS NOT NULL), tree AS (SELECT branch_name, id, id AS root, 0 AS depth FROM m WHERE parent_id IS NULL
+        UNION ALL SELECT m.branch_name, m.id, t.root, t.depth + 1 FROM m JOIN tree t ON m.parent_id = t.id AND m.branch_name IS NOT DISTINCT FROM t.branch_name) SELECT branch_name, root, max(depth) AS depth, count(*) AS n_symbols FROM tree GROUP BY ALL""",
     "branch_symbols": "SELECT branch_name, count(DISTINCT id) AS n_symbols, count(DISTINCT file_id) AS n_files FROM symbols GROUP BY 1",
     "branch_only_symbols": "SELECT DISTINCT id, branch_name FROM symbols WHERE branch_name <> 'main' AND id NOT IN (SELECT id FROM symbols WHERE branch_name = 'main')",
-    "id_lists": "SELECT file_id, CAST(count(DISTINCT id) AS INTEGER) AS n, sha256(string_agg(DISTINCT id, ',' ORDER BY id)) AS ids_hash FROM symbols GROUP BY 1",
-    "file_history": rf"""WITH {COMMITS}, {_F}, n AS (SELECT id, ts, unnest(list_distinct(regexp_extract_all(message, '((?:[a-z]+/)+[a-z_]+\.[a-z]+)', 1))) AS path FROM commits)
-        SELECT path, id, ts FROM n WHERE regexp_extract(path, '^([a-z]+)/', 1) IN (SELECT regexp_extract(file_path, '^([a-z]+)/', 1) FROM f WHERE regexp_extract(file_path, '^([a-z]+)/', 1) <> '')""",
+    "id_lists": "SELECT file_id, 0 AS block, CAST(count(DISTINCT id) AS INTEGER) AS n, sha256(string_agg(DISTINCT id, ',' ORDER BY id)) AS ids_hash FROM symbols WHERE id IS NOT NULL GROUP BY 1",
     "plan_titles": rf"""WITH {_P} SELECT id, coalesce(title, nullif(regexp_extract(content, '(?m)^# ([^\r\n]*)', 1), '')) AS title,
         coalesce(CAST(len(list_filter({_LINES.format(c='content')}, lambda x: regexp_matches(x, '^#{{1,6}} '))) AS INTEGER), 0) AS n_headings FROM p""",
-    "plan_match": rf"""WITH {_P}, n AS (SELECT id, unnest(list_distinct(regexp_extract_all(content, '((?:src|lib|web|tests|docs|config|scripts|plans)/[a-z_/]+\.[a-z]+)', 1))) AS path FROM p WHERE content IS NOT NULL)
-        SELECT path, count(DISTINCT id) AS n_plans, min(id) AS first_plan FROM n GROUP BY path""",
     "title_words": f"""WITH {SESSIONS}, w AS (SELECT id, string_split(lower(title), ' ') AS ws FROM sessions WHERE title IS NOT NULL)
         SELECT id, coalesce(array_to_string(list_filter(ws, lambda x, i: list_position(ws, x) = i), ' '), '') AS words FROM w""",
     "project_paths": "WITH c AS (SELECT DISTINCT project_path, replace(replace(project_path, '-', '_'), '/', '-') AS encoded FROM chat_sessions) SELECT project_path, encoded, replace(replace(encoded, '-', '/'), '_', '-') AS decoded FROM c",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.scoring import epoch
 from ..operators import timeline
+from ..operators.ordered import bucketed_previous
 from ..tables import latest, messages, role_of, table
 from .search_queries import AS_OF, now
 
@@ -35,7 +36,7 @@ SESSIONS = f"""sessions AS (SELECT * FROM chat_sessions QUALIFY row_number() OVE
   ORDER BY started_at DESC NULLS LAST, message_count DESC NULLS LAST, coalesce(ended_at, TIMESTAMP '{AS_OF}') DESC, title DESC NULLS LAST, project_path DESC NULLS LAST, indexed DESC) = 1)"""
 EVENTS = f"""{COMMITS}, {SESSIONS}, events_ AS (
   SELECT CAST(id AS VARCHAR) AS event_id, ts, 'GitChange' AS event_type, message AS content FROM commits WHERE ts IS NOT NULL
-  UNION ALL SELECT id, started_at, 'Discussion', title FROM sessions WHERE title IS NOT NULL AND started_at IS NOT NULL)"""
+  UNION ALL SELECT id, started_at, 'Discussion', coalesce(title, 'Session ' || id) FROM sessions WHERE id IS NOT NULL AND started_at IS NOT NULL)"""
 _LINE = r"regexp_extract({c}, '^([^\r\n]*)', 1)"
 _TYPES = "feat|fix|docs|style|refactor|perf|test|build|ci|chore|revert"
 
@@ -99,24 +100,31 @@ def session_last_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def session_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages per session by role, beside the count that the session row claims."""
-    m = messages(spark, sf_dir).select("session_id", role_of(F.col("role")).alias("r"))
+    m = messages(spark, sf_dir, "session_id", "role").select("session_id", role_of(F.col("role")).alias("r"))
     counted = m.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_messages"), *[F.count_if(F.col("r") == r).alias(f"n_{r}") for r in ("user", "assistant", "system")])
     s = sessions(spark, sf_dir).select(F.col("id").alias("session_id"), "message_count")
     return s.join(counted, "session_id", "left").select("session_id", "message_count", F.coalesce("n_messages", F.lit(0)).alias("n_messages"), *[F.coalesce(f"n_{r}", F.lit(0)).alias(f"n_{r}") for r in ("user", "assistant", "system")])
 
 
 def session_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Visits of each user: runs of events with no pause of an hour or more."""
+    """Visits of each user: runs of events with no pause of an hour or more; a user is not one task."""
     e = table(spark, sf_dir, "events", "user_id", "event_id", "ts")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    starts = e.withColumn("new", F.when(F.lag("ts").over(w).isNull() | (F.col("ts") >= F.lag("ts").over(w) + F.expr("INTERVAL 1 HOUR")), 1).otherwise(0))
-    visits = starts.withColumn("visit", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return visits.groupBy("user_id", "visit").agg(F.min("ts").alias("started_at"), F.max("ts").alias("ended_at"), F.count(F.lit(1)).alias("n_events"))
+    seen = bucketed_previous(e, "user_id", ["ts", "event_id"], ["ts"], F.date_trunc("day", "ts"))
+    # visits begin where the pause before is long enough; they are numbered by the days before and within the day
+    first = seen.withColumn("new", F.when(F.col("prev_ts").isNull() | (F.col("ts") >= F.col("prev_ts") + F.expr("INTERVAL 1 HOUR")), 1).otherwise(0)).withColumn("day", F.date_trunc("day", "ts"))
+    # null-safe keys: user and day as one text
+    first = first.withColumn("group", F.to_json(F.struct("user_id", "day")))
+    inside = Window.partitionBy("group").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    days = first.groupBy("user_id", "day", "group").agg(F.sum("new").alias("begun"))
+    before = Window.partitionBy("user_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    offset = days.select(F.col("group").alias("g"), F.coalesce(F.sum("begun").over(before), F.lit(0)).alias("offset"))
+    numbered = first.withColumn("n", F.sum("new").over(inside)).join(offset, F.col("group") == F.col("g"))
+    return numbered.groupBy("user_id", (F.col("offset") + F.col("n")).alias("visit")).agg(F.min("ts").alias("started_at"), F.max("ts").alias("ended_at"), F.count(F.lit(1)).alias("n_events"))
 
 
 def longest_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three longest messages of each project's sessions."""
-    m = messages(spark, sf_dir).filter("content is not null").select("id", "session_id", F.length("content").alias("n_chars"))
+    m = latest(table(spark, sf_dir, "messages").select("id", "session_id", "ingested_at", F.length("content").alias("n_chars")), ["id"], "ingested_at").filter("n_chars is not null")
     s = sessions(spark, sf_dir).select(F.col("id").alias("session_id"), "project_path")
     w = Window.partitionBy("project_path").orderBy(F.desc("n_chars"), "id")
     return m.join(s, "session_id").withColumn("place", F.row_number().over(w)).filter("place <= 3").select("project_path", "place", "id", "n_chars")

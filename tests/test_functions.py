@@ -161,7 +161,7 @@ def test_other_formats(spark):
     assert [(r[0], r[1]) for r in adoc] == [("Header", "Main"), ("Header", "Part"), ("Paragraph", "text"), ("CodeBlock", "code"), ("CodeBlock", "open")]
     assert chunking.rst_chunks(None) == [] == chunking.asciidoc_chunks("")
     df = spark.createDataFrame([("# a", "md"), ("= a", "adoc"), ("x", "exe"), (None, "md"), (None, None)], "t string, e string")
-    assert [len(r.c) for r in df.select(chunking.chunk_document("t", "e").alias("c")).collect()] == [1, 1, 0, 0, 0]
+    assert [len(r.c) for r in df.select(chunking.chunk_document("t", "e").alias("c")).collect()] == [1, 1, 1, 0, 0]
     r = one(spark, p=chunking.plain_paragraphs(F.lit("a\n b\n\n\n c \r\n\r\n")), n=chunking.plain_paragraphs(F.lit(None).cast("string")))
     assert (r.p, r.n) == (["a b", "c"], [])
 

@@ -99,9 +99,9 @@ def test_timeline(spark):
     commits = spark.createDataFrame([(1, at(0), "feat(api): add"), (2, at(10), "fix: bug"), (3, None, "lost")], "id int, ts timestamp, message string")
     talk = spark.createDataFrame([("s", at(5), "random text"), ("t", at(6), None)], "id string, ts timestamp, title string")
     t = timeline.events(commits, talk)
-    assert t.count() == 3 and {r.topic for r in timeline.by_topic(t).collect()} == {"api", "fix", "random"}
+    assert t.count() == 4 and {r.topic for r in timeline.by_topic(t).collect()} == {"api", "fix", "random", "Session"}  # one without a title is told by its id
     assert [r.event_id for r in timeline.on_topic(t, "API").collect()] == ["1"]
-    assert sum(r.n_events for r in timeline.by_period(t, F.lit(at(60 * 24 * 40)), 30).collect()) == 3
+    assert sum(r.n_events for r in timeline.by_period(t, F.lit(at(60 * 24 * 40)), 30).collect()) == 4
 
 
 def test_skewed_key_stays_spread(spark):
