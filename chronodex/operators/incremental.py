@@ -82,22 +82,14 @@ def roots(df: DataFrame, key: str, parent: str, scope: str) -> DataFrame:
     """
     from ..session import materialize
 
-    group = F.to_json(F.struct(F.col(scope).alias("s"), F.col(key).alias("k")))
-    up = F.to_json(F.struct(F.col(scope).alias("s"), F.col(parent).alias("k")))
-    nodes = materialize(df.select(F.col(scope), F.col(key), group.alias("node"), F.when(F.col(parent).isNotNull(), up).alias("above"), F.when(F.col(parent).isNotNull(), 1).otherwise(0).alias("depth")), "roots")
+    name = lambda c: F.to_json(F.struct(F.col(scope).alias("s"), F.col(c).alias("k")))
+    below = F.col(parent).isNotNull()
+    # each node's pointer goes to an ancestor ``depth`` steps above it, a root's to itself
+    nodes = materialize(df.select(scope, key, name(key).alias("node"), F.when(below, name(parent)).otherwise(name(key)).alias("up"), below.cast("int").alias("depth"), F.lit(False).alias("done")), "roots")
     n, reach = nodes.count(), 1
-    while reach <= n and not nodes.filter("above is not null").isEmpty():
-        there = nodes.select(F.col("node").alias("_node"), F.col("above").alias("_above"), F.col("depth").alias("_depth"))
-        moved = nodes.join(there, F.col("above") == F.col("_node"), "left")
-        # an ancestor that has none above is the root: it is kept as a final pointer
-        nodes = materialize(
-            moved.filter("above is null or _node is not null").select(
-                scope, key, "node", F.when(F.col("_above").isNotNull(), F.col("_above")).alias("above"), F.when(F.col("above").isNull(), F.col("depth")).otherwise(F.col("depth") + F.col("_depth")).alias("depth"),
-                F.coalesce("_above", "above", *(["root"] if "root" in nodes.columns else ["node"])).alias("root"),
-            ),
-            "roots",
-        )
+    while reach <= 2 * n and not nodes.filter("not done").isEmpty():
+        there = nodes.select(F.col("node").alias("_node"), F.col("up").alias("_up"), F.col("depth").alias("_depth"))
+        moved = nodes.join(there, F.col("up") == F.col("_node"))  # a pointer into nothing ends here
+        nodes = materialize(moved.select(scope, key, "node", F.col("_up").alias("up"), (F.col("depth") + F.col("_depth")).alias("depth"), (F.col("_depth") == 0).alias("done")), "roots")
         reach *= 2
-    if "root" not in nodes.columns:
-        nodes = nodes.withColumn("root", F.col("node"))
-    return nodes.filter("above is null").select(scope, key, F.get_json_object("root", "$.k").alias("root"), "depth")
+    return nodes.filter("done").select(scope, key, F.get_json_object("up", "$.k").alias("root"), "depth")
