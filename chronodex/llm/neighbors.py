@@ -25,9 +25,10 @@ DIMENSIONS = 96
 #: The codebooks are fitted on at most so many vectors, those with the least hash of their id.
 SAMPLE = 20_000
 #: Entries per cell on average; least and most codes per half.
-PER_CELL, MIN_CODES, MAX_CODES = 8, 4, 512
-#: A query walks cells until they hold so many entries.
-CANDIDATES = 1500
+PER_CELL, MIN_CODES, MAX_CODES = 8, 4, 1024
+#: A query walks cells until they hold so many entries that this share of the true neighbours is among them,
+#: as measured by exact search for so many queries; and at least so many.
+RECALL, PROBES, LEAST_CANDIDATES = 0.95, 200, 300
 #: Entries and queries per block.
 BLOCK = 12_000
 
@@ -103,16 +104,64 @@ def walk(d1: np.ndarray, d2: np.ndarray, count: np.ndarray, enough: int) -> list
     return out
 
 
-def similar(vectors: DataFrame, k: int = 5, at_least: float = -1.0, candidates: int = CANDIDATES) -> DataFrame:
+def nearest_exactly(entries: DataFrame, probes: pd.DataFrame, k: int) -> pd.DataFrame:
+    """``query`` (row of ``probes``), ``cell`` and ``similarity`` of the k entries most similar to each probe.
+
+    Every task keeps the k best of its entries, and these are merged; the probe itself is left out.
+    """
+    shared = entries.sparkSession.sparkContext.broadcast((probes.vec_id.to_numpy(), unit(probes.embedding)))
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, q = shared.value
+        top = [np.zeros((0, 2)) for _ in ids]
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            s = q @ unit(pdf.embedding).T
+            s[ids[:, None] == pdf.vec_id.to_numpy()[None]] = -9
+            cells = pdf.cell.to_numpy()
+            for i in range(len(ids)):
+                at = np.argpartition(s[i], -k)[-k:] if len(cells) > k else np.arange(len(cells))
+                both = np.concatenate([top[i], np.stack([s[i][at], cells[at]], 1)])
+                top[i] = both[np.argsort(-both[:, 0], kind="stable")[:k]]
+        rows = [(i, int(c), float(x)) for i, t in enumerate(top) for x, c in t if x > -2]
+        yield pd.DataFrame(rows, columns=["query", "cell", "similarity"])
+
+    found = entries.select("vec_id", "embedding", "cell").mapInPandas(best, "query int, cell int, similarity double")
+    among = Window.partitionBy("query").orderBy(F.desc("similarity"), "cell")
+    return found.withColumn("place", F.row_number().over(among)).filter(F.col("place") <= k).drop("place").toPandas()
+
+
+def enough(probes: pd.DataFrame, true: pd.DataFrame, books: tuple[np.ndarray, np.ndarray], count: np.ndarray, at_least: float) -> int:
+    """How many entries a query has to see so that ``RECALL`` of the true neighbours are among them.
+
+    For each probe and true neighbour: the entries in all cells that are no farther than the neighbour's.
+    """
+    true = true[true.similarity >= at_least]
+    if not len(true):
+        return LEAST_CANDIDATES
+    x = unit(probes.embedding)
+    half = x.shape[1] // 2
+    d1, d2 = distances(x[:, :half], books[0]), distances(x[:, half:], books[1])
+    seen = []
+    for q, cells in true.groupby("query").cell:
+        d = (d1[q][:, None] + d2[q][None]).ravel()
+        seen += [int(count[d <= d[c]].sum()) for c in cells]
+    return max(LEAST_CANDIDATES, int(np.quantile(seen, RECALL, method="higher")))
+
+
+def similar(vectors: DataFrame, k: int = 5, at_least: float = -1.0, candidates: int | None = None, exact: bool = False) -> DataFrame:
     """``id``, ``other`` and ``similarity`` (cosine) of the k most similar others of every vector.
 
     ``vectors`` has ``vec_id`` (unique) and ``embedding`` (usable, of one length). Every vector is
     indexed and every vector is a query; vectors found must be at least ``at_least`` similar. Equal
     similarities are ordered by id. Approximate: a neighbour is missed if its cell is not among those
-    that the query walks. Fewer than two vectors give an empty result.
+    that the query walks. How far queries walk is measured on the data itself (:func:`enough`), so
+    recall does not fall as the collection grows; ``candidates`` sets it instead, and with ``exact`` every
+    query sees every entry. Fewer than two vectors give an empty result.
 
     The codebooks are fitted on a bounded sample. What else goes to the driver is bounded by the
-    number of cells (``MAX_CODES`` squared) and by the number of groups.
+    number of cells (``MAX_CODES`` squared).
     """
     spark = vectors.sparkSession
     # equal vectors: two 64-bit hashes name a class; its least ids stand for it
@@ -125,7 +174,7 @@ def similar(vectors: DataFrame, k: int = 5, at_least: float = -1.0, candidates:
     )
     reps = hashed.join(classes.select(F.col("rep").alias("vec_id")), "vec_id", "left_semi").select("vec_id", "embedding")
 
-    sample = reps.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").toPandas()
+    sample = reps.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()
     total = classes.count()
     if total < 2 and hashed.limit(2).count() < 2:
         return spark.createDataFrame([], f"id {dict(vectors.dtypes)['vec_id']}, other {dict(vectors.dtypes)['vec_id']}, similarity double")
@@ -134,29 +183,34 @@ def similar(vectors: DataFrame, k: int = 5, at_least: float = -1.0, candidates:
     codes = int(np.clip(round((total / PER_CELL) ** 0.5), MIN_CODES, MAX_CODES))
     book1, book2 = k_means(fit_on[:, :half], codes), k_means(fit_on[:, half:], codes)
     k2 = len(book2)
-    books = spark.sparkContext.broadcast((book1, book2))
+    # groups of neighbouring codes in both halves, of about a block of entries each: their number grows with the collection
+    sides = max(1, int(np.ceil((total / BLOCK) ** 0.5)))
+    group1, group2 = (nearest(b, k_means(b, sides)) if 1 < sides < len(b) else np.arange(len(b)) % sides for b in (book1, book2))
+    books = spark.sparkContext.broadcast((book1, book2, group1 * sides, group2))
     id_type = dict(vectors.dtypes)["vec_id"]
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        b1, b2 = books.value
+        b1, b2, g1, g2 = books.value
         for pdf in batches:
             if len(pdf):
                 x = unit(pdf.embedding)
-                yield pd.DataFrame({"vec_id": pdf.vec_id, "embedding": pdf.embedding, "cell": (nearest(x[:, :half], b1) * k2 + nearest(x[:, half:], b2)).astype("i4")})
+                c1, c2 = nearest(x[:, :half], b1), nearest(x[:, half:], b2)
+                yield pd.DataFrame({"vec_id": pdf.vec_id, "embedding": pdf.embedding, "cell": (c1 * k2 + c2).astype("i4"), "group": (g1[c1] + g2[c2]).astype("i4")})
 
-    entries = materialize(reps.mapInPandas(encode, f"vec_id {id_type}, embedding array<float>, cell int"), "knn-entries")
+    entries = materialize(reps.mapInPandas(encode, f"vec_id {id_type}, embedding array<float>, cell int, group int"), "knn-entries")
+    sizes = entries.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).toPandas()
     count = np.zeros(len(book1) * k2, np.int64)
-    for r in entries.groupBy("cell").count().collect():
-        count[r["cell"]] = r["count"]
-    # groups of neighbouring first-half codes, of about a block of entries each
-    per_code = count.reshape(len(book1), k2).sum(1)
-    n_groups = int(np.clip(np.ceil(total / BLOCK), 1, len(book1)))
-    group_of = nearest(book1, k_means(book1, n_groups)) if n_groups > 1 else np.zeros(len(book1), int)
-    plan = spark.sparkContext.broadcast((count.tolist(), group_of))
+    count[sizes.cell.to_numpy()] = sizes.n.to_numpy()
+    if exact:
+        candidates = total
+    elif candidates is None:
+        probes = sample.iloc[:PROBES].reset_index(drop=True)
+        candidates = enough(probes, nearest_exactly(entries, probes, k), (book1, book2), count, at_least)
+    plan = spark.sparkContext.broadcast(count.tolist())
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        b1, b2 = books.value
-        cells, groups = plan.value
+        b1, b2, g1, g2 = books.value
+        cells = plan.value
         for pdf in batches:
             if not len(pdf):
                 continue
@@ -164,29 +218,21 @@ def similar(vectors: DataFrame, k: int = 5, at_least: float = -1.0, candidates:
             d1, d2 = distances(x[:, :half], b1), distances(x[:, half:], b2)
             which, group, visited = [], [], []
             for q in range(len(pdf)):
-                by_group: dict[int, list[int]] = {}
-                for c in walk(d1[q], d2[q], cells, candidates):
-                    by_group.setdefault(int(groups[c // k2]), []).append(c)
-                for g, cs in by_group.items():
+                walked = np.array(walk(d1[q], d2[q], cells, candidates))
+                of = g1[walked // k2] + g2[walked % k2]
+                for g in np.unique(of):
                     which.append(q)
                     group.append(g)
-                    visited.append(cs)
+                    visited.append(walked[of == g])
             yield pd.DataFrame({"query": pdf.vec_id.to_numpy()[which], "embedding": pdf.embedding.to_numpy()[which], "group": np.array(group, "i4"), "cells": visited})
 
     visits = materialize(entries.select("vec_id", "embedding").mapInPandas(visit, f"query {id_type}, embedding array<float>, group int, cells array<int>"), "knn-visits")
-    n_entries, n_queries = np.zeros(n_groups, np.int64), np.zeros(n_groups, np.int64)
-    np.add.at(n_entries, group_of, per_code)
-    for r in visits.groupBy("group").count().collect():
-        n_queries[r["group"]] = r["count"]
-    e_blocks, q_blocks = np.maximum(1, -(-n_entries // BLOCK)), np.maximum(1, -(-n_queries // (2 * BLOCK)))
-
-    def lookup(values, key):
-        return F.element_at(F.array(*[F.lit(int(v)) for v in values]), key + 1) if len(values) <= 512 else F.create_map(*[F.lit(int(x)) for kv in enumerate(values) for x in kv])[key]
-
-    group_col = F.create_map(*[F.lit(int(x)) for kv in enumerate(group_of) for x in kv])[F.floor(F.col("cell") / k2).cast("int")]
-    left = entries.withColumn("group", group_col)
-    left = left.withColumn("eb", F.pmod(F.xxhash64("vec_id"), lookup(e_blocks, F.col("group"))).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), lookup(q_blocks, F.col("group")) - 1)))
-    right = visits.withColumn("qb", F.pmod(F.xxhash64("query"), lookup(q_blocks, F.col("group"))).cast("int")).withColumn("eb", F.explode(F.sequence(F.lit(0), lookup(e_blocks, F.col("group")) - 1)))
+    # a group whose entries or visits are many is cut into blocks; each block of entries meets each block of visits
+    blocks = lambda df, most, name: df.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias(name))
+    both = blocks(entries, BLOCK, "e_blocks").join(blocks(visits, 2 * BLOCK, "q_blocks"), "group")
+    every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+    left = entries.join(both, "group").withColumn("eb", F.pmod(F.xxhash64("vec_id"), F.col("e_blocks")).cast("int")).withColumn("qb", every("q_blocks")).drop("e_blocks", "q_blocks")
+    right = visits.join(both, "group").withColumn("qb", F.pmod(F.xxhash64("query"), F.col("q_blocks")).cast("int")).withColumn("eb", every("e_blocks")).drop("e_blocks", "q_blocks")
 
     def rank(e: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"id": pd.Series(dtype=e.vec_id.dtype), "other": pd.Series(dtype=e.vec_id.dtype), "similarity": pd.Series(dtype="f8")})

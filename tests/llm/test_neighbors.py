@@ -75,3 +75,17 @@ def test_walk_is_in_order_of_summed_distance(seed):
     sums = [d1[c // 7] + d2[c % 7] for c in cells]
     assert sums == sorted(sums)
     assert sum(count[c] for c in nb.walk(d1, d2, count.tolist(), 5)) >= min(5, count.sum())
+
+
+def test_exact_mode_misses_nothing(spark, monkeypatch):
+    m = np.random.default_rng(3).normal(size=(900, 96)).astype("f4")  # no clusters: the hardest case
+    monkeypatch.setattr(nb, "BLOCK", 300)
+    got = {(r.id, r.other) for r in nb.similar(frame(spark, m), 5, exact=True).collect()}
+    assert got == brute(m, 5)
+
+
+def test_candidates_follow_the_data(spark):
+    """Vectors without clusters need longer walks than clustered ones; recall holds for both."""
+    m = np.random.default_rng(4).normal(size=(4000, 96)).astype("f4")
+    got, want = {(r.id, r.other) for r in nb.similar(frame(spark, m), 5).collect()}, brute(m, 5)
+    assert len(got & want) / len(want) >= 0.9
