@@ -25,7 +25,7 @@ DIMENSIONS = 96
 #: The codebooks are fitted on at most so many vectors, those with the least hash of their id.
 SAMPLE = 20_000
 #: Entries per cell on average; least and most codes per half.
-PER_CELL, MIN_CODES, MAX_CODES = 8, 4, 1024
+PER_CELL, MIN_CODES, MAX_CODES = 16, 4, 1024
 #: A query walks cells until they hold so many entries that this share of the true neighbours is among them,
 #: as measured by exact search for so many queries; and at least so many.
 RECALL, PROBES, LEAST_CANDIDATES = 0.95, 200, 300
@@ -206,11 +206,12 @@ def similar(vectors: DataFrame, k: int = 5, at_least: float = -1.0, candidates:
     elif candidates is None:
         probes = sample.iloc[:PROBES].reset_index(drop=True)
         candidates = enough(probes, nearest_exactly(entries, probes, k), (book1, book2), count, at_least)
-    plan = spark.sparkContext.broadcast(count.tolist())
+    cell_group = (group1[:, None] * sides + group2[None]).ravel()
+    plan = spark.sparkContext.broadcast((count.tolist(), cell_group.tolist()))
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        b1, b2, g1, g2 = books.value
-        cells = plan.value
+        b1, b2 = books.value[:2]
+        cells, groups = plan.value
         for pdf in batches:
             if not len(pdf):
                 continue
@@ -218,12 +219,13 @@ def similar(vectors: DataFrame, k: int = 5, at_least: float = -1.0, candidates:
             d1, d2 = distances(x[:, :half], b1), distances(x[:, half:], b2)
             which, group, visited = [], [], []
             for q in range(len(pdf)):
-                walked = np.array(walk(d1[q], d2[q], cells, candidates))
-                of = g1[walked // k2] + g2[walked % k2]
-                for g in np.unique(of):
+                by_group: dict[int, list[int]] = {}
+                for c in walk(d1[q], d2[q], cells, candidates):
+                    by_group.setdefault(groups[c], []).append(c)
+                for g, cs in by_group.items():
                     which.append(q)
                     group.append(g)
-                    visited.append(walked[of == g])
+                    visited.append(cs)
             yield pd.DataFrame({"query": pdf.vec_id.to_numpy()[which], "embedding": pdf.embedding.to_numpy()[which], "group": np.array(group, "i4"), "cells": visited})
 
     visits = materialize(entries.select("vec_id", "embedding").mapInPandas(visit, f"query {id_type}, embedding array<float>, group int, cells array<int>"), "knn-visits")
