@@ -10,6 +10,9 @@ from pyspark.sql import types as T
 from ..session import scratch_path
 
 
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
 def replay(spark: SparkSession, path: str, schema: T.StructType, build: Callable[[DataFrame], DataFrame], end: dict, name: str = "replay") -> DataFrame:
     """What ``build`` emits for the rows stored under ``path``, in append mode.
 
@@ -24,7 +27,13 @@ def replay(spark: SparkSession, path: str, schema: T.StructType, build: Callable
     read = spark.readStream.schema(schema)
     # as a glob, the path may name a folder or a single file
     stream = read.parquet(f"{path[:-1]}[{path[-1]}]").select(*fields).unionByName(read.parquet(marker).select(*fields))
-    query = build(stream).writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
+    # state on the executors' disks, so its size is not that of their memory
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        query = build(stream).writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
+    finally:
+        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
     query.awaitTermination()
     if query.exception():
         raise query.exception()
