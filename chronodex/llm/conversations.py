@@ -34,31 +34,45 @@ def has_text(content: Column) -> Column:
     return F.coalesce(content.rlike(r"[\p{L}\p{N}]"), F.lit(False))
 
 
+def is_late(lateness: str) -> Column:
+    """Whether a row was stored so long after its time that the stream's watermark may have passed it."""
+    return F.coalesce(F.col("ingested_at") > F.col("timestamp") + F.expr(f"INTERVAL {lateness}"), F.lit(False))
+
+
+def _checked(rows: DataFrame) -> DataFrame:
+    """What the checks need of each row, without its text, and the time that it is placed by."""
+    when = F.coalesce("timestamp", "ingested_at", F.lit(dt.datetime(1970, 1, 1)))
+    return rows.select("session_id", "id", "timestamp", "ingested_at", role_of(F.col("role")).alias("role"), has_text(F.col("content")).alias("has_text"), when.alias("event_time"))
+
+
+def _segments(rows: DataFrame, bucket: int) -> DataFrame:
+    each = rows.groupBy("session_id", F.window("event_time", f"{bucket} seconds"))
+    return each.agg(F.collect_list(F.struct("id", "timestamp", "ingested_at", "role", "has_text")).alias("rows")).select("session_id", "rows")
+
+
 def buffered_segments(stream: DataFrame, bucket: int = BUCKET, lateness: str = LATENESS) -> DataFrame:
     """Streaming: the rows of each (session, time bucket), emitted when the watermark closes it.
 
     Event time is the message's ``timestamp``, or ``ingested_at`` where that is null (the row still
     has to reach its session, which it breaks). Only what the checks need is kept in state, not the
     text. Rows without either time cannot be placed on a time axis and go to the first bucket of
-    1970. State: one group per session and bucket.
+    1970. Late rows (:func:`is_late`) are no part of the stream: what it emits does not depend on how far
+    the watermark has come, and :func:`late_segments` reports them. State: one group per session and bucket.
     """
-    when = F.coalesce("timestamp", "ingested_at", F.lit(dt.datetime(1970, 1, 1)))
-    return (
-        stream.select(
-            "session_id", "id", "timestamp", "ingested_at",
-            role_of(F.col("role")).alias("role"), has_text(F.col("content")).alias("has_text"), when.alias("event_time"),
-        )
-        .withWatermark("event_time", lateness)
-        .groupBy("session_id", F.window("event_time", f"{bucket} seconds"))
-        .agg(F.collect_list(F.struct("id", "timestamp", "ingested_at", "role", "has_text")).alias("rows"))
-        .select("session_id", "rows")
-    )
+    return _segments(_checked(stream.filter(~is_late(lateness))).withWatermark("event_time", lateness), bucket)
+
+
+def late_segments(rows: DataFrame, bucket: int = BUCKET, lateness: str = LATENESS) -> DataFrame:
+    """The rows that came too late for the stream, in the form of its segments, so that none is lost."""
+    return _segments(_checked(rows.filter(is_late(lateness))), bucket)
 
 
 def stored_segments(spark: SparkSession, path: str, bucket: int = BUCKET, lateness: str = LATENESS) -> DataFrame:
-    """Segments of a stored message table, run through the stream until it is used up."""
+    """Segments of a stored message table, run through the stream until it is used up, and those of late rows."""
     end = {"timestamp": END_OF_INPUT, "ingested_at": END_OF_INPUT}
-    return replay(spark, path, MESSAGE, lambda stream: buffered_segments(stream, bucket, lateness), end, "conversations")
+    on_time = replay(spark, path, MESSAGE, lambda stream: buffered_segments(stream, bucket, lateness), end, "conversations")
+    stored = spark.read.parquet(path).select([F.col(f.name).cast(f.dataType) for f in MESSAGE])
+    return on_time.unionByName(late_segments(stored, bucket, lateness))
 
 
 def conversations(segments: DataFrame, sessions: DataFrame, bucket: int = BUCKET) -> DataFrame:

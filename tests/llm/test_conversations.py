@@ -35,3 +35,20 @@ def test_long_session_over_many_buckets(spark, tmp_path):
 
 def test_nothing(spark, tmp_path):
     assert run(spark, tmp_path, [], []) == set()
+
+
+def test_late_rows_are_not_lost(spark, tmp_path):
+    """Rows stored after the watermark may have passed come beside the stream, whatever the lateness allowed."""
+
+    t0, path = dt.datetime(2024, 1, 1), str(tmp_path / "messages.parquet")
+    at = lambda m, days=0: t0 + dt.timedelta(minutes=m, days=days)
+    rows = [("a", "s", "user", "q", at(0), at(0)), ("b", "s", "assistant", "r", at(1), at(1, 60)), ("c", "s", "user", "q", at(90), at(90, 1)), ("d", "s", "assistant", "r", at(91), at(91)), ("x", "t", "user", "q", at(5), at(5)), ("y", "t", "assistant", " ", at(6), at(6, 90))]
+    for n, part in enumerate((rows[2:], rows[:2])):  # two files, the later messages first
+        spark.createDataFrame(part, "id string, session_id string, role string, content string, timestamp timestamp, ingested_at timestamp").coalesce(1).write.mode("append").parquet(path)
+    sessions = spark.createDataFrame([("s",), ("t",)], "id string")
+    want = {("s", n, i) for n, i in enumerate("abcd", 1)}
+    for lateness in ("45 days", "12 hours"):
+        segments = c.stored_segments(spark, path, lateness=lateness)
+        assert {(r.session_id, r.turn, r.id) for r in c.conversations(segments, sessions).collect()} == want
+    late = c.late_segments(spark.read.parquet(path), lateness="12 hours")
+    assert {x.id for r in late.collect() for x in r.rows} == {"b", "c", "y"}
