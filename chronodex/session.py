@@ -34,11 +34,14 @@ def build_session(master: str = "local[*]", app: str = "chronodex", **conf: str)
 def scratch_root(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Where the setting is missing (tests, one machine) a temporary folder is made and stored in the
-    session's checkpoint setting, so that the same folder is used for the whole session.
+    Where the setting is missing on one machine (tests) a temporary folder is made and stored in the
+    session's checkpoint setting, so that the same folder is used for the whole session. On a cluster
+    the setting is required, since a machine's own folder is not shared.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
