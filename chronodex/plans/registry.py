@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..streaming import activity
-from . import corpus_queries, file_queries, project_queries, search_queries, timeline_queries
+from . import corpus_queries, file_queries, project_queries, search_queries, symbol_queries, timeline_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (search_queries, timeline_queries, file_queries, corpus_queries, project_queries, activity)
+MODULES = (search_queries, timeline_queries, file_queries, corpus_queries, project_queries, symbol_queries, activity)
 
 
 def queries() -> dict[str, Query]:
