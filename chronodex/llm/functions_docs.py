@@ -1,9 +1,9 @@
 """Problem 2: functions and methods paired with their documentation.
 
-Each file is lexed once by a state machine that knows strings, template literals, regular expression
-literals and (nested) comments, so braces and keywords inside them don't count. Functions are
-delimited by matching braces (Python: by the statement after the signature), and get the
-documentation comments directly before them.
+Each file is lexed once by a state machine (``chronodex.functions.lexing``) that knows strings,
+template literals, regular expression literals and (nested) comments, so braces and keywords inside
+them don't count. Functions are delimited by matching braces (Python: by the statement after the
+signature), and get the documentation comments directly before them.
 """
 
 from __future__ import annotations
@@ -13,169 +13,16 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ..tables import files, latest, table
-
-#: Languages by file extension, and by the name that the files table may give.
-BY_EXTENSION = {"rs": "rust", "py": "python", "pyi": "python", "js": "js", "mjs": "js", "cjs": "js", "jsx": "js", "ts": "js", "tsx": "js", "mts": "js", "cts": "js"}
-BY_NAME = {"rust": "rust", "rs": "rust", "python": "python", "py": "python", "javascript": "js", "js": "js", "typescript": "js", "ts": "js"}
+from ..functions.lexing import OPEN, Token, block_end, clean_doc, docs_before, lex, pairs
+from ..operators.symbols import source_texts
 
 MIN_WORDS = 5
 
-_PLAIN = r'"(?:[^"\\]|\\.)*"'
-LEX = {
-    "rust": re.compile(
-        r"(?P<space>\s+)|(?P<line>//[^\n]*)|(?P<block>/\*)|(?P<text>b?r(?P<h>\#*)\".*?\"(?P=h)|b?" + _PLAIN + r"|b?'(?:\\u\{[^}']*\}|\\.[^'\n]{0,4}|[^'\\\n])')"
-        r"|(?P<label>'[A-Za-z_]\w*)|(?P<word>(?:r\#)?[^\W\d]\w*)|(?P<number>\d\w*)|(?P<sign>.)", re.S),
-    "js": re.compile(
-        r"(?P<space>\s+)|(?P<line>//[^\n]*)|(?P<block>/\*)|(?P<text>" + _PLAIN + r"|'(?:[^'\\]|\\.)*')|(?P<template>`)"
-        r"|(?P<word>[#]?[^\W\d][\w$]*|\$[\w$]*)|(?P<number>\d\w*)|(?P<arrow>=>)|(?P<sign>.)", re.S),
-    "python": re.compile(
-        r"(?P<line>\#[^\n]*)|(?P<text>[rRbBuUfFtT]{0,2}(?:\"\"\"(?:[^\\]|\\.)*?\"\"\"|'''(?:[^\\]|\\.)*?'''|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'))"
-        r"|(?P<space>[^\S\n]+|\\\n)|(?P<newline>\n)|(?P<word>[^\W\d]\w*)|(?P<number>\d\w*)|(?P<sign>.)", re.S),
-}
-_REGEX = re.compile(r"/(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/\w*")
-_NESTED = re.compile(r"/\*|\*/")
-_BEFORE_REGEX = set("(,=:[!&|?{};+-*%~^<>") | {"=>", "return", "typeof", "case", "in", "of", "delete", "void", "do", "else"}
-
-Token = tuple[str, int, int]  # kind, begin, end
-
-
-_TEMPLATE_STOP = re.compile(r"[\\`]|\$\{")
-
-
-def _template_end(s: str, at: int) -> int:
-    """End of a template literal that begins at ``at``; ``${...}`` parts may hold any code, and templates again."""
-    open_ = [0]  # 0: inside a template's text; else the depth of braces inside a ``${...}``
-    at += 1
-    while at < len(s):
-        if not open_[-1]:
-            m = _TEMPLATE_STOP.search(s, at)
-            if not m:
-                break
-            at = m.end()
-            if m.group() == "\\":
-                at += 1
-            elif m.group() == "`":
-                open_.pop()
-                if not open_:
-                    return at
-            else:
-                open_.append(1)
-            continue
-        m = LEX["js"].match(s, at)
-        kind, at = m.lastgroup, m.end()
-        if kind == "template":
-            open_.append(0)
-        elif kind == "block":
-            end = s.find("*/", at)
-            at = len(s) if end < 0 else end + 2
-        elif kind == "sign":
-            open_[-1] += {"{": 1, "}": -1}.get(m.group(), 0)
-            if not open_[-1]:
-                open_.pop()
-    return len(s)
-
-
-def lex(s: str, language: str) -> list[Token]:
-    """Tokens without white space. Kinds: doc, comment, text, word, number, sign, arrow, newline."""
-    pattern, out, at, n = LEX[language], [], 0, len(s)
-    while at < n:
-        m = pattern.match(s, at)
-        kind, begin, end = m.lastgroup if m.lastgroup != "h" else "text", at, m.end()
-        if kind == "space":
-            at = end
-            continue
-        if kind == "line":
-            doc = language != "python" and s.startswith("///", at) and not s.startswith("////", at)
-            kind = "doc" if doc else "comment"
-        elif kind == "block":
-            if language == "rust":  # nested
-                depth = 1
-                while depth and (e := _NESTED.search(s, end)):
-                    depth += 1 if e.group() == "/*" else -1
-                    end = e.end()
-                if depth:
-                    end = n
-            else:
-                e = s.find("*/", end)
-                end = n if e < 0 else e + 2
-            kind = "doc" if s.startswith("/**", at) and not s.startswith(("/***", "/**/"), at) else "comment"
-        elif kind == "template":
-            kind, end = "text", _template_end(s, at)
-        elif kind == "sign" and language == "js" and s[at] == "/":
-            last = next((x for x in reversed(out) if x[0] not in ("doc", "comment")), None)
-            if last is None or s[last[1] : last[2]] in _BEFORE_REGEX:
-                if r := _REGEX.match(s, at):
-                    kind, end = "text", r.end()
-        out.append((kind, begin, end))
-        at = end
-    return out
-
-
-_OPEN, _CLOSE = {"(": ")", "[": "]", "{": "}"}, {")": "(", "]": "[", "}": "{"}
-
-
-def _pairs(s: str, tokens: list[Token]) -> dict[int, int]:
-    """Index of the partner of each bracket token; brackets without one are missing."""
-    out, stack = {}, []
-    for i, (kind, b, e) in enumerate(tokens):
-        if kind != "sign":
-            continue
-        c = s[b:e]
-        if c in _OPEN:
-            stack.append((c, i))
-        elif c in _CLOSE:
-            while stack and stack[-1][0] != _CLOSE[c]:
-                stack.pop()
-            if stack:
-                o = stack.pop()[1]
-                out[o], out[i] = i, o
-    return out
-
-
-def _docs_before(s: str, tokens: list[Token], at: int, pair: dict[int, int], language: str) -> list[str]:
-    """Documentation comments right before token ``at``, attributes or decorators left aside."""
-    docs: list[str] = []
-    following = tokens[at][1]
-    i = at - 1
-    while i >= 0:
-        kind, b, e = tokens[i]
-        if s.count("\n", e, following) > 1:
-            break  # a blank line between: not right above
-        if kind == "doc":
-            docs.append(s[b:e])
-            i -= 1
-        elif language == "rust" and s[b:e] == "]" and i in pair and pair[i] > 0 and s[tokens[pair[i] - 1][1]] == "#":
-            i = pair[i] - 2
-            b = tokens[i + 1][1]
-        elif language == "js" and (d := _decorator(s, tokens, i, pair)) >= 0:
-            i = d - 1
-            b = tokens[d][1]
-        else:
-            break
-        following = b
-    return docs[::-1]
-
-
-def _decorator(s: str, tokens: list[Token], i: int, pair: dict[int, int]) -> int:
-    """Index of the @ of the decorator that ends at token ``i``, or -1."""
-    if s[tokens[i][1] : tokens[i][2]] == ")":
-        i = pair.get(i, 0) - 1
-    while i > 0 and tokens[i][0] == "word":
-        c = s[tokens[i - 1][1]]
-        if c == "@":
-            return i - 1
-        if c != ".":
-            return -1
-        i -= 2
-    return -1
-
 
 def _rust(s: str) -> Iterator[tuple]:
     tokens = lex(s, "rust")
-    pair = _pairs(s, tokens)
+    pair = pairs(s, tokens)
     word = [s[b:e] if k in ("word", "sign") else "" for k, b, e in tokens]
     n = len(tokens)
     for i in range(n - 1):
@@ -197,7 +44,7 @@ def _rust(s: str) -> Iterator[tuple]:
                 k -= 2
             else:
                 break
-        docs = _docs_before(s, tokens, k, pair, "rust")
+        docs = docs_before(s, tokens, k, pair, "rust")
         yield word[i + 1].removeprefix("r#"), tokens[i + 1][1], tokens[k][1], end, docs
 
 
@@ -207,7 +54,7 @@ _MODIFIERS = {"static", "async", "get", "set", "public", "private", "protected",
 
 def _js(s: str) -> Iterator[tuple]:
     tokens = [t for t in lex(s, "js")]
-    pair = _pairs(s, tokens)
+    pair = pairs(s, tokens)
     n = len(tokens)
     word = [s[b:e] if k in ("word", "sign", "arrow") else ("" if k in ("doc", "comment") else "\0") for k, b, e in tokens]
     code = [i for i in range(n) if word[i] != ""]  # without comments
@@ -254,13 +101,13 @@ def _js(s: str) -> Iterator[tuple]:
             return tokens[code[p]][2] if p < m else len(s)
         depth = 0
         while c < m and not (depth == 0 and W[c] in (";", ")", "}", ",", "]")):
-            if W[c] in _OPEN and partner(c) < m:
+            if W[c] in OPEN and partner(c) < m:
                 c = partner(c)
             c += 1
         return tokens[code[min(c, m) - 1]][2]
 
     def emit(name: int, first: int, body: int) -> tuple:
-        return W[name], tokens[code[name]][1], tokens[code[first]][1], close(body), _docs_before(s, tokens, code[first], pair, "js")
+        return W[name], tokens[code[name]][1], tokens[code[first]][1], close(body), docs_before(s, tokens, code[first], pair, "js")
 
     # what each open brace encloses: a class, an object literal or a block
     inside = [""] * m
@@ -337,7 +184,7 @@ def _js(s: str) -> Iterator[tuple]:
 
 def _python(s: str) -> Iterator[tuple]:
     tokens = lex(s, "python")
-    pair = _pairs(s, tokens)
+    pair = pairs(s, tokens)
     n = len(tokens)
     for i, (kind, b, e) in enumerate(tokens):
         if kind != "word" or s[b:e] != "def" or i + 2 >= n or tokens[i + 1][0] != "word":
@@ -362,22 +209,7 @@ def _python(s: str) -> Iterator[tuple]:
             if not set(prefix) & set("bft"):
                 quote = 3 if literal[len(prefix) :].startswith(('"""', "'''")) else 1
                 docs = [literal[len(prefix) + quote : -quote]]
-        yield s[tokens[i + 1][1] : tokens[i + 1][2]], tokens[i + 1][1], tokens[k][1], _block_end(s, tokens, j, indent), docs
-
-
-def _block_end(s: str, tokens: list[Token], j: int, indent: int) -> int:
-    """End of the indented block whose first statement is token ``j``."""
-    end, depth = tokens[min(j, len(tokens) - 1)][2], 0
-    for i in range(j, len(tokens)):
-        kind, b, e = tokens[i]
-        if kind in ("newline", "comment"):
-            continue
-        if depth == 0 and i > j and tokens[i - 1][0] == "newline" and len(s[s.rfind("\n", 0, b) + 1 : b].expandtabs()) <= indent:
-            break
-        if kind == "sign":
-            depth = max(0, depth + {"(": 1, "[": 1, "{": 1, ")": -1, "]": -1, "}": -1}.get(s[b:e], 0))
-        end = e
-    return end
+        yield s[tokens[i + 1][1] : tokens[i + 1][2]], tokens[i + 1][1], tokens[k][1], block_end(s, tokens, j, indent), docs
 
 
 SCANNERS = {"rust": _rust, "js": _js, "python": _python}
@@ -388,12 +220,6 @@ _EMPTY_TALK = re.compile(
     r"|no (?:description|documentation|docs|comment)|undocumented|not (?:yet )?documented|document me|documentation (?:is |will |missing|to )|docs? (?:to follow|missing|will )|description (?:is |will |missing|to )|missing (?:doc|desc)|to be (?:written|documented|done|added|described|filled|completed|defined)|coming soon|write (?:the )?(?:doc|desc)|add (?:a |the )?(?:doc|desc)|see above|n/?a\b|stub\b|inheritdoc)"
 )
 _TAGGED = re.compile(r"^\s*(?:@(?!description|desc\b|summary|brief|remarks)[A-Za-z]|:(?:param|type|returns?|rtype|raises?)\b|(?:Args|Arguments|Parameters|Params|Returns?|Yields?|Raises|Throws|Examples?|Attributes|Keyword Args|Example usage)\s*:?\s*$|(?:Args|Arguments|Parameters|Returns?|Yields?|Raises)\s*:\s)")
-_MARKS = re.compile(r"^\s*(?:///?|/\*\*?|\*(?!/))?[ \t]?|\*+/\s*$", re.M)
-
-
-def clean_doc(docs: list[str]) -> str:
-    """Documentation text without comment marks; tags and code examples stay."""
-    return "\n".join(_MARKS.sub("", d).strip("\n") for d in docs).strip()
 
 
 def is_meaningful(doc: str, name: str) -> bool:
@@ -461,15 +287,6 @@ def function_docs(texts: DataFrame, meaningful: bool = True) -> DataFrame:
     return texts.select("file_id", "content", "language").mapInPandas(run, SCHEMA)
 
 
-def source_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The text of each source file that counts, with its language by extension or, else, by name."""
-    texts = latest(table(spark, sf_dir, "file_texts", "file_id", "content", "read_at"), ["file_id"], "read_at")
-    about = files(spark, sf_dir).select(F.col("id").alias("file_id"), "file_path", F.col("language").alias("named"))
-    by_extension = F.create_map(*[F.lit(x) for kv in BY_EXTENSION.items() for x in kv])[F.lower(F.regexp_extract("file_path", r"\.([A-Za-z]+)$", 1))]
-    by_name = F.create_map(*[F.lit(x) for kv in BY_NAME.items() for x in kv])[F.lower(F.trim("named"))]
-    return texts.join(about, "file_id", "left").select("file_id", "content", F.coalesce(by_extension, by_name).alias("language")).filter("language is not null and content is not null")
-
-
 def p2_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Code and documentation of each documented function."""
     return function_docs(source_texts(spark, sf_dir)).distinct()
