@@ -39,6 +39,16 @@ def bucketed_previous(df: DataFrame, key: str, order: list[str], carry: list[str
     return out.withColumn(exists, F.col("_prev").isNotNull()).drop("_prev", "_bucket", "_before", "_group", "_g", "_more")
 
 
+def changes(df: DataFrame, key: str, order: list[str], value: str, bucket: Column) -> DataFrame:
+    """The rows at which ``value`` is another than in the row before of the same key, with ``prev_`` + value.
+
+    The first row of a key is no change; null is a value like others. Order, ties and skew as in
+    :func:`bucketed_previous`.
+    """
+    rows = bucketed_previous(df, key, order, [value], bucket)
+    return rows.filter(F.col("prev_exists") & ~F.col(value).eqNullSafe(F.col(f"prev_{value}"))).drop("prev_exists")
+
+
 def bucketed_rank(df: DataFrame, key: str, order: list[str], bucket: Column, name: str = "position") -> DataFrame:
     """Numbers the rows of each key from 1 by ``order``, without one task per key.
 

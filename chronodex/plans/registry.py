@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..streaming import activity
+from ..streaming import activity, lifecycle
 from . import corpus_queries, file_queries, project_queries, search_queries, symbol_queries, timeline_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (search_queries, timeline_queries, file_queries, corpus_queries, project_queries, symbol_queries, activity)
+MODULES = (search_queries, timeline_queries, file_queries, corpus_queries, project_queries, symbol_queries, activity, lifecycle)
 
 
 def queries() -> dict[str, Query]:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.scoring import epoch
 from ..operators import timeline
-from ..operators.ordered import bucketed_previous
+from ..operators.ordered import bucketed_previous, changes
 from ..tables import latest, messages, role_of, table
 from .search_queries import AS_OF, now
 
@@ -122,6 +122,13 @@ def session_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered.groupBy("user_id", (F.col("offset") + F.col("n")).alias("visit")).agg(F.min("ts").alias("started_at"), F.max("ts").alias("ended_at"), F.count(F.lit(1)).alias("n_events"))
 
 
+def model_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The messages of a session at which another model (or none) answers than before."""
+    m = messages(spark, sf_dir, "session_id", "timestamp", "model").filter("session_id is not null and timestamp is not null")
+    rows = m.select("session_id", "timestamp", "id", "model")
+    return changes(rows, "session_id", ["timestamp", "id"], "model", F.date_trunc("hour", "timestamp"))
+
+
 def longest_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three longest messages of each project's sessions."""
     m = latest(table(spark, sf_dir, "messages").select("id", "session_id", "ingested_at", F.length("content").alias("n_chars")), ["id"], "ingested_at").filter("n_chars is not null")
@@ -137,7 +144,7 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (timeline_build, timeline_topics, timeline_periods, timeline_stats, timeline_recent_split, conventional_commits, breaking_changes, deprecating_commits, session_last_commit, session_counts, session_gaps, longest_messages, event_windows)
+    for f in (timeline_build, timeline_topics, timeline_periods, timeline_stats, timeline_recent_split, conventional_commits, breaking_changes, deprecating_commits, session_last_commit, session_counts, session_gaps, model_changes, longest_messages, event_windows)
 }
 
 _M = "m AS (SELECT * FROM messages QUALIFY row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC NULLS LAST) = 1)"
@@ -161,6 +168,9 @@ SQL = {
         SELECT s.id AS session_id, s.project_path, c.commit_id FROM sessions s ASOF LEFT JOIN c ON s.project_path = c.project_path AND s.started_at >= c.ts""",
     "session_counts": f"""WITH {_M}, {SESSIONS}, c AS (SELECT session_id, count(*) AS n, count(*) FILTER ({_ROLE} = 'user') AS u, count(*) FILTER ({_ROLE} = 'assistant') AS a, count(*) FILTER ({_ROLE} = 'system') AS s FROM m GROUP BY 1)
         SELECT id AS session_id, message_count, coalesce(n, 0) AS n_messages, coalesce(u, 0) AS n_user, coalesce(a, 0) AS n_assistant, coalesce(c.s, 0) AS n_system FROM sessions LEFT JOIN c ON session_id = id""",
+    "model_changes": f"""WITH {_M}, p AS (SELECT session_id, timestamp, id, model, lag(model) OVER w AS prev_model, row_number() OVER w AS i FROM m
+        WHERE session_id IS NOT NULL AND timestamp IS NOT NULL WINDOW w AS (PARTITION BY session_id ORDER BY timestamp, id))
+        SELECT session_id, timestamp, id, model, prev_model FROM p WHERE i > 1 AND model IS DISTINCT FROM prev_model""",
     "session_gaps": """WITH g AS (SELECT user_id, event_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) >= 3600000000 THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
         v AS (SELECT *, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS visit FROM g) SELECT user_id, visit, min(ts) AS started_at, max(ts) AS ended_at, count(*) AS n_events FROM v GROUP BY ALL""",
     "longest_messages": f"""WITH {_M}, {SESSIONS} SELECT project_path, CAST(row_number() OVER w AS INTEGER) AS place, m.id, CAST(length(content) AS INTEGER) AS n_chars FROM m JOIN sessions s ON s.id = m.session_id WHERE content IS NOT NULL

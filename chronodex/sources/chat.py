@@ -1,10 +1,12 @@
-"""Reading chat logs: JSON lines of messages and an index of sessions."""
+"""Reading chat logs (JSON lines of messages, an index of sessions, folders of projects) and plans."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text
+
 LINE = "type string, uuid string, sessionId string, timestamp string, message struct<role: string, content: string, tokens: bigint, model: string>"
 INDEX = "array<struct<sessionId: string, summary: string, projectPath: string, created: string>>"
 
@@ -34,6 +36,30 @@ def stream_messages(spark: SparkSession, path: str, as_of: Column, files_at_once
     return parse_messages(lines, as_of)
 
 
+def read_projects(spark: SparkSession, root: str) -> DataFrame:
+    """``session_id``, ``project_path`` and ``path`` of each chat log ``projects/<project>/<session>.jsonl`` below ``root``.
+
+    The folder's name is the project's path with its separators written as dashes, as in
+    :func:`chronodex.functions.text.decode_project_path`. Only names are read. Logs at other depths are left out.
+    """
+    logs = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/projects/*/*.jsonl")
+    parts = F.split("path", "/")
+    name = F.element_at(parts, -1)
+    return logs.select(F.regexp_replace(name, r"\.jsonl$", "").alias("session_id"), text.decode_project_path(F.element_at(parts, -2)).alias("project_path"), "path")
+
+
+def read_plans(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per markdown file directly in ``folder``, with the columns of the plans table.
+
+    The id is the file's name without ending, the title that of its first heading, else the id. Folders
+    below are not read, and Spark gives no row for an empty file.
+    """
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").load(folder)
+    id_ = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.md$", "")
+    content = F.col("content").cast("string")
+    return raw.select(id_.alias("id"), F.coalesce(text.markdown_title(content), id_).alias("title"), content.alias("content"), F.col("modificationTime").alias("modified_at"))
+
+
 def read_index(spark: SparkSession, path: str, as_of: Column) -> DataFrame:
     """Sessions of all ``sessions-index.json`` files below ``path``."""
     raw = spark.read.option("pathGlobFilter", "sessions-index.json").option("recursiveFileLookup", True).option("wholetext", True).text(path)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chronodex.api import Engine, render
 from chronodex.sources import chat, files, gitstatus
-from chronodex.sources.gitlog import GitLogSource
+from chronodex.sources.gitlog import GitDiffSource, GitLogSource, parse_patch
 from chronodex.streaming import activity
 
 def as_of():
@@ -65,6 +65,54 @@ def test_git_log(spark, tmp_path):
     assert all(r.message.startswith("feat: change") and r.short_hash == r.id[:7] and r.paths == ["f.txt"] for r in rows)
 
 
+def test_git_diffs(spark, tmp_path):
+    def git(*a, day=1):
+        when = f"2024-01-{day:02}T00:00:00Z"
+        subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=A", "-c", "user.email=a@b.example", "-c", "commit.gpgsign=false", *a], check=True, capture_output=True, env={"GIT_COMMITTER_DATE": when, "GIT_AUTHOR_DATE": when, "PATH": "/usr/bin:/bin"})
+
+    git("init", "-q", "-b", "main")
+    (tmp_path / "a.txt").write_text("1\n2\n--- x\n4\n5\n")
+    (tmp_path / "my file é.txt").write_text("x\n")
+    (tmp_path / "bin").write_bytes(b"\0\1")
+    git("add", ".")
+    git("commit", "-q", "-m", "one", day=1)
+    (tmp_path / "a.txt").write_text("1\n2\n4\n5\n+++ y\n")
+    (tmp_path / "my file é.txt").unlink()
+    (tmp_path / "bin").write_bytes(b"\0\2")
+    git("commit", "-q", "-am", "two", day=2)
+    git("checkout", "-q", "-b", "side")
+    git("mv", "a.txt", "b.txt")
+    git("commit", "-q", "-m", "three", day=3)
+    git("checkout", "-q", "main")
+    (tmp_path / "c.txt").write_text("c")
+    git("add", ".")
+    git("commit", "-q", "-m", "four", day=4)
+    git("merge", "-q", "--no-ff", "-m", "five", "side", day=5)
+    spark.dataSource.register(GitDiffSource)
+    spark.dataSource.register(GitLogSource)
+    load = lambda source, **o: spark.read.format(source).options(slice=2, **o).load(str(tmp_path))
+    rows = [(r.timestamp.day, r.file_path, r.old_path, r.change_type, r.added_lines, r.removed_lines, r.old_oid is None, r.new_oid is None) for r in load("gitdiff").collect()]
+    assert sorted(rows, key=lambda r: r[:2]) == [
+        (1, "a.txt", None, "Added", 5, 0, True, False), (1, "bin", None, "Added", 0, 0, True, False), (1, "my file é.txt", None, "Added", 1, 0, True, False),
+        (2, "a.txt", None, "Modified", 1, 1, False, False), (2, "bin", None, "Modified", 0, 0, False, False), (2, "my file é.txt", None, "Deleted", 0, 1, False, True),
+        (3, "b.txt", "a.txt", "Renamed", 0, 0, True, True), (4, "c.txt", None, "Added", 1, 0, True, False), (5, "b.txt", "a.txt", "Renamed", 0, 0, True, True),
+    ]
+    assert {r.timestamp.day for r in load("gitdiff", since="2024-01-03").collect()} == {3, 4, 5}
+    assert load("gitlog").count() == 5 and load("gitlog", since="2024-01-05T00:00:00").count() == 1 and load("gitlog", since="2025-01-01").count() == 0
+    assert parse_patch(["diff --git a/x y b/x y\n", "old mode 100644\n", "new mode 100755\n"])[0] == "x y"
+
+
+def test_projects_and_plans(spark, tmp_path):
+    for name in ("projects/-home-me-my_app/s1.jsonl", "projects/-home-me-my_app/deep/s2.jsonl", "projects/x.jsonl", "projects/p/s3.jsonl", "projects/p/no.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("{}")
+    assert {(r.session_id, r.project_path) for r in chat.read_projects(spark, str(tmp_path)).collect()} == {("s1", "/home/me/my-app"), ("s3", "p")}
+    for name, body in {"a.md": "text\n# The Plan\nx", "b.md": "no title", "e.md": "", "c.txt": "# no", "deep/d.md": "# no"}.items():
+        (tmp_path / "plans" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "plans" / name).write_text(body)
+    assert {(r.id, r.title, r.content) for r in chat.read_plans(spark, str(tmp_path / "plans")).collect()} == {("a", "The Plan", "text\n# The Plan\nx"), ("b", "b", "no title")}
+
+
 def test_stream_upserts(spark, tmp_path):
     schema = "id string, ts timestamp, v int"
     for n, rows in enumerate([[("a", "2024-01-01", 1), ("b", "2024-01-01", 1)], [("a", "2024-01-02", 2), ("c", "2024-01-01", 1)]]):
