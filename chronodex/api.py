@@ -7,12 +7,14 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import chunking, scoring
+from . import tables
+from .functions import scoring, sql
 from .operators import search, timeline
-from .plans import file_queries, search_queries, timeline_queries
+from .plans import file_queries, registry, search_queries, timeline_queries
 from .sources.timerange import time_range
 
 TYPES = {"source": "File", "docs": "File", "file": "File", "session": "Session", "message": "Message", "commit": "Commit", "symbol": "Symbol", "diff": "GitDiff", "plan": "Plan", "all": None}
+TABLES = ["messages", "chat_sessions", "plans", "files", "file_texts", "file_chunks", "symbols", "embedding_data", "cache_entries", "documents", "events"]
 MAX_RESULTS, MAX_QUERY_BYTES = 1000, 1000
 
 
@@ -53,11 +55,22 @@ class Engine:
     def status(self) -> DataFrame:
         return file_queries.status_summary(self.spark, self.sf_dir)
 
-    def register(self) -> None:
-        """Makes the chunkers available in SQL."""
-        self.spark.udf.register("chunk_message", chunking.chunk_message)
-        self.spark.udf.register("chunk_markdown", chunking.chunk_markdown)
-        self.spark.udf.register("chunk_symbol", chunking.chunk_symbol)
+    def register(self) -> list[str]:
+        """Makes the functions known to SQL, and the tables as views; gives the names of all.
+
+        Besides every table of the folder there are ``current_messages``, ``current_plans`` and ``current_files``, which hold
+        the rows that count.
+        """
+        names = sql.register(self.spark)
+        views = {f"current_{f.__name__}": f(self.spark, self.sf_dir) for f in (tables.messages, tables.plans, tables.files)}
+        views |= {name: tables.table(self.spark, self.sf_dir, name) for name in TABLES}
+        for name, df in views.items():
+            df.createOrReplaceTempView(name)
+        return [*names, *views]
+
+    def view(self, query: str) -> None:
+        """Makes the result of a registered query a view of its name."""
+        registry.queries()[query](self.spark, self.sf_dir).createOrReplaceTempView(query)
 
 
 def render(results: DataFrame, form: str = "markdown") -> str:
