@@ -115,11 +115,32 @@ def test_projects_and_plans(spark, tmp_path):
 
 def test_stream_upserts(spark, tmp_path):
     schema = "id string, ts timestamp, v int"
-    for n, rows in enumerate([[("a", "2024-01-01", 1), ("b", "2024-01-01", 1)], [("a", "2024-01-02", 2), ("c", "2024-01-01", 1)]]):
+    batches = [[("a", "2024-01-01", 1), ("b", "2024-01-01", 1)], [("a", "2024-01-02", 2), ("c", "2024-01-01", 1), (None, "2024-01-01", 7)], [("a", "2024-01-01", 9)], [("a", "2024-01-05", 3), ("a", "2024-01-04", 4)]]
+    out = str(tmp_path / "out")
+    assert activity.current(spark, out) is None
+    write = activity.upsert_into(out, ["id"], "ts", parts=4)
+    for rows in batches:
         spark.createDataFrame(rows, "id string, ts string, v int").selectExpr("id", "cast(ts as timestamp) ts", "v").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-        stream.writeStream.foreachBatch(activity.upsert_into(str(tmp_path / "out"), ["id"], "ts")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
-    assert {(r.id, r.v) for r in activity.current(spark, str(tmp_path / "out")).collect()} == {("a", 2), ("b", 1), ("c", 1)}
+        stream.writeStream.foreachBatch(write).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    want = {("a", 3), ("b", 1), ("c", 1), (None, 7)}
+    assert {(r.id, r.v) for r in activity.current(spark, out).collect()} == want
+    versions = activity._versions(spark, out)
+    assert max(len(v) for v in versions.values()) == 2  # the part of "a" was written four times
+    last = spark.createDataFrame(batches[3], "id string, ts string, v int").selectExpr("id", "cast(ts as timestamp) ts", "v")
+    write(last, 3)  # the same batch again
+    assert {(r.id, r.v) for r in activity.current(spark, out).collect()} == want and activity._versions(spark, out) == versions
+    write(last.limit(0), 4)
+    assert activity.current(spark, out).count() == 4
+
+
+def test_repeated_rows_of_a_stream(spark, tmp_path):
+    schema = "id string, ts timestamp"
+    for rows in ([("a", dt.datetime(2024, 1, 1)), ("a", dt.datetime(2024, 1, 1)), ("b", dt.datetime(2024, 1, 2))], [("a", dt.datetime(2024, 1, 3)), ("c", dt.datetime(2024, 1, 3))]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = activity.deduplicated(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), "id", "ts")
+        stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b", "c"]
 
 
 def test_engine(spark, data):
