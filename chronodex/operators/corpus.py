@@ -59,9 +59,9 @@ def chunked(items: DataFrame) -> DataFrame:
 
 
 def chunk_vectors(chunks: DataFrame) -> DataFrame:
-    """Adds ``chunk_key`` and ``embedding`` to chunks; those without a word are left out."""
+    """Adds ``chunk_key`` and ``embedding`` (word counts, not brought to length 1) to chunks; those without a word are left out."""
     key = F.concat_ws("|", "content_type", "item_id", F.coalesce("branch", F.lit("")), F.lpad(F.col("chunk_no").cast("string"), 6, "0"))
-    return chunks.withColumn("chunk_key", key).withColumn("embedding", vectors.text_vector("chunk")).filter("embedding is not null")
+    return chunks.withColumn("chunk_key", key).withColumn("embedding", vectors.text_counts("chunk")).filter("embedding is not null")
 
 
 def enrich(hits: DataFrame, items: DataFrame, now: Column) -> DataFrame:

@@ -36,13 +36,13 @@ def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """All items, and a vector of each: files by their first chunk, others whole."""
     every = materialize(items(spark, sf_dir), "corpus")
     whole = every.select("content_type", "item_id", "branch", "path", F.lit(0).alias("chunk_no"), F.coalesce("content", "title").alias("chunk"))
-    return every, materialize(corpus.chunk_vectors(whole), "corpus-vectors")
+    return every, corpus.chunk_vectors(whole).drop("chunk")
 
 
 def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query texts: the documents whose id is divisible by 100."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text").filter("doc_id % 100 = 0")
-    return docs.select(F.col("doc_id").cast("string").alias("vec_id"), vectors.text_vector("text").alias("embedding")).filter("embedding is not null")
+    return docs.select(F.col("doc_id").cast("string").alias("vec_id"), vectors.text_counts("text").alias("embedding")).filter("embedding is not null")
 
 
 def _search(spark: SparkSession, sf_dir: str, k: int, where=None, section=None) -> tuple[DataFrame, DataFrame]:
@@ -53,7 +53,9 @@ def _search(spark: SparkSession, sf_dir: str, k: int, where=None, section=None)
         rows, keep = rows.withColumn("section", section).filter("section is not null"), [*keep, "section"]
     # branches travel as text, since a group may hold none at all
     rows = rows.withColumn("branch", F.coalesce("branch", F.lit(""))).withColumnRenamed("chunk_key", "vec_id")
-    hits = search.search_many(rows, _queries(spark, sf_dir), k, keep=keep, section="section" if section is not None else None, digits=9)
+    rows = materialize(search.first_of_equal(rows, k, keep[3:]).select("vec_id", "embedding", *keep), "corpus-vectors")
+    asked = materialize(_queries(spark, sf_dir), "query-vectors")
+    hits = search.search_many(rows, asked, k, keep=keep, section="section" if section is not None else None, digits=9, normalize=True)
     return every, hits.withColumn("branch", F.nullif("branch", F.lit(""))).withColumn("similarity", vectors.similarity(F.col("value")))
 
 

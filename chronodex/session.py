@@ -52,15 +52,33 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/chronodex/{name}-{uuid.uuid4().hex}"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Writes ``df`` as parquet into the shared scratch folder and reads it back.
 
     Cuts the lineage; the written table survives the loss of an executor, because it lies in the
-    folder that all of them share.
+    folder that all of them share. The shuffle files of the step are removed once it is written.
     """
-    path = scratch_path(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Removes the files of a materialized table that nothing reads any more."""
+    spark = df.sparkSession
+    below = scratch_root(spark).rpartition("://")[2] + "/chronodex/"
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if below in path:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 _shipped: set[str] = set()
