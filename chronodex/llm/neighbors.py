@@ -6,7 +6,9 @@ the cells it has seen hold enough entries, and ranks all entries of those cells
 
 Cells are put into groups by the code of the first half. Groups, and the queries that visit them, are
 cut into blocks of bounded size, so no task holds more than a block of each however skewed the cells
-are. Equal vectors are indexed once: copies never meet each other in a cell.
+are. Groups are taken in turns that move about twice as many vectors as there are, and the files of a turn go
+before the next, so the disk needed is in proportion to the input however many groups a query visits.
+Equal vectors are indexed once: copies never meet each other in a cell.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import discard, materialize
 
 DIMENSIONS = 96
 #: The codebooks are fitted on at most so many vectors, those with the least hash of their id.
@@ -31,6 +33,8 @@ PER_CELL, MIN_CODES, MAX_CODES = 16, 4, 1024
 RECALL, PROBES, LEAST_CANDIDATES = 0.95, 200, 300
 #: Entries and queries per block.
 BLOCK = 12_000
+#: Rows with a vector that are moved at once: so many, or so many times the vectors there are.
+MOVED, MOVED_SHARE = 500_000, 2
 
 
 def valid_vectors(tables: list[DataFrame], dimensions: int = DIMENSIONS) -> DataFrame:
@@ -172,12 +176,13 @@ def similar(vectors: DataFrame, k: int = 5, at_least: float = -1.0, candidates:
         firsts.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.array_sort(F.collect_list("vec_id")).alias("firsts")).select("h1", "h2", "rep", "firsts", F.size("firsts").alias("n")),
         "knn-classes",
     )
-    reps = hashed.join(classes.select(F.col("rep").alias("vec_id")), "vec_id", "left_semi").select("vec_id", "embedding")
-
-    sample = reps.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()
+    named = classes.select(F.col("rep").alias("vec_id"))
+    drawn = named.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE)
+    sample = hashed.select("vec_id", "embedding").join(F.broadcast(drawn), "vec_id", "left_semi").orderBy(F.xxhash64("vec_id"), "vec_id").toPandas()
     total = classes.count()
     if total < 2 and hashed.limit(2).count() < 2:
         return spark.createDataFrame([], f"id {dict(vectors.dtypes)['vec_id']}, other {dict(vectors.dtypes)['vec_id']}, similarity double")
+    reps = hashed.select("vec_id", "embedding").join(named, "vec_id", "left_semi")
     fit_on = unit(sample.embedding)
     half = fit_on.shape[1] // 2
     codes = int(np.clip(round((total / PER_CELL) ** 0.5), MIN_CODES, MAX_CODES))
@@ -198,6 +203,8 @@ def similar(vectors: DataFrame, k: int = 5, at_least: float = -1.0, candidates:
                 yield pd.DataFrame({"vec_id": pdf.vec_id, "embedding": pdf.embedding, "cell": (c1 * k2 + c2).astype("i4"), "group": (g1[c1] + g2[c2]).astype("i4")})
 
     entries = materialize(reps.mapInPandas(encode, f"vec_id {id_type}, embedding array<float>, cell int, group int"), "knn-entries")
+    members = materialize(_members(hashed, classes), "knn-copies")
+    discard(hashed)
     sizes = entries.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).toPandas()
     count = np.zeros(len(book1) * k2, np.int64)
     count[sizes.cell.to_numpy()] = sizes.n.to_numpy()
@@ -207,34 +214,42 @@ def similar(vectors: DataFrame, k: int = 5, at_least: float = -1.0, candidates:
         probes = sample.iloc[:PROBES].reset_index(drop=True)
         candidates = enough(probes, nearest_exactly(entries, probes, k), (book1, book2), count, at_least)
     cell_group = (group1[:, None] * sides + group2[None]).ravel()
-    plan = spark.sparkContext.broadcast((count.tolist(), cell_group.tolist()))
+    plan = spark.sparkContext.broadcast((count.tolist(), cell_group.astype("i4")))
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         b1, b2 = books.value[:2]
-        cells, groups = plan.value
+        cells, group_of = plan.value
         for pdf in batches:
             if not len(pdf):
                 continue
             x = unit(pdf.embedding)
             d1, d2 = distances(x[:, :half], b1), distances(x[:, half:], b2)
-            which, group, visited = [], [], []
+            rows = []
             for q in range(len(pdf)):
-                by_group: dict[int, list[int]] = {}
-                for c in walk(d1[q], d2[q], cells, candidates):
-                    by_group.setdefault(groups[c], []).append(c)
-                for g, cs in by_group.items():
-                    which.append(q)
-                    group.append(g)
-                    visited.append(cs)
-            yield pd.DataFrame({"query": pdf.vec_id.to_numpy()[which], "embedding": pdf.embedding.to_numpy()[which], "group": np.array(group, "i4"), "cells": visited})
-
-    visits = materialize(entries.select("vec_id", "embedding").mapInPandas(visit, f"query {id_type}, embedding array<float>, group int, cells array<int>"), "knn-visits")
+                cs = np.array(walk(d1[q], d2[q], cells, candidates), "i4")
+                by = group_of[cs]
+                order = by.argsort(kind="stable")
+                g, first, n = np.unique(by[order], return_index=True, return_counts=True)
+                rows.append((g, first.astype("i4") + 1, n.astype("i4"), cs[order]))
+            groups, first, n, walked = map(list, zip(*rows))
+            yield pdf.assign(groups=groups, first=first, n=n, cells=walked)
+
+    # a row per query with the cells it visits, those of each group together
+    visits = materialize(entries.mapInPandas(visit, f"vec_id {id_type}, embedding array<float>, cell int, group int, groups array<int>, first array<int>, n array<int>, cells array<int>"), "knn-visits")
+    discard(entries)
     # a group whose entries or visits are many is cut into blocks; each block of entries meets each block of visits
-    blocks = lambda df, most, name: df.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias(name))
-    both = blocks(entries, BLOCK, "e_blocks").join(blocks(visits, 2 * BLOCK, "q_blocks"), "group")
+    n_groups = sides * sides
+    n_entries = np.bincount(cell_group, count, n_groups)
+    n_visits = np.zeros(n_groups)
+    seen = visits.select(F.explode("groups").alias("group")).groupBy("group").agg(F.count(F.lit(1)).alias("n")).toPandas()
+    n_visits[seen.group.to_numpy()] = seen.n.to_numpy()
+    e_blocks, q_blocks = np.ceil(n_entries / BLOCK), np.ceil(n_visits / (2 * BLOCK))
+    moved = np.cumsum(n_entries * q_blocks + n_visits * e_blocks)
+    turn = np.ceil(moved / max(MOVED, MOVED_SHARE * total)).astype(int)
     every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
-    left = entries.join(both, "group").withColumn("eb", F.pmod(F.xxhash64("vec_id"), F.col("e_blocks")).cast("int")).withColumn("qb", every("q_blocks")).drop("e_blocks", "q_blocks")
-    right = visits.join(both, "group").withColumn("qb", F.pmod(F.xxhash64("query"), F.col("q_blocks")).cast("int")).withColumn("eb", every("e_blocks")).drop("e_blocks", "q_blocks")
+    keys = ["group", "eb", "qb"]
+    among = Window.partitionBy("id").orderBy(F.desc("similarity"), "other")
+    nearest_k = lambda df: df.withColumn("place", F.row_number().over(among)).filter(F.col("place") <= k).drop("place")
 
     def rank(e: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"id": pd.Series(dtype=e.vec_id.dtype), "other": pd.Series(dtype=e.vec_id.dtype), "similarity": pd.Series(dtype="f8")})
@@ -244,7 +259,7 @@ def similar(vectors: DataFrame, k: int = 5, at_least: float = -1.0, candidates:
         x, ids = unit(e.embedding), e.vec_id.to_numpy()
         cells, first = np.unique(e.cell.to_numpy(), return_index=True)
         last = np.append(first[1:], len(e))
-        queries, qid = unit(q.embedding), q["query"].to_numpy()
+        queries, qid = unit(q.vector), q["query"].to_numpy()
         row = np.repeat(np.arange(len(q)), [len(c) for c in q.cells])
         cell = np.concatenate([np.asarray(c) for c in q.cells])
         by = np.argsort(cell, kind="stable")
@@ -277,21 +292,39 @@ def similar(vectors: DataFrame, k: int = 5, at_least: float = -1.0, candidates:
         top = place < k
         return pd.DataFrame({"id": qid[rows[top]], "other": others[top], "similarity": sims[top]})
 
-    keys = ["group", "eb", "qb"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(rank, f"id {id_type}, other {id_type}, similarity double")
-    among = Window.partitionBy("id").orderBy(F.desc("similarity"), "other")
-    found = found.withColumn("place", F.row_number().over(among)).filter(F.col("place") <= k).drop("place")
-    return _with_copies(found, hashed, classes, k)
+    found = None
+    for t in np.unique(turn[(e_blocks > 0) & (q_blocks > 0)]):
+        own = np.flatnonzero((turn == t) & (e_blocks > 0) & (q_blocks > 0))
+        cuts = F.broadcast(spark.createDataFrame([(int(g), int(e_blocks[g]), int(q_blocks[g])) for g in own], "group int, e_blocks int, q_blocks int"))
+        left = visits.select("vec_id", "embedding", "cell", "group").join(cuts, "group")
+        left = left.withColumn("eb", F.pmod(F.xxhash64("vec_id"), F.col("e_blocks")).cast("int")).withColumn("qb", every("q_blocks")).drop("e_blocks", "q_blocks")
+        here = F.filter(F.arrays_zip("groups", "first", "n"), lambda v: v["groups"].between(int(own[0]), int(own[-1])))  # noqa: B023
+        # under other names, since both sides come from one table, which a cogroup would mix up
+        right = visits.select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"), "cells", F.explode(here).alias("v"))
+        right = right.select("query", "vector", F.col("v.groups").alias("group"), F.slice("cells", F.col("v.first"), F.col("v.n")).alias("cells")).join(cuts, "group")
+        right = right.withColumn("qb", F.pmod(F.xxhash64("query"), F.col("q_blocks")).cast("int")).withColumn("eb", every("e_blocks")).drop("e_blocks", "q_blocks")
+        part = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(rank, f"id {id_type}, other {id_type}, similarity double")
+        part = materialize(part, "knn-found")
+        found = part if found is None else found.unionByName(part)
+    discard(visits)
+    return _with_copies(nearest_k(found), members, classes, k)
+
+
+def _members(hashed: DataFrame, classes: DataFrame) -> DataFrame:
+    """``id``, ``rep``, ``firsts`` and ``n`` of the vectors that have copies."""
+    twins = classes.filter("n > 1")
+    return hashed.select("vec_id", "h1", "h2").join(twins, ["h1", "h2"]).select(F.col("vec_id").alias("id"), "rep", "firsts", "n")
 
 
-def _with_copies(found: DataFrame, hashed: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+def _with_copies(found: DataFrame, members: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     """Neighbours of every vector, from those of the vectors that stand for their copies.
 
     A copy's nearest are its other copies, the least ids first, then what its class' vector found, each
     found vector with its own copies. No pair of copies is made beyond the k that are asked for.
     """
     twins = classes.filter("n > 1")
-    members = hashed.join(twins.select("h1", "h2", "rep", "firsts", "n"), ["h1", "h2"]).select(F.col("vec_id").alias("id"), "rep", "firsts", "n")
+    if not twins.take(1):
+        return found
     within = members.select("id", F.explode("firsts").alias("other")).filter("id != other").withColumn("similarity", F.lit(1.0))
     # found vectors with their copies, then queries with theirs (classes of more than k copies need no others)
     firsts = twins.select(F.col("rep").alias("other"), F.col("firsts").alias("all"))

@@ -89,3 +89,31 @@ def test_candidates_follow_the_data(spark):
     m = np.random.default_rng(4).normal(size=(4000, 96)).astype("f4")
     got, want = {(r.id, r.other) for r in nb.similar(frame(spark, m), 5).collect()}, brute(m, 5)
     assert len(got & want) / len(want) >= 0.9
+
+
+def test_turns_give_the_same_and_leave_no_vectors(spark, monkeypatch):
+    """The rows with vectors that are moved at once stay within the bound; what was moved is removed."""
+    from pathlib import Path
+
+    from chronodex.session import scratch_root
+
+    m = clusters(700)
+    m[20:50] = m[20]
+    whole = {tuple(r) for r in nb.similar(frame(spark, m), 5).collect()}
+    monkeypatch.setattr(nb, "BLOCK", 60)
+    monkeypatch.setattr(nb, "MOVED", 1)
+    monkeypatch.setattr(nb, "MOVED_SHARE", 1)
+    steps, write = [], nb.materialize
+
+    def count(df, name):
+        steps.append(name)
+        return write(df, name)
+
+    monkeypatch.setattr(nb, "materialize", count)
+    folder = Path(scratch_root(spark).removeprefix("file://")) / "chronodex"
+    before = set(folder.iterdir())
+    got = {tuple(r) for r in nb.similar(frame(spark, m), 5).collect()}
+    assert {r[:2] for r in got} == {r[:2] for r in whole} and len(got) == 3500
+    assert steps.count("knn-found") > 3
+    left = {p.name.rpartition("-")[0] for p in set(folder.iterdir()) - before}
+    assert left == {"knn-classes", "knn-copies", "knn-found"}
