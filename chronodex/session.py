@@ -71,16 +71,20 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Removes the files of a materialized table that nothing reads any more."""
-    spark = df.sparkSession
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Removes folders of the shared scratch folder; any other is left alone."""
     below = scratch_root(spark).rpartition("://")[2] + "/chronodex/"
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+    for path in paths:
         if below in path:
             target = spark._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def discard(df: DataFrame) -> None:
+    """Removes the files of a materialized table that nothing reads any more."""
+    remove(df.sparkSession, *{f.rpartition("/")[0] for f in df.inputFiles()})
+
+
 _shipped: set[str] = set()
 
 

@@ -1,6 +1,8 @@
 import datetime as dt
+from pathlib import Path
 
 from chronodex.llm import conversations as c
+from chronodex.session import scratch_root
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -52,3 +54,19 @@ def test_late_rows_are_not_lost(spark, tmp_path):
         assert {(r.session_id, r.turn, r.id) for r in c.conversations(segments, sessions).collect()} == want
     late = c.late_segments(spark.read.parquet(path), lateness="12 hours")
     assert {x.id for r in late.collect() for x in r.rows} == {"b", "c", "y"}
+
+
+def test_an_ended_stream_leaves_its_output_alone(spark, tmp_path):
+    """State (shared and on local disks), shuffle files and the marker go with the stream; settings are as before."""
+    rows, path = talk("s", ("user", "q"), ("assistant", "r")), str(tmp_path / "messages.parquet")
+    spark.createDataFrame([(i, s, r, x, T0 + dt.timedelta(minutes=t), T0 + dt.timedelta(minutes=g)) for i, s, r, x, t, g in rows], c.MESSAGE).write.parquet(path)
+    env, settings = spark._jvm.org.apache.spark.SparkEnv.get(), spark.conf.getAll
+    local = [Path(d.getPath()) for d in env.blockManager().diskBlockManager().localDirs()] + [Path(spark._jvm.org.apache.spark.util.Utils.getLocalDir(env.conf()))]
+    kept = lambda: {p for d in local for pattern in ("shuffle_*", "StateStoreId*") for p in d.rglob(pattern)}
+    shared = lambda: set(Path(scratch_root(spark).rpartition("://")[2], "chronodex").glob("conversations-*"))
+    root, at_first, shared_at_first = scratch_root(spark), kept(), shared()
+    segments = c.stored_segments(spark, path)
+    assert {p.name.rpartition("-")[0] for p in shared() - shared_at_first} == {"conversations-out"}
+    assert kept() <= at_first
+    assert spark.conf.getAll == settings | {"spark.checkpoint.dir": root}
+    assert {x.id for r in segments.collect() for x in r.rows} == {"s0", "s1"}
